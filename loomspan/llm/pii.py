@@ -146,7 +146,7 @@ def mask(found: DataFrame) -> DataFrame:
     ordered = F.sort_array(F.transform("spans", lambda x: F.struct(x["start"].alias("s"), (-x["end"]).alias("e"), x["kind"].alias("k"))))
     frame = found.withColumn("_o", F.when(F.size("spans") > 0, ordered))
     run = "struct<out:array<struct<s:int,e:int,k:string> >,last:struct<s:int,e:int,k:string> >"
-    start = F.expr(f"cast(null as {run}>)")
+    start = F.expr(f"cast(null as {run})")
 
     def step(a: Column, x: Column) -> Column:
         new = F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))
