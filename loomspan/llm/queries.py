@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pii, quality, sharding
+from . import chat, mixing, packing, pii, quality, sharding, simhash
 from ._common import materialize
 
 #: Production parameters of the sharding query: 16 shards, a table of 1,601 slots.
@@ -17,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op3_chat_rotation(spark, sf_dir):
     return chat.rotate(_read(spark, sf_dir, "conversations"))
 
@@ -27,6 +31,11 @@ def op4_shard_lookup(spark, sf_dir):
     return sharding.place(docs, F.col("doc_id"), table, SLOTS)
 
 
+def op5_simhash(spark, sf_dir):
+    groups = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_pii(spark, sf_dir):
     return pii.digest(pii.find(_read(spark, sf_dir, "documents")))
 
@@ -41,7 +50,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_chat_rotation, op4_shard_lookup, op8_pii, op9_pareto_mix, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_chat_rotation, op4_shard_lookup, op5_simhash, op8_pii, op9_pareto_mix, op10_quality_rules)}
 
 
 def oracle_sql():
