@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, pii, quality, sharding, simhash
+from . import chat, mixing, neighbours, packing, pii, quality, sharding, simhash
 from ._common import materialize
 
 #: Production parameters of the sharding query: 16 shards, a table of 1,601 slots.
@@ -36,6 +36,10 @@ def op5_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_nearest_neighbours(spark, sf_dir):
+    return neighbours.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_pii(spark, sf_dir):
     return pii.digest(pii.find(_read(spark, sf_dir, "documents")))
 
@@ -50,7 +54,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_chat_rotation, op4_shard_lookup, op5_simhash, op8_pii, op9_pareto_mix, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_chat_rotation, op4_shard_lookup, op5_simhash, op7_nearest_neighbours, op8_pii, op9_pareto_mix, op10_quality_rules)}
 
 
 def oracle_sql():
