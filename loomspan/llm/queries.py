@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neighbours, packing, pii, quality, sharding, simhash
+from . import chat, mixing, neighbours, packing, pii, quality, sharding, simhash, toxicity
 from ._common import materialize
 
 #: Production parameters of the sharding query: 16 shards, a table of 1,601 slots.
@@ -36,6 +36,13 @@ def op5_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark, sf_dir):
+    docs, labels = (_read(spark, sf_dir, t) for t in ("documents", "labels"))
+    out = toxicity.held_out(F.col("doc_id"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels.where(~out)))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_nearest_neighbours(spark, sf_dir):
     return neighbours.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -54,7 +61,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_chat_rotation, op4_shard_lookup, op5_simhash, op7_nearest_neighbours, op8_pii, op9_pareto_mix, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_chat_rotation, op4_shard_lookup, op5_simhash, op6_toxicity, op7_nearest_neighbours, op8_pii, op9_pareto_mix, op10_quality_rules)}
 
 
 def oracle_sql():
