@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neighbours, packing, pii, quality, sharding, simhash, toxicity
+from . import chat, mixing, neighbours, packing, pii, quality, sharding, simhash, suffix_dedup, toxicity
 from ._common import materialize
 
 #: Production parameters of the sharding query: 16 shards, a table of 1,601 slots.
@@ -17,6 +17,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _suffix_digest(cut: DataFrame) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op1_suffix_dedup(spark, sf_dir):
+    return _suffix_digest(suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents")))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -61,7 +70,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_chat_rotation, op4_shard_lookup, op5_simhash, op6_toxicity, op7_nearest_neighbours, op8_pii, op9_pareto_mix, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_chat_rotation, op4_shard_lookup, op5_simhash, op6_toxicity, op7_nearest_neighbours, op8_pii, op9_pareto_mix, op10_quality_rules)}
 
 
 def oracle_sql():
