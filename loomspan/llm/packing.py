@@ -15,8 +15,10 @@ columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ from ._common import materialize
 
 CAPACITY, END_ID = 4096, 1
 #: So many word forms are remembered by a task; then it starts anew. A bound on memory, not on results.
-CACHE = 400_000
+CACHE = 600_000
+_MARKS = ".,;:!?*#$%&"
 _SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
@@ -52,21 +55,59 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.known: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode_batch_fast
+        self.closes = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.closes[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
 
     def __call__(self, text: str | None) -> bytes:
-        words = (text or "").translate(_SPACE).split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for w, e in zip(new, self.encode(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        text = text or ""
+        # Python's split() also parts at these four, which the tokenizer takes for characters
+        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        words = text.translate(_SPACE).split(" ") if odd else text.split()
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            if len(self.known) > CACHE:
+                self.known = {"": b""}
+            self._learn({w for w in words if w not in self.known})
+            ids = map(self.known.__getitem__, words)
+        return b"".join(ids)
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember new word forms. Letters of Latin-1 and marks behind them are separate for the tokenizer,
+        and it lower-cases them as Python does, so such a form is put together from its parts."""
+        known, parts, simple, marks, whole = self.known, {}, set(), set(), []
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if core.isalpha() and max(core) < "\u0100":
+                low, tail = core.lower(), w[len(core) :]
+                parts[w] = low, tail
+                if low not in known:
+                    simple.add(low)
+                if tail not in known:
+                    marks.add(tail)
+            else:
+                whole.append(w)
+        self._encode([*whole, *marks])
+        if simple:
+            # one call for all: each is one piece, whose last token closes a word
+            flat = np.array(self.encode([" ".join(simple)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.closes[flat]) + 1) * 4).tolist()
+            data = flat.tobytes()
+            known.update((w, data[s:e]) for w, s, e in zip(simple, [0, *ends], ends, strict=False))
+        for w, (low, tail) in parts.items():
+            known[w] = known[low] + known[tail]
+
+    def _encode(self, words: list[str]) -> None:
+        for w, e in zip(words, self.encode(words, add_special_tokens=False), strict=True):
+            self.known[w] = array("I", e.ids).tobytes()
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, with what it remembers."""
+    return WordTokenizer(path)
 
 
 def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -87,7 +128,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, task, row = WordTokenizer(path), TaskContext.get().partitionId(), 0
+        tokens, task, row = _tokenizer(path), TaskContext.get().partitionId(), 0
         seen = [0] * (capacity + 1)
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
