@@ -22,8 +22,8 @@ from ._common import WS_CHARS, join_small, materialize, words_of
 #: metric: (lowest upper fence, highest upper fence); thousandths, but for letters a word in hundredths.
 RAILS = {
     "symbol_rate": (80, 250),
-    "dup_line_rate": (300, 600),
-    "repeat_rate": (150, 300),
+    "dup_line_rate": (500, 700),
+    "repeat_rate": (250, 300),
     "word_length": (1500, 4000),
 }
 WINDOW = 8

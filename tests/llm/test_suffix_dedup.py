@@ -73,7 +73,8 @@ def test_edges(spark, monkeypatch, heavy):
 
 
 def test_repeated_rows_and_nulls(spark):
-    t = "".join(random.Random(1).choice("abcdef ") for _ in range(300))
+    rng = random.Random(1)
+    t = "".join(rng.choice("abcdef ") for _ in range(300))
     df = spark.createDataFrame([(1, t), (1, t), (1, t), (None, t), (2, "short"), (2, "short"), (None, None)], "doc_id long, text string")
     got = sd.remove_repeats(df).collect()
     size = sorted((str(r.doc_id), r.n_bytes, len(r.kept)) for r in got)
