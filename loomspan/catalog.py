@@ -1,6 +1,575 @@
-"""Queries over the driver's tables, with the SQL that checks them."""
+"""Queries over the driver's tables, with the SQL that checks them.
+
+The tables stand in for article data: anchors and bold text in ``pages`` are hyperlinks and title synonyms, part
+names are surface forms whose line items are their uses, suppliers, nations and regions are a type graph, and
+``labels`` against rules over ``documents`` are gold labels and predictions.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as tx
+from .operators import evaluation, exports, graph, linking, mappings, ml, resolve, spans, splits
+from .plans import report
+from .sources import readers
+from .streaming import annotate
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def values(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    return spark.createDataFrame(rows, names)
+
+
+def _sql_values(rows: list[tuple], names: list[str]) -> str:
+    cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ") AS t(" + ", ".join(names) + ")"
+
+
+# --- texts ---------------------------------------------------------------------------------------
+
+
+@query("""SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+')) AS token FROM documents)
+          WHERE token <> '' GROUP BY token""")
+def unigram_counts(spark, sf_dir):
+    return mappings.unigram_counts(read(spark, sf_dir, "documents"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS masked FROM documents")
+def ascii_mask(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", tx.ascii_mask(F.col("text")).alias("masked"))
+
+
+@query("SELECT doc_id, replace(replace(replace(text, chr(10), ' '), chr(9), ' '), chr(13), ' ') AS flat FROM documents")
+def flatten_space(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", tx.flatten_space(F.col("text")).alias("flat"))
+
+
+@query("""SELECT doc_id, number, length(list_aggregate(p[1:number], 'string_agg', chr(10))) + (CASE WHEN number > 0 THEN 1 ELSE 0 END) AS start,
+          length(list_aggregate(p[1:number], 'string_agg', chr(10))) + (CASE WHEN number > 0 THEN 1 ELSE 0 END) + length(p[number + 1]) AS stop
+          FROM (SELECT doc_id, p, unnest(range(len(p))) AS number FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))""".replace("length(list_aggregate(p[1:number], 'string_agg', chr(10)))", "coalesce(length(list_aggregate(p[1:number], 'string_agg', chr(10))), 0)"))
+def paragraph_offsets(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(tx.paragraphs(F.col("text"), "\n")).alias("p"))
+    return rows.select("doc_id", F.col("p.number").alias("number"), F.col("p.start").alias("start"), F.col("p.end").alias("stop"))
+
+
+URLS = [("https://en.wikipedia.org/wiki/A%2FB_test",), ("https://en.wikipedia.org/wiki/C%2B%2B",), ("https://en.wikipedia.org/wiki/C++_x",), ("https://en.wikipedia.org/wiki/Caf%C3%A9_au_lait",), ("https://en.wikipedia.org/wiki/%E6%9D%B1%E4%BA%AC",), ("Plain_name",)]
+
+
+@query(f"SELECT url, replace(url_decode(replace(url, 'https://en.wikipedia.org/wiki/', '')), '_', ' ') AS name FROM {_sql_values(URLS, ['url'])}")
+def name_from_url(spark, sf_dir):
+    return values(spark, URLS, ["url"]).select("url", tx.name_from_url(F.col("url")).alias("name"))
+
+
+TITLES = [("Paris (Texas)",), ("AC/DC",), ("A (b) c (d)",), ("Plain",), ("A very long title that is cut short",)]
+
+
+@query(f"""SELECT title, regexp_replace(title, ' \\([^)]*?\\)', '', 'g') AS bare, replace(replace(title, ' ', '_'), '/', '_') AS file,
+           CASE WHEN length(title) <= 20 THEN title ELSE substr(title, 1, 17) || '...' END AS short FROM {_sql_values(TITLES, ['title'])}""")
+def title_forms(spark, sf_dir):
+    t = F.col("title")
+    return values(spark, TITLES, ["title"]).select("title", tx.strip_brackets(t).alias("bare"), tx.file_name(t).alias("file"), tx.abbreviated(t).alias("short"))
+
+
+LINKS = [("World Health Organization", " (WHO) is", "Q1"), ("United Nations", " (UN) is", "Q2"), ("Federal Bureau of Investigation", " (FBI), the", "Q3"), ("Big Blue", " (IBM) made", "Q4"), ("Foreign Broadcast Information", " (FBI) was", "Q5"), ("World Health Org", " (WHO) again", "Q1"), ("No Acronym Here", ", (NAH)", "Q6")]
+
+
+@query(f"""SELECT acronym, string_agg(target, ';' ORDER BY target) AS targets FROM (SELECT DISTINCT acronym, target FROM (
+           SELECT regexp_extract(rest, '^ \\(([A-Z]+)\\)', 1) AS acronym, len(regexp_extract_all(link_text, '[\\p{{L}}\\p{{N}}_'']+')) AS n, target
+           FROM {_sql_values(LINKS, ['link_text', 'rest', 'target'])}) WHERE length(acronym) > 2 AND length(acronym) <= n) GROUP BY acronym""")
+def acronyms(spark, sf_dir):
+    return mappings.acronyms(values(spark, LINKS, ["link_text", "rest", "target"])).select("acronym", F.array_join("targets", ";").alias("targets"))
+
+
+EXPORT = [('<http://www.wikidata.org/entity/Q5>\t"human"@en',), ('<http://www.wikidata.org/entity/Q7>\t"12"^^<http://www.w3.org/2001/XMLSchema#int>',), ("?item\t?label",), ("<http://www.wikidata.org/entity/Q9>\t<https://en.wikipedia.org/wiki/X>",)]
+
+
+@query(r"""SELECT line FROM (SELECT replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '<http://www\.wikidata\.org/entity/(Q[0-9]+)>', '\1', 'g'),
+           '"@en', '"', 'g'), '"([0-9]+)"\^\^<http://www\.w3\.org/2001/XMLSchema#(?:int|integer|decimal)>', '\1', 'g'), '<(https?://[^>]*)>', '\1', 'g'), '"', '') AS line
+           FROM """ + _sql_values(EXPORT, ["raw"]) + ") WHERE NOT regexp_matches(line, '^[^Q]')")
+def clean_export_lines(spark, sf_dir):
+    rows = values(spark, EXPORT, ["raw"]).select(tx.clean_export_line(F.col("raw")).alias("line"))
+    return rows.where(~F.rlike("line", F.lit("^[^Q]")))
+
+
+DUMP = ["<title>Old Name</title>", "<text>#REDIRECT [[New_Name]] {{x}}</text>", "<title>Other</title>", "plain text [[link]]", "#redirect[[Third Name#Part]]", "<title>Old Name</title>", "#Redirect: [[Newest]]"]
+
+
+@query("SELECT * FROM (VALUES ('Old Name', 'Newest'), ('Other', 'Third Name#Part')) AS t(title, target)")
+def redirect_map(spark, sf_dir):
+    return mappings.redirects(values(spark, list(enumerate(DUMP)), ["ordinal", "line"]))
+
+
+@query("""SELECT doc_id, record, sentence FROM (SELECT doc_id, record, unnest(p) AS sentence, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS record,
+          string_split(text, chr(10)) AS p FROM documents)) WHERE trim(sentence) <> ''""")
+def line_records(spark, sf_dir):
+    docs = readers.with_ordinal(read(spark, sf_dir, "documents"), "record", "doc_id")
+    return docs.select("doc_id", "record", F.explode(F.split("text", "\n")).alias("sentence")).where(F.trim("sentence") != "")
+
+
+@query("""SELECT token AS word, 0 AS is_entity, doc_id AS record, 1 AS score FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS token FROM documents)""")
+def words_file(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("id"), F.lit("").alias("title"), "text")
+    toks = exports.tokens(exports.sentences(docs, "article"))
+    none = spark.createDataFrame([], "article_id long, start int, end int, entity_id string")
+    return exports.words_file(toks, none)
+
+
+# --- links and mappings --------------------------------------------------------------------------
+
+
+def _page_links(spark, sf_dir):
+    found = F.regexp_extract_all("html", F.lit('<a href="/[^"]*">[^<]*</a>'), F.lit(0))
+    rows = read(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("a"))
+    return rows.select("page_id", F.regexp_extract("a", '<a href="/([^"]*)">', 1).alias("target"), F.regexp_extract("a", '>([^<]*)</a>', 1).alias("link_text"))
+
+
+@query("""SELECT page_id, regexp_extract(a, '<a href="/([^"]*)">', 1) AS target, regexp_extract(a, '>([^<]*)</a>', 1) AS link_text
+          FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/[^"]*">[^<]*</a>')) AS a FROM pages)""")
+def page_links(spark, sf_dir):
+    return _page_links(spark, sf_dir)
+
+
+_USES = "SELECT p_name AS link_text, 'Q' || p_partkey AS entity_id, l_orderkey * 10 + l_linenumber AS ordinal FROM lineitem JOIN part ON l_partkey = p_partkey"
+
+
+def _uses(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(F.col("p_name").alias("link_text"), F.concat(F.lit("Q"), "p_partkey").alias("entity_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+
+
+@query(f"SELECT link_text, entity_id, count(*) AS n, min(ordinal) AS first FROM ({_USES}) GROUP BY 1, 2")
+def link_frequencies(spark, sf_dir):
+    return mappings.link_frequencies(_uses(spark, sf_dir))
+
+
+@query(f"""SELECT link_text, string_agg(entity_id, ',' ORDER BY first, entity_id) AS entities FROM (SELECT *, rank() OVER (PARTITION BY link_text ORDER BY n DESC) AS r
+           FROM (SELECT link_text, entity_id, count(*) AS n, min(ordinal) AS first FROM ({_USES}) GROUP BY 1, 2)) WHERE r = 1 GROUP BY link_text""")
+def most_popular_candidates(spark, sf_dir):
+    return mappings.most_popular_candidates(mappings.link_frequencies(_uses(spark, sf_dir)))
+
+
+@query(f"""SELECT link_text AS alias, entity_id, n AS count, round(n / sum(n) OVER (PARTITION BY link_text), 9) AS prior
+           FROM (SELECT link_text, entity_id, count(*) AS n FROM ({_USES}) GROUP BY 1, 2)""")
+def candidate_priors(spark, sf_dir):
+    return mappings.priors(mappings.link_frequencies(_uses(spark, sf_dir))).withColumn("prior", F.round("prior", 9))
+
+
+_REDIRECTS = [("and", "The"), ("to", "sch"), ("für", "missing")]
+
+
+@query(f"""WITH l AS (SELECT page_id, regexp_extract(a, '<a href="/([^"]*)">', 1) AS target FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/[^"]*">[^<]*</a>')) AS a FROM pages)),
+           r AS (SELECT * FROM {_sql_values(_REDIRECTS, ['title', 'target'])}), t AS (SELECT DISTINCT target AS title, 'E:' || target AS entity_id FROM l WHERE target NOT IN (SELECT title FROM r))
+           SELECT page_id, l.target, coalesce(t.entity_id, t2.entity_id) AS entity_id FROM l LEFT JOIN t ON l.target = t.title
+           LEFT JOIN r ON l.target = r.title LEFT JOIN t AS t2 ON r.target = t2.title""")
+def link2id_with_redirects(spark, sf_dir):
+    links = _page_links(spark, sf_dir).select("page_id", "target")
+    over = values(spark, _REDIRECTS, ["title", "target"])
+    titles = links.select(F.col("target").alias("title")).distinct().join(over.select("title"), "title", "left_anti").select("title", F.concat(F.lit("E:"), "title").alias("entity_id"))
+    return resolve.link_to_id(links, "target", titles, over)
+
+
+@query("""SELECT bold_text, string_agg(title, ';' ORDER BY title) AS titles FROM (SELECT DISTINCT regexp_extract(html, '<b>([^<]*)', 1) AS bold_text, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages)
+          WHERE title NOT LIKE 'List of%' GROUP BY bold_text""")
+def title_synonyms(spark, sf_dir):
+    bold = read(spark, sf_dir, "pages").select(F.regexp_extract("html", "<b>([^<]*)", 1).alias("bold_text"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    return mappings.title_synonyms(bold).select("bold_text", F.array_join("titles", ";").alias("titles"))
+
+
+@query("SELECT p_name AS key, string_agg('Q' || p_partkey, ',' ORDER BY p_partkey) AS value FROM part GROUP BY p_name")
+def kv_inverse_multi(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit("Q"), "p_partkey").alias("key"), F.col("p_name").alias("value"))
+    return mappings.multi_value(mappings.inverted(rows))
+
+
+@query("SELECT p_name AS key, arg_max('Q' || p_partkey, p_partkey) AS value FROM part GROUP BY p_name")
+def kv_single_last_wins(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("key"), F.concat(F.lit("Q"), "p_partkey").alias("value"))
+    return mappings.last_wins(rows, "key", "value")
+
+
+@query("""SELECT entity_id, string_agg(alias, ';' ORDER BY alias) AS aliases FROM (SELECT DISTINCT entity_id, alias FROM (SELECT 'N' || s_nationkey AS entity_id, s_name AS alias FROM supplier
+          UNION ALL SELECT 'N' || c_nationkey, c_name FROM customer UNION ALL SELECT 'N' || n_nationkey, n_name FROM nation)) GROUP BY entity_id""")
+def alias_union(spark, sf_dir):
+    one = lambda t, k, n: read(spark, sf_dir, t).select(F.concat(F.lit("N"), k).alias("entity_id"), F.col(n).alias("alias"))
+    out = resolve.alias_union(one("supplier", "s_nationkey", "s_name"), one("customer", "c_nationkey", "c_name"), one("nation", "n_nationkey", "n_name"))
+    return out.select("entity_id", F.array_join("aliases", ";").alias("aliases"))
+
+
+@query("""SELECT surface, entity_id, score FROM (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY score DESC, source_rank, entity_id) AS r FROM (
+          SELECT p_name AS surface, 'Q' || p_partkey AS entity_id, n AS score, CAST(p_size % 2 AS INT) AS source_rank FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)
+          WHERE score >= 15) WHERE r = 1""")
+def popularity_argmax(spark, sf_dir):
+    n = read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("score"))
+    rows = read(spark, sf_dir, "part").join(n, F.col("l_partkey") == F.col("p_partkey"))
+    cands = rows.select(F.col("p_name").alias("surface"), F.concat(F.lit("Q"), "p_partkey").alias("entity_id"), "score", (F.col("p_size") % 2).alias("source_rank"))
+    return mappings.popular_entity(cands, 15).select("surface", "entity_id", "score")
+
+
+@query(f"""SELECT surface, string_agg(entity_id, ';' ORDER BY entity_id) AS entities FROM (SELECT DISTINCT link_text AS surface, entity_id FROM ({_USES})) GROUP BY surface""")
+def inverse_surface_index(spark, sf_dir):
+    uses = _uses(spark, sf_dir).select(F.col("entity_id").alias("surface"), F.col("link_text").alias("title")).distinct()
+    titles = uses.select("title", F.col("title").alias("entity_id")).distinct()
+    none = spark.createDataFrame([], "title string, target string")
+    return resolve.inverse_surface_index(uses, titles, none).select(F.col("entity_id").alias("surface"), F.array_join("surfaces", ";").alias("entities"))
+
+
+NAMES = [("Q1", "Habern William Archibald Freeman"), ("Q2", "Ludwig van Beethoven"), ("Q3", "Anna Lena Schmidt"), ("Q4", "Plato")]
+
+
+@query("""SELECT * FROM (VALUES ('Q1', 'Habern W A Freeman;Habern W.A. Freeman;Habern W. A. Freeman;Habern Freeman'), ('Q2', ''),
+          ('Q3', 'Anna L Schmidt;Anna L. Schmidt;Anna L. Schmidt;Anna Schmidt'), ('Q4', '')) AS t(entity_id, variants)""")
+def middle_name_variants(spark, sf_dir):
+    return values(spark, NAMES, ["entity_id", "name"]).select("entity_id", F.array_join(linking.middle_name_variants(F.col("name")), ";").alias("variants"))
+
+
+# --- type graph ----------------------------------------------------------------------------------
+
+_EXTRA = [("R0", "P279", "ROOT"), ("R1", "P279", "ROOT"), ("R2", "P279", "R1"), ("R3", "P279", "R2"), ("R4", "P279", "R3"), ("ROOT", "P279", "R0"), ("R3", "P279", "R3"), ("N3", "P279", "N4")]
+_EDGES = f"""e AS (SELECT 'S' || s_suppkey AS s, 'P31' AS p, 'N' || s_nationkey AS o FROM supplier UNION ALL SELECT 'N' || n_nationkey, 'P279', 'R' || n_regionkey FROM nation
+             UNION ALL SELECT * FROM {_sql_values(_EXTRA, ['s', 'p', 'o'])})"""
+_CLOSURE = f"""WITH RECURSIVE {_EDGES}, c(entity_id, cls, depth) AS (SELECT s, o, 0 FROM e WHERE s IN (SELECT s FROM e WHERE p = 'P31')
+               UNION SELECT entity_id, o, depth + 1 FROM c JOIN e ON s = cls AND p = 'P279' WHERE depth < 10), t AS (SELECT entity_id, cls, min(depth) AS depth FROM c GROUP BY 1, 2)"""
+
+
+def _triples(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("s"), F.lit("P31").alias("p"), F.concat(F.lit("N"), "s_nationkey").alias("o"))
+    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("s"), F.lit("P279").alias("p"), F.concat(F.lit("R"), "n_regionkey").alias("o"))
+    return s.unionByName(n).unionByName(values(spark, _EXTRA, ["s", "p", "o"]))
+
+
+@query(f"{_CLOSURE} SELECT * FROM t")
+def types_closure_depth(spark, sf_dir):
+    return graph.all_types(_triples(spark, sf_dir))
+
+
+@query(f"{_CLOSURE} SELECT entity_id, string_agg(depth || ':' || cls, ';' ORDER BY depth, cls) AS types FROM t GROUP BY entity_id")
+def types_line(spark, sf_dir):
+    return graph.types_line(graph.all_types(_triples(spark, sf_dir)))
+
+
+@query(f"""{_CLOSURE}, k AS (SELECT *, max(depth) OVER (PARTITION BY entity_id) AS high, min(CASE WHEN cls IN ('R0', 'R2') THEN depth END) OVER (PARTITION BY entity_id) AS coarse FROM t),
+           m AS (SELECT *, min(CASE WHEN depth >= high - 1 THEN depth END) OVER (PARTITION BY entity_id) AS near FROM k)
+           SELECT entity_id, string_agg(cls, ';' ORDER BY depth, cls) AS types FROM m WHERE depth <= least(3, coalesce(coarse, 3), coalesce(near, 3)) GROUP BY entity_id""")
+def coref_type_cut(spark, sf_dir):
+    return graph.coreference_types(graph.all_types(_triples(spark, sf_dir)), values(spark, [("R0",), ("R2",), ("R2",)], ["type_id"]))
+
+
+@query(f"{_CLOSURE} SELECT entity_id, cls AS type_id FROM t WHERE cls IN ('R1', 'ROOT', 'N4')")
+def whitelist_types(spark, sf_dir):
+    return graph.whitelist_types(_triples(spark, sf_dir), values(spark, [("R1",), ("ROOT",), ("N4",)], ["type_id"]))
+
+
+@query(f"{_CLOSURE} SELECT DISTINCT entity_id FROM t WHERE cls = 'R2'")
+def instances_of_class(spark, sf_dir):
+    return graph.instances_of(_triples(spark, sf_dir), "R2")
+
+
+_FIXES = [("REMOVE", "R4", "P279", "R3"), ("ADD", "R4", "P279", "ROOT"), ("REMOVE", "N3", "P279", "N4"), ("ADD", "N3", "P279", "N4"), ("REMOVE", "X", "P31", "Y"), ("ADD", "R0", "P279", "ROOT")]
+
+
+@query(f"""WITH {_EDGES}, f AS (SELECT * FROM {_sql_values(_FIXES, ['action', 's', 'p', 'o'])})
+           SELECT DISTINCT * FROM (SELECT s, p, o FROM e EXCEPT SELECT s, p, o FROM f WHERE action = 'REMOVE' UNION ALL SELECT s, p, o FROM f WHERE action = 'ADD')""")
+def triple_corrections(spark, sf_dir):
+    return graph.corrected(_triples(spark, sf_dir), values(spark, _FIXES, ["action", "s", "p", "o"]))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, up(cls) AS (SELECT o FROM e WHERE s = 'S1' AND p = 'P31' UNION SELECT o FROM up JOIN e ON s = cls AND p = 'P279')
+           SELECT DISTINCT e.s, e.p, e.o, 'label ' || e.s AS s_label, length(e.s) AS s_score FROM e WHERE (s = 'S1' AND p = 'P31') OR (p = 'P279' AND s IN (SELECT cls FROM up))""")
+def subgraph_extract(spark, sf_dir):
+    t = _triples(spark, sf_dir)
+    ids = t.select(F.col("s").alias("id")).union(t.select("o")).distinct()
+    out = graph.subgraph(t, "S1", ids.select("id", F.concat(F.lit("label "), "id").alias("label")), ids.select("id", F.length("id").alias("score")))
+    return out.select("s", "p", "o", "s_label", "s_score")
+
+
+@query("""SELECT 'Q' || p_partkey AS id, p_name AS label, n AS score FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey
+          WHERE p_name LIKE 'red%' ORDER BY n DESC, id LIMIT 7""")
+def prefix_topk(spark, sf_dir):
+    labels = read(spark, sf_dir, "part").select(F.concat(F.lit("Q"), "p_partkey").alias("id"), F.col("p_name").alias("label"))
+    scores = read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("score")).select(F.concat(F.lit("Q"), "l_partkey").alias("id"), "score")
+    return graph.completions(labels, scores, "red")
+
+
+@query(f"WITH {_EDGES} SELECT s AS entity_id, count(*) AS n_types FROM e WHERE p = 'P31' GROUP BY s")
+def type_counts(spark, sf_dir):
+    return graph.KnowledgeQueries(_triples(spark, sf_dir), spark.createDataFrame([], "id string, label string, lang string")).type_counts()
+
+
+# --- evaluation ----------------------------------------------------------------------------------
+
+# Gold: a label's document carries one mention; predictions follow a rule on the document, so that spans and ids differ.
+_GOLD = """SELECT l.doc_id AS article_id, CAST(l.doc_id % 7 AS INT) AS start, CAST(l.doc_id % 7 + 5 + l.toxic AS INT) AS stop,
+  CASE WHEN l.doc_id % 11 = 0 THEN '<NIL>' ELSE 'Q' || l.quality END AS entity_id, CASE WHEN l.quality = 1 THEN 'T1|T2' ELSE 'T3' END AS type, substr(d.text, CAST(l.doc_id % 7 + 1 AS INT), CAST(5 + l.toxic AS INT)) AS text
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
+_PRED = """SELECT doc_id AS article_id, CAST(doc_id % 7 AS INT) AS start, CAST(doc_id % 7 + 5 AS INT) AS stop, CASE WHEN n_chars > 300 THEN 'Q1' ELSE 'Q0' END AS entity_id,
+  CASE WHEN n_chars > 300 THEN 'T1|T2' ELSE 'T3' END AS type, substr(text, CAST(doc_id % 7 + 1 AS INT), 5) AS text FROM documents WHERE doc_id % 3 <> 0"""
+_CASES = f"""g AS ({_GOLD}), p AS ({_PRED}), j AS (SELECT coalesce(g.article_id, p.article_id) AS article_id, coalesce(g.start, p.start) AS start, coalesce(g.stop, p.stop) AS stop, g.entity_id AS gold, p.entity_id AS predicted,
+  g.type AS gold_type, p.type AS predicted_type, coalesce(g.text, p.text) AS text FROM g FULL JOIN p ON g.article_id = p.article_id AND g.start = p.start AND g.stop = p.stop),
+  k AS (SELECT *, CASE WHEN gold = '<NIL>' THEN 'ENTITY_UNKNOWN' WHEN regexp_matches(regexp_extract(text, '\\p{{L}}'), '\\p{{Lu}}') THEN 'ENTITY_NAMED' ELSE 'ENTITY_NON_NAMED' END AS mention_type FROM j),
+  m AS (SELECT *, 'REQUIRED' AS mode, coalesce(gold = predicted, false) AS tp, gold IS NOT NULL AND NOT coalesce(gold = predicted, false) AS fn, predicted IS NOT NULL AND NOT coalesce(gold = predicted, false) AS fp,
+    gold IS NOT NULL AND predicted IS NOT NULL AS ntp, gold IS NOT NULL AND predicted IS NULL AS nfn, predicted IS NOT NULL AND gold IS NULL AS nfp FROM k
+  UNION ALL SELECT *, 'IGNORED', coalesce(gold = predicted AND gold <> '<NIL>', false), gold IS NOT NULL AND gold <> '<NIL>' AND NOT coalesce(gold = predicted, false), predicted IS NOT NULL AND NOT coalesce(gold = predicted, false),
+    gold IS NOT NULL AND gold <> '<NIL>' AND predicted IS NOT NULL, gold IS NOT NULL AND gold <> '<NIL>' AND predicted IS NULL, predicted IS NOT NULL AND gold IS NULL FROM k)"""
+_RATIOS = """tp + fn AS ground_truth, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
+  round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1"""
+
+
+def _gold(spark, sf_dir):
+    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents"), "doc_id")
+    start = (F.col("doc_id") % 7).cast("int")
+    return rows.select(
+        F.col("doc_id").alias("article_id"), start.alias("start"), (start + 5 + F.col("toxic")).cast("int").alias("end"),
+        F.when(F.col("doc_id") % 11 == 0, "<NIL>").otherwise(F.concat(F.lit("Q"), "quality")).alias("entity_id"),
+        F.when(F.col("quality") == 1, "T1|T2").otherwise("T3").alias("type"), tx.snippet(F.col("text"), start, start + 5 + F.col("toxic").cast("int")).alias("text"),
+    )
+
+
+def _predicted(spark, sf_dir):
+    start, long = (F.col("doc_id") % 7).cast("int"), F.col("n_chars") > 300
+    return read(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(
+        F.col("doc_id").alias("article_id"), start.alias("start"), (start + 5).alias("end"), F.when(long, "Q1").otherwise("Q0").alias("entity_id"),
+        F.when(long, "T1|T2").otherwise("T3").alias("type"), tx.snippet(F.col("text"), start, start + 5).alias("text"),
+    )
+
+
+def _typed(spark, sf_dir):
+    rows = evaluation.eval_types(evaluation.cases(_gold(spark, sf_dir), _predicted(spark, sf_dir)))
+    rows = rows.withColumn("text", F.coalesce("gold.text", "predicted.text"))
+    # these texts hold no coreference: pronouns among the invented words are plain mentions here
+    kind = F.when(F.col("gold.entity_id") == "<NIL>", "ENTITY_UNKNOWN").when(tx.first_letter_is_upper(F.col("text")), "ENTITY_NAMED").otherwise("ENTITY_NON_NAMED")
+    return rows.withColumn("mention_type", kind)
+
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query(f"""WITH {_CASES} SELECT article_id, start, stop, gold, predicted, mention_type, mode, concat_ws(',', CASE WHEN tp THEN 'TP' END, CASE WHEN fn THEN 'FN' END, CASE WHEN fp THEN 'FP' END) AS types FROM m""")
+def span_match_cases(spark, sf_dir):
+    rows = evaluation.by_mode(_typed(spark, sf_dir))
+    return rows.select("article_id", "start", F.col("end").alias("stop"), F.col("gold.entity_id").alias("gold"), F.col("predicted.entity_id").alias("predicted"), "mention_type", "mode", F.array_join("types", ",").alias("types"))
+
+
+@query(f"""WITH {_CASES}, c AS (SELECT mode, category, count_if(tp) AS tp, count_if(fp) AS fp, count_if(fn) AS fn FROM (SELECT *, unnest(['all', 'entity', lower(mention_type)]) AS category FROM m) GROUP BY 1, 2)
+           SELECT mode, category, tp, fp, fn, {_RATIOS} FROM c""")
+def mention_type_metrics(spark, sf_dir):
+    return _rounded(evaluation.mention_type_metrics(_typed(spark, sf_dir)))
+
+
+@query(f"""WITH {_CASES}, c AS (SELECT mode, count_if(ntp) AS tp, count_if(nfp) AS fp, count_if(nfn) AS fn FROM m GROUP BY 1) SELECT mode, tp, fp, fn, {_RATIOS} FROM c""")
+def ner_metrics(spark, sf_dir):
+    return _rounded(evaluation.ner_metrics(_typed(spark, sf_dir)))
+
+
+@query(f"""WITH {_CASES}, x AS (SELECT mode, unnest(string_split(gold_type, '|')) AS type_id, tp, false AS fp, fn FROM m WHERE gold_type IS NOT NULL
+           UNION ALL SELECT mode, unnest(string_split(predicted_type, '|')), false, fp, false FROM m WHERE predicted_type IS NOT NULL),
+           c AS (SELECT mode, type_id, coalesce(sum(tp::INT), 0) AS tp, coalesce(sum(fp::INT), 0) AS fp, coalesce(sum(fn::INT), 0) AS fn FROM (SELECT DISTINCT mode FROM m) CROSS JOIN (SELECT unnest(['T1', 'T3', 'T9', 'OTHER']) AS type_id)
+             LEFT JOIN x USING (mode, type_id) GROUP BY 1, 2) SELECT mode, type_id, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, {_RATIOS.replace("tp + fn AS", "(tp + fn)::BIGINT AS")} FROM c""")
+def entity_type_metrics(spark, sf_dir):
+    return _rounded(evaluation.entity_type_metrics(_typed(spark, sf_dir), values(spark, [("T1",), ("T3",), ("T9",)], ["type_id"])))
+
+
+_LOWER = "(lower(text) = text AND regexp_matches(text, '\\p{Ll}'))"
+
+
+@query(f"""WITH g AS ({_GOLD}), p AS ({_PRED}),
+  a AS (SELECT g.article_id, g.start, g.stop, any_value(g.text) AS text, count(p.article_id) AS n, coalesce(bool_or(p.start >= g.start AND p.stop <= g.stop), false) AS within FROM g
+    LEFT JOIN p ON p.article_id = g.article_id AND p.start < g.stop AND g.start < p.stop GROUP BY 1, 2, 3 HAVING NOT coalesce(bool_or(p.start = g.start AND p.stop = g.stop), false)),
+  b AS (SELECT p.article_id, p.start, p.stop, any_value(p.text) AS text, count(g.article_id) AS n, coalesce(bool_or(g.entity_id = '<NIL>'), false) AS unknown, coalesce(bool_or(g.entity_id = p.entity_id), false) AS same FROM p
+    LEFT JOIN g ON p.article_id = g.article_id AND p.start < g.stop AND g.start < p.stop GROUP BY 1, 2, 3 HAVING NOT coalesce(bool_or(p.start = g.start AND p.stop = g.stop), false))
+  SELECT side, category, count(*) AS n FROM (SELECT 'ner_fn' AS side, CASE WHEN {_LOWER} THEN 'lowercased' WHEN within AND contains(text, ' ') THEN 'partially_included' WHEN n > 0 THEN 'partial_overlap' ELSE 'other' END AS category FROM a
+  UNION ALL SELECT 'ner_fp', CASE WHEN {_LOWER} AND n = 0 THEN 'lowercased' WHEN NOT {_LOWER} AND unknown THEN 'groundtruth_unknown' ELSE 'other' END FROM b UNION ALL SELECT 'ner_fp', 'wrong_span' FROM b WHERE same) GROUP BY 1, 2""")
+def error_categories(spark, sf_dir):
+    return evaluation.recognition_errors(_gold(spark, sf_dir), _predicted(spark, sf_dir)).groupBy("side", "category").agg(F.count("*").alias("n"))
+
+
+_PAIRS = """SELECT l_returnflag AS gold, CASE WHEN l_discount > 0.05 THEN 'A' ELSE l_returnflag END AS predicted, CASE WHEN l_quantity > 25 THEN 'A' ELSE 'N' END AS popular, l_linestatus AS text,
+  l_returnflag || l_linestatus AS gold_name, l_returnflag = 'A' AS gold_is_place, l_discount > 0.02 AS predicted_is_place, l_tax > 0.03 AS popular_is_place, l_tax > 0.05 AS gold_is_demonym_type, l_suppkey % 5 = 0 AS is_demonym,
+  CASE WHEN l_partkey % 2 = 0 THEN ['A', 'N'] ELSE ['R'] END AS candidates FROM lineitem"""
+
+
+@query(f"""WITH p AS ({_PAIRS}), x AS (SELECT *, gold <> predicted AS wrong, popular_is_place AND NOT gold_is_place AS met, contains(gold_name, text) AND gold_name <> text AS part, popular <> gold AS rare, list_contains(candidates, gold) AS among FROM p)
+  SELECT unnest(['all', 'demonym', 'metonymy', 'partial_name', 'rare', 'wrong_candidates', 'multiple_candidates', 'other']) AS category,
+  unnest([count_if(wrong), count_if(wrong AND is_demonym AND gold_is_demonym_type), count_if(wrong AND met AND predicted_is_place), count_if(wrong AND part), count_if(wrong AND rare AND predicted = popular),
+    count_if(wrong AND NOT among), count_if(wrong AND among AND len(candidates) > 1), count_if(wrong AND NOT (is_demonym OR met OR part OR rare))])::BIGINT AS errors,
+  unnest([count(*), count_if(is_demonym), count_if(met), count_if(part), count_if(rare), count(*), count_if(among AND len(candidates) > 1), count_if(NOT (is_demonym OR met OR part OR rare))])::BIGINT AS total FROM x""")
+def disambiguation_errors(spark, sf_dir):
+    c = F.col
+    pairs = read(spark, sf_dir, "lineitem").select(
+        c("l_returnflag").alias("gold"), F.when(c("l_discount") > 0.05, "A").otherwise(c("l_returnflag")).alias("predicted"), F.when(c("l_quantity") > 25, "A").otherwise("N").alias("popular"),
+        c("l_linestatus").alias("text"), F.concat("l_returnflag", "l_linestatus").alias("gold_name"), (c("l_returnflag") == "A").alias("gold_is_place"), (c("l_discount") > 0.02).alias("predicted_is_place"),
+        (c("l_tax") > 0.03).alias("popular_is_place"), (c("l_tax") > 0.05).alias("gold_is_demonym_type"), (c("l_suppkey") % 5 == 0).alias("is_demonym"),
+        F.when(c("l_partkey") % 2 == 0, F.array(F.lit("A"), F.lit("N"))).otherwise(F.array(F.lit("R"))).alias("candidates"),
+    )
+    return evaluation.disambiguation_errors(pairs)
+
+
+@query("""WITH x AS (SELECT l_quantity > 10 AS d, l_discount > 0.02 AS m, l_tax > 0.03 AS e FROM lineitem)
+  SELECT 'undetected' AS category, count_if(NOT d) AS errors, count(*) AS total FROM x UNION ALL SELECT 'wrong_mention_referenced', count_if(d AND NOT m), count_if(d) FROM x
+  UNION ALL SELECT 'reference_wrongly_disambiguated', count_if(d AND m AND NOT e), count_if(d AND m) FROM x""")
+def coreference_cascade(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_quantity") > 10).alias("detected"), (F.col("l_discount") > 0.02).alias("right_mention"), (F.col("l_tax") > 0.03).alias("right_entity"))
+    return evaluation.coreference_cascade(rows)
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS article_id, l_linenumber AS id, CASE WHEN l_linenumber > 1 AND l_linenumber % 3 <> 0 THEN l_linenumber - 1 END AS parent, min(l_returnflag) AS type, 'Q1' AS entity_id FROM lineitem GROUP BY 1, 2, 3),
+  k AS (SELECT * FROM l WHERE parent IS NULL AND type = 'A' UNION ALL SELECT l.* FROM l JOIN k ON l.article_id = k.article_id AND l.parent = k.id) SELECT article_id, id, type FROM k""")
+def label_whitelist_filter(spark, sf_dir):
+    n = F.col("l_linenumber")
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("type"))
+    rows = lines.select(F.col("l_orderkey").alias("article_id"), n.alias("id"), F.when((n > 1) & (n % 3 != 0), n - 1).alias("parent"), "type", F.lit("Q1").alias("entity_id"))
+    return evaluation.filter_labels(rows, values(spark, [("A",)], ["type_id"])).select("article_id", "id", "type")
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS article_id, l_linenumber AS id, CASE WHEN l_linenumber > 1 AND l_linenumber % 3 <> 0 THEN l_linenumber - 1 END AS parent FROM lineitem GROUP BY 1, 2, 3),
+  k AS (SELECT article_id, id, id AS root FROM l WHERE parent IS NULL OR NOT EXISTS (SELECT 1 FROM l u WHERE u.article_id = l.article_id AND u.id = l.parent) UNION ALL SELECT l.article_id, l.id, k.root FROM l JOIN k ON l.article_id = k.article_id AND l.parent = k.id) SELECT * FROM k""")
+def root_labels(spark, sf_dir):
+    n = F.col("l_linenumber")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    rows = lines.select(F.col("l_orderkey").alias("article_id"), n.alias("id"), F.when((n > 1) & (n % 3 != 0), n - 1).alias("parent"))
+    return evaluation.root_labels(rows).select("article_id", "id", "root")
+
+
+# --- reports -------------------------------------------------------------------------------------
+
+_RESULTS = """SELECT o_orderpriority AS experiment, o_orderstatus AS benchmark, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2"""
+
+
+def _results(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("experiment"), F.col("o_orderstatus").alias("benchmark"))
+    return rows.agg(F.round(F.sum(F.col("o_totalprice").cast("decimal(20,2)")), 2).cast("double").alias("value"))
+
+
+@query(f"""SELECT experiment, coalesce(max(CASE WHEN benchmark = 'F' THEN value END), 0) AS F, coalesce(max(CASE WHEN benchmark = 'O' THEN value END), 0) AS O, coalesce(max(CASE WHEN benchmark = 'P' THEN value END), 0) AS P
+           FROM ({_RESULTS.replace('round(sum(o_totalprice), 2)', 'CAST(sum(CAST(o_totalprice AS DECIMAL(20,2))) AS DOUBLE)')}) GROUP BY experiment""")
+def experiment_pivot(spark, sf_dir):
+    return report.pivot(_results(spark, sf_dir), "value", ["F", "O", "P"])
+
+
+@query("SELECT experiment, benchmark FROM (SELECT DISTINCT o_orderpriority AS experiment, o_orderstatus AS benchmark FROM orders) WHERE regexp_matches(experiment || ' ' || benchmark, '(?i)(high|low) f')")
+def deprecated_filter(spark, sf_dir):
+    return report.shown(_results(spark, sf_dir).select("experiment", "benchmark"), "(high|low) f")
+
+
+@query("""SELECT l_returnflag AS experiment, round(CASE WHEN count(*) = 0 THEN 0 ELSE count_if(l_discount > 0.05) * 100 / count(*) END, 2) AS percentage FROM lineitem GROUP BY 1""")
+def error_percentage(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("experiment")).agg(F.count_if(F.col("l_discount") > 0.05).alias("e"), F.count("*").alias("t"))
+    return rows.select("experiment", report.error_percentage(F.col("e"), F.col("t")).alias("percentage"))
+
+
+@query("SELECT CAST(least(len(string_split_regex(trim(p_name), '\\s+')), 5) AS INT) AS words, count(*) AS n FROM part GROUP BY 1")
+def word_histogram(spark, sf_dir):
+    return report.word_histogram(read(spark, sf_dir, "part"), "p_name")
+
+
+# --- spans ---------------------------------------------------------------------------------------
+
+_SPANS = "SELECT l_orderkey AS article_id, l_linenumber AS id, CAST(l_partkey % 40 AS INT) AS start, CAST(l_partkey % 40 + 1 + l_quantity % 12 AS INT) AS stop FROM lineitem"
+
+
+def _spans(spark, sf_dir):
+    start = (F.col("l_partkey") % 40).cast("int")
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").alias("id"), start.alias("start"), (start + 1 + (F.col("l_quantity") % 12).cast("int")).alias("end"))
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY start - stop, start, id) AS k FROM ({_SPANS})),
+  r AS (SELECT article_id, k, id, start, stop, true AS ok, [struct_pack(a := start, b := stop)] AS kept FROM s WHERE k = 1 UNION ALL
+    SELECT s.article_id, s.k, s.id, s.start, s.stop, len(list_filter(kept, lambda x: x.a < s.stop AND s.start < x.b)) = 0,
+      CASE WHEN len(list_filter(kept, lambda x: x.a < s.stop AND s.start < x.b)) = 0 THEN list_append(kept, struct_pack(a := s.start, b := s.stop)) ELSE kept END FROM r JOIN s ON s.article_id = r.article_id AND s.k = r.k + 1)
+  SELECT article_id, id, start, stop FROM r WHERE ok""")
+def overlap_greedy(spark, sf_dir):
+    order = F.sort_array(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("n"), "start", "id", "end")))
+    rows = _spans(spark, sf_dir).groupBy("article_id").agg(order.alias("s"))
+    kept = rows.select("article_id", F.explode(spans.greedy(F.col("s"))).alias("x"))
+    return kept.select("article_id", F.col("x.id").alias("id"), F.col("x.start").alias("start"), F.col("x.end").alias("stop"))
+
+
+@query(f"""WITH s AS ({_SPANS}) SELECT a.article_id, a.id FROM s a WHERE a.id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.id % 2 = 1 AND a.article_id = b.article_id AND a.start < b.stop AND b.start < a.stop)""")
+def overlap_anti_join(spark, sf_dir):
+    s = _spans(spark, sf_dir)
+    return spans.not_overlapping(s.where("id % 2 = 0"), s.where("id % 2 = 1")).select("article_id", "id")
+
+
+@query(f"""WITH s AS ({_SPANS}) SELECT a.article_id, a.id AS token, b.id AS mention FROM s a JOIN s b ON a.article_id = b.article_id AND a.start >= b.start AND a.stop <= b.stop WHERE a.id % 2 = 0 AND b.id % 2 = 1""")
+def span_containment(spark, sf_dir):
+    s = _spans(spark, sf_dir)
+    got = spans.contained(s.where("id % 2 = 0"), s.where("id % 2 = 1"), width=16)
+    return got.select("article_id", F.col("id").alias("token"), F.col("mention.id").alias("mention"))
+
+
+@query("""WITH n AS (SELECT DISTINCT array_to_string((string_split_regex(trim(text), '\\s+'))[1:3], ' ') AS name FROM benchmark UNION SELECT DISTINCT array_to_string((string_split_regex(trim(text), '\\s+'))[1:2], ' ') FROM benchmark),
+  w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  g AS (SELECT doc_id, i - 1 AS start_word, k AS n_words, array_to_string(w[i:i + k - 1], ' ') AS name FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w))
+  SELECT doc_id, CAST(start_word AS INT) AS start_word, CAST(max(n_words) AS INT) AS n_words, arg_max(name, n_words) AS name FROM g WHERE name IN (SELECT name FROM n) GROUP BY 1, 2""")
+def trie_longest_match(spark, sf_dir):
+    w = F.split(F.trim("text"), r"\s+")
+    names = read(spark, sf_dir, "benchmark").select(F.explode(F.array(F.array_join(F.slice(w, 1, 3), " "), F.array_join(F.slice(w, 1, 2), " "))).alias("name"))
+    return spans.longest_names(read(spark, sf_dir, "documents"), names, 3)
+
+
+@query("""SELECT doc_id, '[' || substr(text, 1, 2) || ']' || substr(text, 3, 1) || '[' || substr(text, 4, 3) || ']' || substr(text, 7) AS marked FROM documents WHERE length(text) > 8""")
+def splice_annotate(spark, sf_dir):
+    at = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 2), (3, 6))])
+    rows = read(spark, sf_dir, "documents").where(F.length("text") > 8)
+    return rows.select("doc_id", spans.splice(F.col("text"), at, lambda x, s: F.concat(F.lit("["), s, F.lit("]"))).alias("marked"))
+
+
+# --- splits, vectors, events ---------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN r <= 50 THEN 'dev' WHEN r <= 120 THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents)""")
+def split_fixed_size(spark, sf_dir):
+    return splits.fixed_size(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50, 70)
+
+
+@query("""SELECT label, dim, round(avg(x), 6) AS mean FROM (SELECT label, CAST(unnest(range(len(embedding))) AS INT) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2""")
+def vector_mean(spark, sf_dir):
+    return ml.vector_mean(read(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS n, arg_max(l_linenumber, l_extendedprice * 100 - l_linenumber * 0.0001) AS t, arg_max(l_linenumber, l_quantity * 100 - l_linenumber) AS q, arg_max(l_linenumber, l_discount * 10000 - l_linenumber) AS d FROM lineitem GROUP BY 1)
+  SELECT count(*) AS n_groups, round(avg((q = t)::INT), 6) AS acc_l_quantity, round(avg((d = t)::INT), 6) AS acc_l_discount, round(1 / avg(n), 6) AS random FROM g""")
+def group_argmax_accuracy(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").withColumn("item", F.col("l_linenumber"))
+    out = ml.group_accuracy(rows, "l_orderkey", "l_extendedprice", ["l_quantity", "l_discount"])
+    return out.select("n_groups", *[F.round(c, 6).alias(c) for c in ("acc_l_quantity", "acc_l_discount", "random")])
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
+def event_windows(spark, sf_dir):
+    return annotate.event_counts(read(spark, sf_dir, "events")).withColumn("total", F.round("total", 2))
+
+
+@query()
+def hyperlink_reference(spark, sf_dir):
+    """Anchors and titles of pages as articles; entities are page targets. Checked against a plain version by the tests."""
+    plain = F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style)[^>]*>.*?</\\1>", " "), "<[^>]*>", " ")
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("page_id").alias("ordinal"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), plain.alias("text"), F.regexp_extract_all("html", F.lit('<a href="/([^"]*)">'), F.lit(1)).alias("targets"))
+    find = lambda t: F.struct((F.instr(F.col("text"), t) - 1).cast("int").alias("start"), (F.instr(F.col("text"), t) - 1 + F.length(t)).cast("int").alias("end"), t.alias("target"))
+    arts = pages.withColumn("hyperlinks", F.filter(F.transform("targets", find), lambda x: x["start"] >= 0)).withColumn("title_synonyms", F.array().cast("array<struct<start:int,end:int>>"))
+    titles = pages.select(F.explode("targets").alias("title")).distinct().select("title", F.concat(F.lit("Q"), F.abs(F.hash("title")).cast("string")).alias("entity_id"))
+    none = spark.createDataFrame([], "title string, target string")
+    names = titles.select("entity_id", F.col("title").alias("name"))
+    types = titles.select("entity_id", F.array(F.lit("Q5")).alias("types"))
+    aliases = titles.select("entity_id", F.array("title").alias("aliases"))
+    return linking.by_hyperlinks_and_names(arts, titles, none, names, types, aliases)
