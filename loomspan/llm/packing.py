@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +33,7 @@ from ._common import materialize
 CAPACITY, END_ID = 4096, 1
 #: So many word forms are remembered by a task; then it starts anew. A bound on memory, not on results.
 CACHE = 600_000
-_MARKS = ".,;:!?*#$%&"
-_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
+_LETTERS, _MARKS = "[A-Za-zªµºÀ-ÖØ-öø-ÿ]+", "[.,;:!?*#$%&]"
 
 
 def default_tokenizer() -> str:
@@ -43,7 +43,7 @@ def default_tokenizer() -> str:
 
 
 class WordTokenizer:
-    """Token ids of a text as little-endian 32-bit bytes.
+    """Token ids of whole texts, in bulk.
 
     The tokenizer never merges across white space, so each white-space separated word form is encoded
     once by the library and remembered.
@@ -61,47 +61,55 @@ class WordTokenizer:
         self.closes[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
-    def __call__(self, text: str | None) -> bytes:
-        text = text or ""
-        # Python's split() also parts at these four, which the tokenizer takes for characters
-        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-        words = text.translate(_SPACE).split(" ") if odd else text.split()
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            if len(self.known) > CACHE:
-                self.known = {"": b""}
-            self._learn({w for w in words if w not in self.known})
-            ids = map(self.known.__getitem__, words)
-        return b"".join(ids)
-
-    def _learn(self, words: set[str]) -> None:
-        """Remember new word forms. Letters of Latin-1 and marks behind them are separate for the tokenizer,
-        and it lower-cases them as Python does, so such a form is put together from its parts."""
-        known, parts, simple, marks, whole = self.known, {}, set(), set(), []
-        for w in words:
-            core = w.rstrip(_MARKS)
-            if core.isalpha() and max(core) < "\u0100":
-                low, tail = core.lower(), w[len(core) :]
-                parts[w] = low, tail
-                if low not in known:
-                    simple.add(low)
-                if tail not in known:
-                    marks.add(tail)
-            else:
-                whole.append(w)
-        self._encode([*whole, *marks])
-        if simple:
-            # one call for all: each is one piece, whose last token closes a word
-            flat = np.array(self.encode([" ".join(simple)], add_special_tokens=False)[0].ids, "<u4")
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text followed by END_ID, and where each text ends."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = words.flatten().dictionary_encode()
+        # letters of Latin-1 and marks behind them are pieces of their own, and lower-cased alike
+        forms = coded.dictionary
+        behind = pc.replace_substring_regex(forms, f"^{_LETTERS}", "")
+        parted = pc.match_substring_regex(forms, f"^{_LETTERS}{_MARKS}*$")
+        keys = pc.if_else(parted, pc.utf8_lower(pc.replace_substring_regex(forms, f"{_MARKS}*$", "")), forms).dictionary_encode()
+        marks = pc.if_else(parted, behind, "").dictionary_encode()
+        if len(self.known) > CACHE:
+            self.known = {"": b""}
+        self._learn(keys.dictionary)
+        self._learn(marks.dictionary)
+        first = [self._table(x.dictionary) for x in (keys, marks)]
+        both = np.stack([x.indices.to_numpy(zero_copy_only=False) for x in (keys, marks)], axis=1)
+        both[:, 1] += len(keys.dictionary)  # each form is a key and its marks
+        table, at = _gather(np.concatenate([t for t, _ in first]), np.concatenate([n for _, n in first]), both.ravel())
+        size = np.diff(at[::2])
+        flat, upto = _gather(table, size, coded.indices.to_numpy(zero_copy_only=False))
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+        ends = upto[counts]
+        return np.insert(flat, ends, END_ID).astype("<u4"), ends + np.arange(1, len(ends) + 1)
+
+    def _table(self, forms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the forms, one after the other, and how many each has."""
+        ids = list(map(self.known.__getitem__, forms.to_pylist()))
+        return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+    def _learn(self, forms: pa.Array) -> None:
+        known = self.known
+        new = forms.filter(pa.array([w not in known for w in forms.to_pylist()], pa.bool_()))
+        simple = pc.match_substring_regex(new, f"^{_LETTERS}$")
+        one = new.filter(simple).to_pylist()
+        if one:  # one call for all: each is one piece, whose last token closes a word
+            flat = np.array(self.encode([" ".join(one)], add_special_tokens=False)[0].ids, "<u4")
             ends = ((np.flatnonzero(self.closes[flat]) + 1) * 4).tolist()
             data = flat.tobytes()
-            known.update((w, data[s:e]) for w, s, e in zip(simple, [0, *ends], ends, strict=False))
-        for w, (low, tail) in parts.items():
-            known[w] = known[low] + known[tail]
+            known.update((w, data[s:e]) for w, s, e in zip(one, [0, *ends], ends, strict=False))
+        rest = new.filter(pc.invert(simple)).to_pylist()
+        for w, e in zip(rest, self.encode(rest, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
 
-    def _encode(self, words: list[str]) -> None:
-        for w, e in zip(words, self.encode(words, add_special_tokens=False), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
+
+def _gather(table: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``code`` of a ragged table, one after the other, and where each begins (and the last ends)."""
+    first, long = np.r_[0, size.cumsum()], size[code]
+    upto = np.r_[0, long.cumsum()]
+    return table[np.repeat(first[code] - upto[:-1], long) + np.arange(upto[-1])], upto
 
 
 @lru_cache(maxsize=2)
@@ -125,27 +133,27 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
             T.StructField("nth", T.LongType()),
         ]
     )
-    end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task, row = _tokenizer(path), TaskContext.get().partitionId(), 0
         seen = [0] * (capacity + 1)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
                 at, piece, start, length, ids, nth = [], [], [], [], [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    data = tokens(text) + end
-                    for k, s in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[s : s + 4 * capacity]
-                        n = len(part) // 4
+                flat, ends = tokens(batch.column(1))
+                whole_ids, begin = flat.tobytes(), 0
+                for i, stop in enumerate(ends.tolist()):
+                    for k, s in enumerate(range(begin, stop, capacity)):
+                        n = min(capacity, stop - s)
                         at.append(i)
                         piece.append(k)
-                        start.append(s // 4)
+                        start.append(s - begin)
                         length.append(n)
-                        ids.append(part)
+                        ids.append(whole_ids[4 * s : 4 * (s + n)])
                         nth.append(seen[n])
                         seen[n] += 1
+                    begin = stop
                 uid = (np.array(at, np.int64) + row) | (task << 40)
                 row += batch.num_rows
                 columns = [pa.array(uid), batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array([task] * len(at), pa.int32()), pa.array(nth, pa.int64())]
@@ -226,7 +234,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shared = spark.sparkContext.broadcast((starts, table))
 
     names = [c for c in pieces.columns if c not in ("task", "nth")]
-    on = counts.select(F.col("task").alias("_t"), F.col("length").alias("_l"), "before")
+    on = counts.select(F.col("task").alias("_t"), F.col("length").alias("_l"), "before").hint("merge")
     ranked = pieces.join(on, (F.col("task") == F.col("_t")) & (F.col("length") == F.col("_l")))
     ranked = ranked.select(*names, (F.col("before") + F.col("nth")).alias("_rank"))
     schema = T.StructType([ranked.schema[c] for c in names] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
