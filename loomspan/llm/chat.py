@@ -26,7 +26,7 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
     """conv_id, perspective, turn, speaker, role, segment, start, end, mask_start, mask_end (code points in
-    the rendered dialogue, end exclusive; the mask is empty, both null, for user turns)."""
+    the rendered dialogue, end exclusive; the mask of a user turn is empty, at its end)."""
     t = turns.select(
         F.col(conv).alias("conv_id"),
         F.col(turn).alias("turn"),
@@ -59,8 +59,8 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
     start, masked = end - F.col("_len"), F.col("role") == "assistant"
     return out.select(
         "conv_id", "perspective", "turn", "speaker", "role", "segment", start.alias("start"), end.alias("end"),
-        F.when(masked, start + F.col("_head")).alias("mask_start"),
-        F.when(masked, end - 1).alias("mask_end"),
+        F.when(masked, start + F.col("_head")).otherwise(end).alias("mask_start"),
+        F.when(masked, end - 1).otherwise(end).alias("mask_end"),
     )
 
 
@@ -68,5 +68,5 @@ def assemble(rotated: DataFrame) -> DataFrame:
     """conv_id, perspective, text, masks: whole dialogues. Only for conversations known to fit in memory."""
     rows = F.array_sort(F.collect_list(F.struct("start", "segment", "mask_start", "mask_end")))
     out = rotated.groupBy("conv_id", "perspective").agg(rows.alias("_r"))
-    spans = F.transform(F.filter("_r", lambda x: x["mask_start"].isNotNull()), lambda x: F.struct(x["mask_start"].alias("start"), x["mask_end"].alias("end")))
+    spans = F.transform(F.filter("_r", lambda x: x["mask_start"] < x["mask_end"]), lambda x: F.struct(x["mask_start"].alias("start"), x["mask_end"].alias("end")))
     return out.select("conv_id", "perspective", F.array_join(F.transform("_r", lambda x: x["segment"]), "").alias("text"), spans.alias("masks"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neighbours, packing, pii, quality, sharding, simhash, suffix_dedup, toxicity
+from . import chat, mixing, neighbours, oracles, packing, pii, quality, sharding, simhash, suffix_dedup, toxicity
 from ._common import materialize
 
 #: Production parameters of the sharding query: 16 shards, a table of 1,601 slots.
@@ -74,4 +74,10 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    """The rest can't be expressed in SQL (byte hashes, tokenizers, trees, offsets) and is tested by brute force."""
+    return {
+        "op3_chat_rotation": oracles.CHAT,
+        "op4_shard_lookup": oracles.sharding(SHARDS, SLOTS),
+        "op9_pareto_mix": oracles.MIX,
+        "op10_quality_rules": oracles.QUALITY,
+    }

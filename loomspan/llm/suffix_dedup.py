@@ -25,6 +25,9 @@ UTF-8; equality of anchors and whole contexts is equality of 64-bit hashes (two
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -40,9 +43,9 @@ from ._common import materialize
 MIN_LENGTH, GRAM = 100, 32
 SIDE = MIN_LENGTH - GRAM  # of a context, before the anchor; MIN_LENGTH behind its start
 WIDTH = SIDE + MIN_LENGTH
-CHUNK = 16 << 20  # bytes of text that a task treats at once
-PIECE = 1 << 20
-ROWS = 30_000  # contexts in one transform
+CHUNK = 4 << 20  # bytes of text that a task treats at once
+PIECE = 1 << 16  # windows hashed at once; temporary arrays stay in the cache
+ROWS = 12_000  # contexts in one transform
 HEAVY = 200_000  # contexts from which an anchor is dealt over several tasks
 PART_BYTES = 8 << 20
 NULL_ID = np.iinfo(np.int64).max
@@ -58,6 +61,19 @@ CONTEXT = np.dtype([("h", "u8"), ("doc", "i8"), ("th", "u4"), ("pos", "i4"), ("l
 TEXTS = np.dtype([("doc", "i8"), ("th", "u4"), ("size", "i4")])
 
 
+def _tidy(f):
+    """A map function that gives its memory back at its end: workers are used again, beside a large JVM."""
+
+    def run(batches):
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _S[0])
     x *= _A
@@ -232,7 +248,7 @@ def repeated_windows(group: np.ndarray, ctx: np.ndarray, left: np.ndarray, right
     """
     n, width = ctx.shape
     column = np.arange(width)
-    symbol = np.where((column >= SIDE - left[:, None]) & (column < SIDE + right[:, None]), ctx.astype(np.int32) + 1, 0)
+    symbol = np.where((column >= SIDE - left[:, None]) & (column < SIDE + right[:, None]), ctx.astype(np.int16) + 1, np.int16(0))
     base = group.astype(np.int64) * 257
     order = np.arange(n)
     windows = width - stop + 1
@@ -362,9 +378,16 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, parts: int, heavy) -> lis
                 out += _dealt(ask, _part_of(ask["doc"], parts), ENTRY)
             yield _batch(out)
 
+    def send(contexts):
+        c = np.concatenate(contexts)
+        part = _part_of(c["h"], parts)
+        hot = _is_heavy(c["h"], heavy.value)
+        part[hot] = _part_of(c["h"][hot] + c["doc"][hot].astype(np.uint64) + c["pos"][hot].astype(np.uint64), parts)
+        return _batch(list(_dealt(c, part, ENTRY)))
+
     def fetch(batches):
         for _, rows in _by_part(batches):
-            asked, seen = [], set()
+            asked, seen, contexts, held = [], set(), [], 0
             for kind, data in rows:
                 if kind == ENTRY:
                     asked.append(_unpack(data, ENTRIES))
@@ -376,7 +399,6 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, parts: int, heavy) -> lis
                 if not len(asked):
                     break
                 table, raw = _unpack_texts(data)
-                contexts = []
                 at = 0
                 lo = np.searchsorted(key[0], table["doc"], side="left")
                 hi = np.searchsorted(key[0], table["doc"], side="right")
@@ -392,13 +414,13 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, parts: int, heavy) -> lis
                                 c[f] = own[f]
                             c["bytes"] = b[np.clip(own["pos"].astype(np.int64)[:, None] - SIDE + np.arange(WIDTH), 0, size - 1)]
                             contexts.append(c)
+                            held += len(own)
                     at += size
-                if contexts:
-                    c = np.concatenate(contexts)
-                    part = _part_of(c["h"], parts)
-                    hot = _is_heavy(c["h"], heavy.value)
-                    part[hot] = _part_of(c["h"][hot] + c["doc"][hot].astype(np.uint64) + c["pos"][hot].astype(np.uint64), parts)
-                    yield _batch(list(_dealt(c, part, ENTRY)))
+                    if held >= ROWS:
+                        yield send(contexts)
+                        contexts, held = [], 0
+            if contexts:
+                yield send(contexts)
 
     def expand(batches):
         for _, rows in _by_part(batches):
@@ -436,10 +458,10 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, parts: int, heavy) -> lis
             cover = _merged(cover)
             yield _batch(list(_dealt(cover, _part_of(cover["doc"], parts), COVER)))
 
-    settled = materialize(_shuffle(docs.mapInArrow(collect_anchors, SCHEMA), parts).mapInArrow(settle, SCHEMA), "anchors")
-    contexts = _shuffle(settled.where(F.col("kind") == ENTRY).unionByName(texts), parts).mapInArrow(fetch, SCHEMA)
-    expanded = materialize(_shuffle(contexts, parts).mapInArrow(expand, SCHEMA), "classes")
-    compared = _shuffle(expanded.where(F.col("kind") == WINDOW), parts).mapInArrow(compare, SCHEMA)
+    settled = materialize(_shuffle(docs.mapInArrow(_tidy(collect_anchors), SCHEMA), parts).mapInArrow(_tidy(settle), SCHEMA), "anchors")
+    contexts = _shuffle(settled.where(F.col("kind") == ENTRY).unionByName(texts), parts).mapInArrow(_tidy(fetch), SCHEMA)
+    expanded = materialize(_shuffle(contexts, parts).mapInArrow(_tidy(expand), SCHEMA), "classes")
+    compared = _shuffle(expanded.where(F.col("kind") == WINDOW), parts).mapInArrow(_tidy(compare), SCHEMA)
     return [settled.where(F.col("kind") == COVER), expanded.where(F.col("kind") == COVER), compared]
 
 
@@ -460,7 +482,7 @@ def _heavy_anchors(docs: DataFrame) -> tuple[np.ndarray, int]:
             h, n = h[some].view(np.int64), n[some]
             yield pa.RecordBatch.from_arrays([pa.array([*h, None], pa.int64()), pa.array([*n, len(data)], pa.int64())], names=["h", "n"])
 
-    sums = materialize(docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "heavy")
+    sums = materialize(docs.mapInArrow(_tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "heavy")
     size = sums.where("h is null").first()
     rows = sums.where((F.col("n") >= HEAVY) & F.col("h").isNotNull()).collect()
     return np.array(sorted(r.h for r in rows), np.int64).view(np.uint64), size.n if size else 0
@@ -479,7 +501,7 @@ def _text_blobs(docs: DataFrame, parts: int) -> DataFrame:
                 out.append((int(p), TEXT, compress(len(own).to_bytes(8, "little") + table[own].tobytes() + body)))
             yield _batch(out)
 
-    return docs.mapInArrow(pack, SCHEMA)
+    return docs.mapInArrow(_tidy(pack), SCHEMA)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -526,4 +548,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = texts
     for c in covers:
         rows = rows.unionByName(c)
-    return _shuffle(rows, parts).mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return _shuffle(rows, parts).mapInArrow(_tidy(cut), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")

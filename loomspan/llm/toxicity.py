@@ -6,9 +6,9 @@ letters, and lexicon words found only after undoing that). Every document is sco
 batches; the model is small and travels with the tasks.
 
 Training uses labelled rows only, at most MAX_LABELLED of them (the smallest by MD5 of doc_id; a
-documented bound): four tenths teach the learned words, four tenths the trees, two tenths the
-calibration, so that no part is judged on rows that shaped it. With under LEAST_POSITIVE toxic rows, the
-score is a fixed function of the stated lexicon.
+documented bound): four tenths teach the learned words, six tenths the trees; the calibration is fitted on
+scores of those six tenths that trees without the scored third gave, so that no part is judged on rows that
+shaped it. With under LEAST_POSITIVE toxic rows, the score is a fixed function of the stated lexicon.
 
 Defined results: null and empty texts have all features zero and get a score; repeated rows score alike; a null
 doc_id is never held out; labels that are null are left out, and a doc_id labelled twice counts as toxic
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .boosting import Boosted, isotonic
 
-MAX_LABELLED, LEAST_POSITIVE, LEARNED_WORDS = 20_000, 40, 120
+MAX_LABELLED, LEAST_POSITIVE, LEARNED_WORDS = 20_000, 20, 120
 
 # Insults and other words of abuse.
 LEXICON = frozenset(
@@ -156,11 +156,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         return Model(learned)
     found.sort(key=lambda r: str(r.doc_id))
     x, y, fold = (np.array([r[c] for r in found], float) for c in ("x", "toxic", "fold"))
-    fit, rest = fold < 8, fold >= 8
-    if y[fit].sum() < LEAST_POSITIVE or not 0 < y[rest].sum() < rest.sum():
+    part = fold % 3
+    if y.sum() < LEAST_POSITIVE or any(not 0 < y[part == k].sum() < (part == k).sum() for k in range(3)):
         return Model(learned)
-    trees = Boosted().fit(x[fit], y[fit])
-    return Model(learned, trees, isotonic(trees.raw(x[rest]), y[rest]))
+    raw = np.zeros(len(y))
+    for k in range(3):
+        raw[part == k] = Boosted().fit(x[part != k], y[part != k]).raw(x[part == k])
+    return Model(learned, Boosted().fit(x, y), isotonic(raw, y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
