@@ -1,8 +1,8 @@
 """Type graphs: closures, cuts, corrections, sub-graphs and the declarative query catalogue.
 
 Edges are (s, p, o). Closures run level by level: each level joins the frontier with the edges and drops
-what was reached before (an anti-join), so cycles end and depths are smallest depths. Levels are written
-out every few steps to keep plans short.
+what was reached before (an anti-join), so cycles end and depths are smallest depths. Each level is written
+out, which keeps plans short and survives lost executors.
 """
 
 from __future__ import annotations
@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 INSTANCE_OF, SUBCLASS_OF = "P31", "P279"
 
 
 def _grow(front: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     """(entity_id, cls, depth) -> all classes reached over (sub, sup), each with its smallest depth."""
+    front = cut(front)
     seen, step = front, 0
-    front = front.persist()
-    spark = front.sparkSession
-    reliable = spark.sparkContext.getCheckpointDir() is not None
     while step < most:
         step += 1
         new = front.join(edges, F.col("cls") == F.col("sub")).select("entity_id", F.col("sup").alias("cls"), (F.col("depth") + 1).alias("depth")).distinct()
         new = new.join(seen.select(F.col("entity_id").alias("_e"), F.col("cls").alias("_c")), (F.col("entity_id") == F.col("_e")) & (F.col("cls") == F.col("_c")), "left_anti")
-        new = new.checkpoint() if reliable else new.persist()
+        new = cut(new)
         if new.isEmpty():
             return seen
         seen, front = seen.unionByName(new), new

@@ -131,11 +131,15 @@ def redirects(lines: DataFrame) -> DataFrame:
     return last_wins(filled.where("target is not null and title is not null"), "title", "target")
 
 
+def _swap(left: str, right: str):
+    return lambda x: F.when(x == left, F.lit(right)).otherwise(x)
+
+
 def adjusted_types(types: Column, rules: list[tuple[str, str, str]]) -> Column:
     """Type arrays after (left, REPLACE_WITH | MINUS, right) rules: left becomes right; left goes where right is present."""
     for left, rule, right in rules:
         if rule == "REPLACE_WITH":
-            types = F.array_distinct(F.transform(types, lambda x, a=left, b=right: F.when(x == a, F.lit(b)).otherwise(x)))
+            types = F.array_distinct(F.transform(types, _swap(left, right)))
         else:
             types = F.when(F.array_contains(types, right), F.array_remove(types, left)).otherwise(types)
     return types

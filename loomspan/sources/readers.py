@@ -103,7 +103,7 @@ def benchmarks(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
 
 def results(spark: SparkSession, folder: str) -> DataFrame:
     """experiment_id, kind (eval_results, metadata), json: the result files below a folder."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     name = F.col("_metadata.file_name")
     files = files.select(F.regexp_extract(name, r"^(.*)\.(eval_results|metadata)\.json$", 1).alias("experiment_id"), F.regexp_extract(name, r"\.(eval_results|metadata)\.json$", 1).alias("kind"), F.col("value").alias("json"))
     return files.where("experiment_id != ''")
@@ -119,11 +119,12 @@ def statistics_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 def annotated_text(spark: SparkSession, path: str) -> DataFrame:
     """number, header, body of the articles of a bracket-annotated file."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     parts = F.split("value", r"(?m)^(?=\*{4} ARTICLE)")
     rows = whole.select(F.posexplode(parts).alias("number", "part")).where(F.startswith("part", F.lit("****")))
-    body = F.regexp_replace(F.regexp_replace("part", r"^[^\n]*\n?", ""), r"(?m)^<(START|END)>\n?", "")
-    return rows.select("number", F.regexp_extract("part", r"^([^\n]*)", 1).alias("header"), body.alias("body"))
+    head = F.substring_index("part", "\n", 1)
+    body = F.regexp_replace(F.substr("part", F.length(head) + 2), r"(?m)^<(?:START|END)>\n?", "")
+    return rows.select("number", head.alias("header"), body.alias("body"))
 
 
 def predictions_jsonl(spark: SparkSession, path: str) -> DataFrame:
