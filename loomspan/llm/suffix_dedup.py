@@ -47,7 +47,7 @@ CHUNK = 4 << 20  # bytes of text that a task treats at once
 PIECE = 1 << 16  # windows hashed at once; temporary arrays stay in the cache
 ROWS = 12_000  # contexts in one transform
 HEAVY = 200_000  # contexts from which an anchor is dealt over several tasks
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20  # of text, for one task of the later steps: the knob for memory
 NULL_ID = np.iinfo(np.int64).max
 COVER, ENTRY, TEXT, WINDOW = 0, 1, 2, 3
 SCHEMA = "part int, kind int, data binary"
@@ -161,9 +161,9 @@ def _dealt(a: np.ndarray, part: np.ndarray, kind: int) -> Iterator[tuple[int, in
         yield int(part[own[0]]), kind, _pack(a[own], compress)
 
 
-def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def _batch(rows: list[tuple[int, int, bytes]], keys: np.ndarray) -> pa.RecordBatch:
     part, kind, data = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(keys[np.array(part, np.int64)], pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, bytes]]:
@@ -339,16 +339,28 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[
 
 
 def _shuffle(df: DataFrame, parts: int) -> DataFrame:
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // 4)
-    return df.repartition(tasks, "part").sortWithinPartitions("part", "kind")
+    return df.repartition(parts, "part").sortWithinPartitions("part", "kind")
+
+
+def _keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each part a number that Spark's hash deals to that partition: one part a task. Bounded by the parts."""
+    number = F.col("id").cast("int")
+    n = 32 * parts
+    while True:
+        dealt = spark.range(n).groupBy(F.pmod(F.hash(number), F.lit(parts)).alias("p")).agg(F.min(number).alias("k"))
+        rows = {r.p: r.k for r in dealt.collect()}
+        if len(rows) == parts:
+            return np.array([rows[i] for i in range(parts)], np.int64)
+        n *= 4
 
 
 def _is_heavy(h: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     return np.isin(h, heavy) if len(heavy) else np.zeros(len(h), bool)
 
 
-def repeated_ranges(docs: DataFrame, texts: DataFrame, parts: int, heavy) -> list[DataFrame]:
+def repeated_ranges(docs: DataFrame, texts: DataFrame, keys: np.ndarray, heavy) -> list[DataFrame]:
     """Covered ranges, as blobs by document part. ``texts``: blobs of the documents by document part."""
+    parts = len(keys)
 
     def collect_anchors(batches):
         for table, data in _chunks(batches):
@@ -356,7 +368,7 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, parts: int, heavy) -> lis
             at = _part_of(first["h"], parts)
             hot = _is_heavy(first["h"], heavy.value)
             at[hot] = _part_of(first["h"][hot] + first["c"][hot], parts)
-            yield _batch([*_dealt(first, at, ENTRY), *_dealt(cover, _part_of(cover["doc"], parts), COVER)])
+            yield _batch([*_dealt(first, at, ENTRY), *_dealt(cover, _part_of(cover["doc"], parts), COVER)], keys)
 
     def settle(batches):
         for _, rows in _by_part(batches):
@@ -376,14 +388,14 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, parts: int, heavy) -> lis
                 ask = first[several]
                 out += _dealt(cover, _part_of(cover["doc"], parts), COVER)
                 out += _dealt(ask, _part_of(ask["doc"], parts), ENTRY)
-            yield _batch(out)
+            yield _batch(out, keys)
 
     def send(contexts):
         c = np.concatenate(contexts)
         part = _part_of(c["h"], parts)
         hot = _is_heavy(c["h"], heavy.value)
         part[hot] = _part_of(c["h"][hot] + c["doc"][hot].astype(np.uint64) + c["pos"][hot].astype(np.uint64), parts)
-        return _batch(list(_dealt(c, part, ENTRY)))
+        return _batch(list(_dealt(c, part, ENTRY)), keys)
 
     def fetch(batches):
         for _, rows in _by_part(batches):
@@ -444,7 +456,7 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, parts: int, heavy) -> lis
             for own, large in jobs:
                 cover, windows = _expand(c[own], large)
                 cover = _merged(cover)
-                yield _batch([*_dealt(cover, _part_of(cover["doc"], parts), COVER), *_dealt(windows, _part_of(windows["w"], parts), WINDOW)])
+                yield _batch([*_dealt(cover, _part_of(cover["doc"], parts), COVER), *_dealt(windows, _part_of(windows["w"], parts), WINDOW)], keys)
 
     def compare(batches):
         for _, rows in _by_part(batches):
@@ -456,7 +468,7 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, parts: int, heavy) -> lis
                 cover[f] = late[f]
             cover["end"] = late["start"] + MIN_LENGTH
             cover = _merged(cover)
-            yield _batch(list(_dealt(cover, _part_of(cover["doc"], parts), COVER)))
+            yield _batch(list(_dealt(cover, _part_of(cover["doc"], parts), COVER)), keys)
 
     settled = materialize(_shuffle(docs.mapInArrow(_tidy(collect_anchors), SCHEMA), parts).mapInArrow(_tidy(settle), SCHEMA), "anchors")
     contexts = _shuffle(settled.where(F.col("kind") == ENTRY).unionByName(texts), parts).mapInArrow(_tidy(fetch), SCHEMA)
@@ -488,7 +500,9 @@ def _heavy_anchors(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.array(sorted(r.h for r in rows), np.int64).view(np.uint64), size.n if size else 0
 
 
-def _text_blobs(docs: DataFrame, parts: int) -> DataFrame:
+def _text_blobs(docs: DataFrame, keys: np.ndarray) -> DataFrame:
+    parts = len(keys)
+
     def pack(batches):
         compress = zstandard.ZstdCompressor(level=1).compress
         for table, data in _chunks(batches):
@@ -499,7 +513,7 @@ def _text_blobs(docs: DataFrame, parts: int) -> DataFrame:
                 own = np.flatnonzero(part == p)
                 body = b"".join([data[at[i] : at[i + 1]] for i in own])
                 out.append((int(p), TEXT, compress(len(own).to_bytes(8, "little") + table[own].tobytes() + body)))
-            yield _batch(out)
+            yield _batch(out, keys)
 
     return docs.mapInArrow(_tidy(pack), SCHEMA)
 
@@ -509,9 +523,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     heavy, size = _heavy_anchors(docs)
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
-    texts = _text_blobs(docs, parts)
-    covers = repeated_ranges(docs, texts, parts, spark.sparkContext.broadcast(heavy))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    keys = _keys(spark, parts)
+    texts = _text_blobs(docs, keys)
+    covers = repeated_ranges(docs, texts, keys, spark.sparkContext.broadcast(heavy))
 
     def cut(batches):
         for _, rows in _by_part(batches):
