@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_RUN = "[\\x20\\x09-\\x0D]+"
 
+_written: list[str] = []
+
 #: Up to so many rows a keyed side table is broadcast; beyond, it is joined by a salted shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -35,9 +37,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/loomspan-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete the tables that this session has written to the shared folder, once their results are used up."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def words_of(text: Column) -> Column:
     """Array of the white-space separated words of a text; null and blank give an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))

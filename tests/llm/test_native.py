@@ -170,3 +170,15 @@ def test_chat(spark):
     for x in got.collect():
         assert whole[(x.conv_id, x.perspective)].text[x.start : x.end] == x.segment
     assert len(re.findall("im_start", r.text)) == 5
+
+
+def test_written_tables_can_be_dropped(spark):
+    import os
+
+    from loomspan.llm import _common
+
+    df = _common.materialize(spark.range(3), "drop")
+    assert df.count() == 3
+    path = _common._written[-1]
+    _common.drop_materialized(spark)
+    assert not os.path.exists(path.removeprefix("file:")) and not _common._written
