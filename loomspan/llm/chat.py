@@ -32,10 +32,13 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
         F.col(turn).alias("turn"),
         F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.coalesce(F.floor(F.col(turn) / block), F.lit(-1)).alias("_block"),
     )
-    people = t.groupBy("conv_id", "speaker").agg(F.count("*").alias("n_turns"))
-    people = people.select(F.col("conv_id").alias("_c"), F.col("speaker").alias("perspective"))
-    out = t.join(people, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
+    # participants are repeated for each block of turns, so that a long conversation is joined by many tasks
+    people = t.select("conv_id", "speaker").distinct().select(F.col("conv_id").alias("_c"), F.col("speaker").alias("perspective"))
+    blocks = t.select("conv_id", "_block").distinct()
+    people = blocks.join(people, F.col("conv_id").eqNullSafe(F.col("_c"))).select("_c", "perspective", F.col("_block").alias("_b"))
+    out = t.join(people, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b"))).drop("_c", "_b")
     own = F.col("speaker") == F.col("perspective")
     head = F.when(own, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), "speaker", F.lit("\n")))
     out = out.select(
@@ -46,7 +49,7 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
         F.when(own, "assistant").otherwise("user").alias("role"),
         F.concat(head, "text", F.lit(CLOSE)).alias("segment"),
         F.length(head).alias("_head"),
-        F.coalesce(F.floor(F.col("turn") / block), F.lit(-1)).alias("_block"),
+        "_block",
     ).withColumn("_len", F.length("segment").cast("long"))
     group = ["conv_id", "perspective"]
     sums = out.groupBy(*group, "_block").agg(F.sum("_len").alias("_s"))
