@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..storage import cut
 
 MODES = ("IGNORED", "REQUIRED")
 # English pronouns that refer to entities.
@@ -198,7 +199,7 @@ def root_labels(labels: DataFrame, levels: int = 16) -> DataFrame:
     now = labels.withColumn("root", F.col("id")).withColumn("_up", F.col("parent"))
     for _ in range(levels):
         now = now.join(up, (F.col("article_id") == F.col("_a")) & (F.col("_up") == F.col("_i")), "left")
-        now = now.withColumn("root", F.coalesce("_i", "root")).withColumn("_up", F.col("_p")).drop("_a", "_i", "_p")
+        now = cut(now.withColumn("root", F.coalesce("_i", "root")).withColumn("_up", F.col("_p")).drop("_a", "_i", "_p"))
         if now.where("_up is not null").isEmpty():
             return now.drop("_up")
     raise RuntimeError("labels are nested deeper than expected, or in a cycle")
@@ -213,7 +214,7 @@ def filter_labels(labels: DataFrame, whitelist: DataFrame, levels: int = 16) ->
     out, front = [kept], kept
     for _ in range(levels):
         up = front.select(F.col("article_id").alias("_a"), F.col("id").alias("_i"))
-        front = labels.where(F.size(types) > 0).join(up, (F.col("article_id") == F.col("_a")) & (F.col("parent") == F.col("_i")), "left_semi")
+        front = cut(labels.where(F.size(types) > 0).join(up, (F.col("article_id") == F.col("_a")) & (F.col("parent") == F.col("_i")), "left_semi"))
         if front.isEmpty():
             break
         out.append(front)
