@@ -145,3 +145,33 @@ def predictions_nif(df: DataFrame) -> DataFrame:
 def surfaces(spark: SparkSession, path: str) -> DataFrame:
     """surface, title: acronym and synonym tables kept as parquet."""
     return spark.read.schema("surface string, title string").parquet(path)
+
+
+def _numbered_files(spark: SparkSession, folder: str, pattern: str, kind) -> DataFrame:
+    """article_id (the number in the file name), d (the parsed document) of JSON files, one an article."""
+    files = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    number = F.regexp_extract(F.col("_metadata.file_name"), "([0-9]+)", 1).cast("long")
+    return files.select(number.alias("article_id"), F.from_json("value", kind).alias("d"))
+
+
+_WIKIDATA_ID = "Q[0-9]+"
+
+
+def predictions_ambiverse(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """article_id, start, end, entity_id of {"matches": [{"charOffset", "charLength", "entity": {"id"}}]} files."""
+    s = schema
+    kind = s.struct(matches=s.many(s.struct(charOffset=s.I, charLength=s.I, entity=s.struct(id=s.S))))
+    rows = _numbered_files(spark, folder, pattern, kind).select("article_id", F.explode("d.matches").alias("m"))
+    found = rows.select("article_id", F.col("m.charOffset").alias("start"), (F.col("m.charOffset") + F.col("m.charLength")).alias("end"), F.regexp_extract("m.entity.id", _WIKIDATA_ID, 0).alias("entity_id"))
+    return found.where("entity_id != ''")
+
+
+def predictions_wikifier(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """article_id, start, end, entity_id of {"annotations": [{"wikiDataItemId", "support": [{"chFrom", "chTo"}]}]} files;
+    chTo is the last character. Of annotations with the same span the first stays."""
+    s = schema
+    kind = s.struct(annotations=s.many(s.struct(wikiDataItemId=s.S, support=s.many(s.struct(chFrom=s.I, chTo=s.I)))))
+    rows = _numbered_files(spark, folder, pattern, kind).select("article_id", F.posexplode("d.annotations").alias("n", "a"))
+    rows = rows.where("a.wikiDataItemId is not null").select("article_id", "n", F.col("a.wikiDataItemId").alias("entity_id"), F.explode("a.support").alias("s"))
+    first = rows.groupBy("article_id", F.col("s.chFrom").alias("start"), (F.col("s.chTo") + 1).alias("end"))
+    return first.agg(F.min_by("entity_id", "n").alias("entity_id"))

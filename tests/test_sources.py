@@ -132,3 +132,12 @@ def test_ordinals_are_contiguous(spark):
     got = with_ordinal(df, "n", "id").collect()
     assert sorted((r.n, r.id) for r in got) == [(i, i) for i in range(1000)]
     assert sorted(r.n for r in with_ordinal(df, "n").collect()) == list(range(1000))
+
+
+def test_predictions_of_services(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "article_7.json").write_text(json.dumps({"matches": [{"charOffset": 2, "charLength": 3, "entity": {"id": "http://www.wikidata.org/entity/Q5"}}, {"charOffset": 9, "charLength": 1, "entity": {}}]}))
+    assert [tuple(r) for r in readers.predictions_ambiverse(spark, str(tmp_path / "a")).collect()] == [(7, 2, 5, "Q5")]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "3.json").write_text(json.dumps({"annotations": [{"wikiDataItemId": "Q1", "support": [{"chFrom": 0, "chTo": 4}]}, {"wikiDataItemId": "Q2", "support": [{"chFrom": 0, "chTo": 4}, {"chFrom": 6, "chTo": 8}]}, {"support": [{"chFrom": 1, "chTo": 2}]}]}))
+    assert sorted(tuple(r) for r in readers.predictions_wikifier(spark, str(tmp_path / "w")).collect()) == [(3, 0, 5, "Q1"), (3, 6, 9, "Q2")]
