@@ -329,7 +329,7 @@ _CASES = f"""g AS ({_GOLD}), p AS ({_PRED}), j AS (SELECT coalesce(g.article_id,
   m AS (SELECT *, 'REQUIRED' AS mode, coalesce(gold = predicted, false) AS tp, gold IS NOT NULL AND NOT coalesce(gold = predicted, false) AS fn, predicted IS NOT NULL AND NOT coalesce(gold = predicted, false) AS fp,
     gold IS NOT NULL AND predicted IS NOT NULL AS ntp, gold IS NOT NULL AND predicted IS NULL AS nfn, predicted IS NOT NULL AND gold IS NULL AS nfp FROM k
   UNION ALL SELECT *, 'IGNORED', coalesce(gold = predicted AND gold <> '<NIL>', false), gold IS NOT NULL AND gold <> '<NIL>' AND NOT coalesce(gold = predicted, false), predicted IS NOT NULL AND NOT coalesce(gold = predicted, false),
-    gold IS NOT NULL AND gold <> '<NIL>' AND predicted IS NOT NULL, gold IS NOT NULL AND gold <> '<NIL>' AND predicted IS NULL, predicted IS NOT NULL AND gold IS NULL FROM k)"""
+    gold IS NOT NULL AND gold <> '<NIL>' AND predicted IS NOT NULL, gold IS NOT NULL AND gold <> '<NIL>' AND predicted IS NULL, predicted IS NOT NULL AND (gold IS NULL OR gold = '<NIL>') FROM k)"""
 _RATIOS = """tp + fn AS ground_truth, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
   round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1"""
 

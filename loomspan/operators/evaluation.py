@@ -41,7 +41,7 @@ def eval_types(case: DataFrame) -> DataFrame:
     required = some(("TP", hit), ("FN", has_gold & ~hit), ("FP", has_pred & ~hit))
     ignored = some(("TP", hit & known_gold), ("FN", known_gold & ~hit), ("FP", known_pred & ~hit))
     ner = some(("TP", has_gold & has_pred), ("FN", has_gold & ~has_pred), ("FP", has_pred & ~has_gold))
-    ner_ignored = some(("TP", known_gold & has_pred), ("FN", known_gold & ~has_pred), ("FP", known_pred & ~has_gold))
+    ner_ignored = some(("TP", known_gold & has_pred), ("FN", known_gold & ~has_pred), ("FP", known_pred & ~known_gold))
     return case.withColumns({"required": required, "ignored": ignored, "ner_required": ner, "ner_ignored": ner_ignored})
 
 
