@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +44,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(f):
+    """A map function over Arrow batches that gives its memory back at its end: workers are used again, beside a large JVM."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def drop_materialized(spark: SparkSession) -> None:
     """Delete the tables that this session has written to the shared folder, once their results are used up."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize
+from ._common import materialize, tidy
 
 CAPACITY, END_ID = 4096, 1
 #: So many word forms are remembered by a task; then it starts anew. A bound on memory, not on results.
-CACHE = 600_000
+CACHE = 400_000
 _LETTERS, _MARKS = "[A-Za-zªµºÀ-ÖØ-öø-ÿ]+", "[.,;:!?*#$%&]"
 
 
@@ -159,7 +159,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
                 columns = [pa.array(uid), batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array([task] * len(at), pa.int32()), pa.array(nth, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, schema), "tokens")
+    return materialize(docs.select("doc_id", "text").mapInArrow(tidy(run), schema), "tokens")
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
@@ -247,7 +247,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             columns = [*[batch.column(c) for c in names], pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return ranked.mapInArrow(look_up, schema)
+    return ranked.mapInArrow(tidy(look_up), schema)
 
 
 def sequences(tokens: DataFrame, placed: DataFrame) -> DataFrame:

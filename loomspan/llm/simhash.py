@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import join_small, materialize
+from ._common import join_small, materialize, tidy
 from .components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, carry: bool = False) -> DataFrame:
     kept = [F.monotonically_increasing_id().alias("uid"), "doc_id", *([F.struct("*").alias("row")] if carry else [])]
     frame = docs.select(*kept, F.col("text").alias("_text"))
     schema = T.StructType([f for f in frame.schema.fields if f.name != "_text"] + [T.StructField("fp", T.LongType())])
-    return materialize(frame.mapInArrow(_fingerprints, schema), "simhash")
+    return materialize(frame.mapInArrow(tidy(_fingerprints), schema), "simhash")
 
 
 def _parts(x: Column, widths: tuple[int, ...]) -> list[Column]:
@@ -176,7 +176,7 @@ def links(fps: DataFrame) -> DataFrame:
     spark = fps.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = cold.unionByName(again).repartition(parts, "key", "sub").sortWithinPartitions("key", "sub", "fp")
-    return dealt.mapInArrow(_forests, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(_forests), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, carry: bool = False) -> DataFrame:

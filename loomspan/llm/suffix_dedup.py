@@ -25,9 +25,6 @@ UTF-8; equality of anchors and whole contexts is equality of 64-bit hashes (two
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -38,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, tidy
 
 MIN_LENGTH, GRAM = 100, 32
 SIDE = MIN_LENGTH - GRAM  # of a context, before the anchor; MIN_LENGTH behind its start
@@ -61,19 +58,6 @@ CONTEXT = np.dtype([("h", "u8"), ("doc", "i8"), ("th", "u4"), ("pos", "i4"), ("l
 TEXTS = np.dtype([("doc", "i8"), ("th", "u4"), ("size", "i4")])
 
 
-def _tidy(f):
-    """A map function that gives its memory back at its end: workers are used again, beside a large JVM."""
-
-    def run(batches):
-        yield from f(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):
-            ctypes.CDLL(None).malloc_trim(0)
-
-    return run
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _S[0])
     x *= _A
@@ -470,10 +454,10 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, keys: np.ndarray, heavy)
             cover = _merged(cover)
             yield _batch(list(_dealt(cover, _part_of(cover["doc"], parts), COVER)), keys)
 
-    settled = materialize(_shuffle(docs.mapInArrow(_tidy(collect_anchors), SCHEMA), parts).mapInArrow(_tidy(settle), SCHEMA), "anchors")
-    contexts = _shuffle(settled.where(F.col("kind") == ENTRY).unionByName(texts), parts).mapInArrow(_tidy(fetch), SCHEMA)
-    expanded = materialize(_shuffle(contexts, parts).mapInArrow(_tidy(expand), SCHEMA), "classes")
-    compared = _shuffle(expanded.where(F.col("kind") == WINDOW), parts).mapInArrow(_tidy(compare), SCHEMA)
+    settled = materialize(_shuffle(docs.mapInArrow(tidy(collect_anchors), SCHEMA), parts).mapInArrow(tidy(settle), SCHEMA), "anchors")
+    contexts = _shuffle(settled.where(F.col("kind") == ENTRY).unionByName(texts), parts).mapInArrow(tidy(fetch), SCHEMA)
+    expanded = materialize(_shuffle(contexts, parts).mapInArrow(tidy(expand), SCHEMA), "classes")
+    compared = _shuffle(expanded.where(F.col("kind") == WINDOW), parts).mapInArrow(tidy(compare), SCHEMA)
     return [settled.where(F.col("kind") == COVER), expanded.where(F.col("kind") == COVER), compared]
 
 
@@ -494,7 +478,7 @@ def _heavy_anchors(docs: DataFrame) -> tuple[np.ndarray, int]:
             h, n = h[some].view(np.int64), n[some]
             yield pa.RecordBatch.from_arrays([pa.array([*h, None], pa.int64()), pa.array([*n, len(data)], pa.int64())], names=["h", "n"])
 
-    sums = materialize(docs.mapInArrow(_tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "heavy")
+    sums = materialize(docs.mapInArrow(tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "heavy")
     size = sums.where("h is null").first()
     rows = sums.where((F.col("n") >= HEAVY) & F.col("h").isNotNull()).collect()
     return np.array(sorted(r.h for r in rows), np.int64).view(np.uint64), size.n if size else 0
@@ -515,7 +499,7 @@ def _text_blobs(docs: DataFrame, keys: np.ndarray) -> DataFrame:
                 out.append((int(p), TEXT, compress(len(own).to_bytes(8, "little") + table[own].tobytes() + body)))
             yield _batch(out, keys)
 
-    return docs.mapInArrow(_tidy(pack), SCHEMA)
+    return docs.mapInArrow(tidy(pack), SCHEMA)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -563,4 +547,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = texts
     for c in covers:
         rows = rows.unionByName(c)
-    return _shuffle(rows, parts).mapInArrow(_tidy(cut), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return _shuffle(rows, parts).mapInArrow(tidy(cut), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import tidy
 from .boosting import Boosted, isotonic
 
 MAX_LABELLED, LEAST_POSITIVE, LEARNED_WORDS = 20_000, 20, 120
@@ -101,7 +102,7 @@ def _mapped(docs: DataFrame, keep: list[str], learned: frozenset[str]) -> DataFr
             x = [features(t, learned) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(x, pa.list_(pa.float64()))], names=schema.names)
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(tidy(run), schema)
 
 
 def _fold(doc_id: Column) -> Column:
@@ -174,7 +175,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([features(t, model.learned) for t in batch.column("text").to_pylist()], float).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:
