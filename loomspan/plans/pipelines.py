@@ -84,6 +84,14 @@ def evaluate(articles: DataFrame, types: DataFrame | None = None, whitelist: Dat
     out = out.unionByName(long(evaluation.ner_metrics(typed), "error_categories", F.lit("ner")))
     kinds = whitelist if whitelist is not None else articles.sparkSession.createDataFrame([], "type_id string")
     out = out.unionByName(long(evaluation.entity_type_metrics(typed, kinds), "entity_types", F.col("type_id")))
+    # coreference is left out of the recognition errors: gold coreferences, and pronouns found
+    named = found.where(~F.lower("text").isin(*evaluation.PRONOUNS))
+    own = gold.where(~F.coalesce("coref", F.lit(False)) & ~F.lower("text").isin(*evaluation.PRONOUNS))
+    errors = evaluation.recognition_errors(own, named)
+    errors = errors.select("side", F.explode(F.when(F.col("category") == "wrong_span", F.array("category")).otherwise(F.array("category", F.lit("all")))).alias("metric"))
+    errors = errors.groupBy("side", "metric").agg(F.count("*").cast("double").alias("value"))
+    modes = F.explode(F.array(*map(F.lit, evaluation.MODES))).alias("mode")
+    out = out.unionByName(errors.select(modes, F.lit("error_categories").alias("base"), F.col("side").alias("category"), "metric", "value"))
     return typed, out
 
 
