@@ -573,3 +573,184 @@ def hyperlink_reference(spark, sf_dir):
     types = titles.select("entity_id", F.array(F.lit("Q5")).alias("types"))
     aliases = titles.select("entity_id", F.array("title").alias("aliases"))
     return linking.by_hyperlinks_and_names(arts, titles, none, names, types, aliases)
+
+
+# --- further operators ---------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey AS id, p_brand AS entity_id FROM part WHERE p_type IN ('ECONOMY', 'SMALL') OR p_type = 'MEDIUM'")
+def prediction_whitelist_filter(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    types = part.groupBy(F.concat("p_brand", F.lit("/"), "p_type").alias("entity_id")).agg(F.collect_set("p_type").alias("types"))
+    found = part.select(F.col("p_partkey").alias("id"), "p_brand", F.concat("p_brand", F.lit("/"), "p_type").alias("entity_id"))
+    kept = evaluation.filter_predictions(found, types, values(spark, [("ECONOMY",), ("SMALL",), ("MEDIUM",)], ["type_id"]))
+    return kept.select("id", F.col("p_brand").alias("entity_id"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) WHERE n NOT IN (3, 11, 15, 87, 101)")
+def skip_articles(spark, sf_dir):
+    rows = readers.with_ordinal(read(spark, sf_dir, "documents").select("doc_id"), "n", "doc_id")
+    return rows.where(~(F.col("n") + 1).isin(3, 11, 15, 87, 101)).select("doc_id")
+
+
+@query("""SELECT token, n FROM (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+')) AS token FROM documents) WHERE token <> '' GROUP BY token)
+          WHERE NOT (lower(token) = token AND regexp_matches(token, '\\p{Ll}'))""")
+def uppercase_surfaces(spark, sf_dir):
+    return mappings.unigram_counts(read(spark, sf_dir, "documents")).where(~tx.is_all_lower(F.col("token")))
+
+
+_TITLES = "SELECT DISTINCT regexp_extract(a, '<a href=\"/([^\"]*)\">', 1) AS title FROM (SELECT unnest(regexp_extract_all(html, '<a href=\"/[^\"]*\">[^<]*</a>')) AS a FROM pages) WHERE length(regexp_extract(a, '<a href=\"/([^\"]*)\">', 1)) % 2 = 0"
+
+
+@query(f"""WITH t AS ({_TITLES}), p AS (SELECT page_id, html, unnest(regexp_extract_all(html, '<a href="/[^"]*">')) AS a FROM pages), q AS (SELECT page_id, html, regexp_extract(a, '"/([^"]*)"', 1) AS target FROM p)
+           SELECT page_id AS article_id, CAST(strpos(html, target) - 1 AS INT) AS start, CAST(strpos(html, target) - 1 + length(target) AS INT) AS stop, 'Q' || target AS entity_id FROM q WHERE target IN (SELECT title FROM t)""")
+def hyperlinks_only(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("page_id").alias("ordinal"), F.col("html").alias("text"), F.regexp_extract_all("html", F.lit('<a href="/([^"]*)">'), F.lit(1)).alias("t"))
+    find = lambda t: F.struct((F.instr(F.col("text"), t) - 1).alias("start"), (F.instr(F.col("text"), t) - 1 + F.length(t)).alias("end"), t.alias("target"))
+    arts = pages.withColumn("hyperlinks", F.transform("t", find))
+    titles = pages.select(F.explode("t").alias("title")).distinct().where(F.length("title") % 2 == 0).select("title", F.concat(F.lit("Q"), "title").alias("entity_id"))
+    out = linking.by_hyperlinks(arts, titles, spark.createDataFrame([], "title string, target string"))
+    return out.select("article_id", "start", F.col("end").alias("stop"), "entity_id")
+
+
+@query("""WITH i AS (SELECT substr(text, 1, 20) AS k, arg_max(doc_id, doc_id) AS id, arg_max(text, doc_id) AS t, count(*) AS shared FROM documents GROUP BY 1)
+          SELECT doc_id, id AS article_id, t = text AS exact, shared FROM documents JOIN i ON substr(text, 1, 20) = k""")
+def prefix_article_lookup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = resolve.prefix_lookup(docs, docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ordinal"), "text"), 20)
+    return out.select("doc_id", "article_id", "exact", "shared")
+
+
+@query("""SELECT a.doc_id, b.item_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) a LEFT JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM benchmark) b ON a.n = b.n WHERE b.item_id IS NOT NULL""")
+def positional_alignment(spark, sf_dir):
+    docs = readers.with_ordinal(read(spark, sf_dir, "documents").select("doc_id"), "ordinal", "doc_id")
+    items = readers.with_ordinal(read(spark, sf_dir, "benchmark").select("item_id"), "ordinal", "item_id")
+    return resolve.align(docs, items).where("other is not null").select("doc_id", F.col("other.item_id").alias("item_id"))
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS article_id, l_linenumber AS id FROM lineitem), o AS (SELECT DISTINCT article_id, 'o' AS id, 2 AS s, 30 AS e FROM l), i AS (SELECT article_id, 'i' || id AS id, CAST(id * 5 AS INT) AS s, CAST(id * 5 + 3 AS INT) AS e FROM l),
+  b AS (SELECT DISTINCT article_id, unnest([s, e]) AS start FROM (SELECT * FROM o UNION ALL SELECT * FROM i)), p AS (SELECT article_id, start, lead(start) OVER (PARTITION BY article_id ORDER BY start) AS stop FROM b)
+  SELECT p.article_id, p.start, p.stop, i.id AS inner_id FROM p JOIN o ON p.article_id = o.article_id AND p.start >= o.s AND p.stop <= o.e LEFT JOIN i ON p.article_id = i.article_id AND p.start >= i.s AND p.stop <= i.e WHERE p.stop IS NOT NULL""")
+def span_segments(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").alias("id")).distinct()
+    outer = lines.select("article_id").distinct().select("article_id", F.lit("o").alias("id"), F.lit(2).alias("start"), F.lit(30).alias("end"))
+    inner = lines.select("article_id", F.concat(F.lit("i"), "id").alias("id"), (F.col("id") * 5).alias("start"), (F.col("id") * 5 + 3).alias("end"))
+    return spans.segments(outer, inner).select("article_id", "start", F.col("end").alias("stop"), F.col("inner").alias("inner_id"))
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY start, stop, id) AS k FROM (SELECT *, id % 2 = 0 AS gold FROM ({_SPANS}))),
+  r AS (SELECT article_id, k, [struct_pack(i := id, a := start, b := stop)] AS kept FROM s WHERE k = 1 UNION ALL
+    SELECT s.article_id, s.k, CASE WHEN s.start >= kept[-1].b THEN list_append(kept, struct_pack(i := s.id, a := s.start, b := s.stop))
+      WHEN s.stop - s.start > kept[-1].b - kept[-1].a AND (s.gold OR kept[-1].i % 2 <> 0) THEN list_append(kept[1:len(kept) - 1], struct_pack(i := s.id, a := s.start, b := s.stop)) ELSE kept END FROM r JOIN s ON s.article_id = r.article_id AND s.k = r.k + 1)
+  SELECT article_id, x.i AS id, x.a AS start, x.b AS stop FROM (SELECT article_id, unnest(kept) AS x FROM (SELECT article_id, arg_max(kept, k) AS kept FROM r GROUP BY 1))""")
+def display_overlaps(spark, sf_dir):
+    s = F.collect_list(F.struct("start", "end", "id", (F.col("id") % 2 == 0).alias("has_gold")))
+    rows = _spans(spark, sf_dir).groupBy("article_id").agg(s.alias("s"))
+    kept = rows.select("article_id", F.explode(spans.keep_longer(F.col("s"))).alias("x"))
+    return kept.select("article_id", F.col("x.id").alias("id"), F.col("x.start").alias("start"), F.col("x.end").alias("stop"))
+
+
+_FLAGS = "l_quantity > 25 AS tp, l_discount > 0.05 AS fp, l_tax > 0.04 AS fn, l_returnflag = 'A' AS unknown, l_linestatus = 'O' AND l_linenumber = 1 AS optional, l_linenumber < 6 AS evaluated"
+
+
+@query(f"""SELECT class, count(*) AS n FROM (SELECT CASE WHEN NOT evaluated THEN 'unevaluated' WHEN optional THEN 'optional' WHEN unknown AND NOT fp THEN 'unknown' WHEN tp THEN 'tp' WHEN fp AND fn THEN 'fp fn'
+           WHEN fp THEN 'fp' WHEN fn THEN 'fn' ELSE 'unevaluated' END AS class FROM (SELECT {_FLAGS} FROM lineitem)) GROUP BY 1""")
+def annotation_classes(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").selectExpr(*[x.strip() for x in _FLAGS.split(",")])
+    return rows.select(evaluation.annotation_class().alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT article_id, id FROM ({_SPANS}) WHERE stop < 10 OR start >= 30")
+def outside_evaluation_span(spark, sf_dir):
+    rows = _spans(spark, sf_dir).withColumn("begin", F.lit(10)).withColumn("stop", F.lit(30))
+    return evaluation.outside_span(rows).select("article_id", "id")
+
+
+@query("SELECT source AS entity_id, source AS title, arg_max(replace(text, chr(10), ' '), doc_id) AS abstract FROM documents WHERE source <> 'src3' GROUP BY source")
+def abstracts_map(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("title"), F.col("text").alias("abstract"), F.col("doc_id").alias("ordinal"))
+    titles = docs.select("title").distinct().where("title <> 'src3'").select("title", F.col("title").alias("entity_id"))
+    return mappings.abstracts(docs, titles, spark.createDataFrame([], "title string, target string"))
+
+
+@query("""SELECT t.p_brand AS type_id, coalesce(n.p_name, 'OTHER') AS name FROM (SELECT DISTINCT p_brand FROM part) t LEFT JOIN (SELECT p_brand, arg_max(p_name, p_partkey) AS p_name FROM part WHERE p_size > 45 GROUP BY 1) n ON t.p_brand = n.p_brand""")
+def custom_type_names(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    names = part.where("p_size > 45").select(F.col("p_brand").alias("s"), F.lit("name").alias("p"), F.col("p_name").alias("o"), F.col("p_partkey").alias("ordinal"))
+    types = part.select(F.concat(F.lit("Q"), "p_partkey").alias("s"), F.lit("type").alias("p"), F.col("p_brand").alias("o"), F.col("p_partkey").alias("ordinal"))
+    return mappings.custom_knowledge_base(names.unionByName(types), "name", "type")["type_names"]
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 2 THEN 'T2' ELSE 'T1' END AS types FROM part")
+def type_adjustments(spark, sf_dir):
+    types = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("T0"))).when(F.col("p_size") % 3 == 1, F.array(F.lit("T2"), F.lit("T1"))).otherwise(F.array(F.lit("T2")))
+    rules = [("T0", "REPLACE_WITH", "T1"), ("T2", "MINUS", "T1")]
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tx.joined_types(mappings.adjusted_types(types, rules)).alias("types"))
+
+
+@query("""SELECT tag, count(*) AS n FROM (SELECT CASE WHEN l_returnflag = 'A' THEN 'DISAMBIGUATION_WRONG_OTHER' ELSE 'TAG_' || l_returnflag END AS tag FROM lineitem WHERE l_linestatus = 'O') GROUP BY tag""")
+def error_tag_counts(spark, sf_dir):
+    tag = F.when(F.col("l_returnflag") == "A", "DISAMBIGUATION_OTHER_WRONG").otherwise(F.concat(F.lit("TAG_"), "l_returnflag"))
+    rows = read(spark, sf_dir, "lineitem").select(F.when(F.col("l_linestatus") == "O", F.create_map(F.lit("IGNORED"), F.array(tag))).alias("error_labels"))
+    return evaluation.tag_counts(rows, "IGNORED")
+
+
+@query(f"{_CLOSURE} SELECT t.* FROM t JOIN supplier ON entity_id = 'S' || s_suppkey WHERE s_suppkey % 7 >= 2")
+def sitelink_filtered_types(spark, sf_dir):
+    links = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("entity_id"), (F.col("s_suppkey") % 7).alias("n"))
+    return graph.all_types(_triples(spark, sf_dir), links, 2)
+
+
+@query("""SELECT id, array_to_string(string_split(id, '.')[1:len(string_split(id, '.')) - 1], '.') AS experiment, string_split(id, '.')[-1] AS bench, printf('%.2f%%', share * 100) AS share
+          FROM (SELECT o_orderpriority || '.v1.' || o_orderstatus AS id, count(*) / 4096.0::DOUBLE AS share FROM orders GROUP BY 1)""")
+def experiment_ids(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").groupBy(F.concat("o_orderpriority", F.lit(".v1."), "o_orderstatus").alias("id")).agg((F.count("*") / 4096.0).alias("share"))
+    return rows.select("id", tx.experiment_name(F.col("id")).alias("experiment"), tx.benchmark_name(F.col("id")).alias("bench"), tx.percent(F.col("share")).alias("share"))
+
+
+@query("""SELECT l_returnflag AS benchmark, count(*) AS labels, round(count_if(l_linenumber % 5 = 0) / count(*), 6) AS "unknown", round(count_if(l_quantity > 40) / count(*), 6) AS optional, round(count_if(l_tax > 0.05) / count(*), 6) AS coref,
+          round(count_if(l_linestatus = 'O') / count(*), 6) AS upper, round(count_if(l_linenumber > 3) / count(*), 6) AS multi_word FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1""")
+def benchmark_statistics(spark, sf_dir):
+    n = F.col("l_linenumber")
+    text = F.concat(F.when(F.col("l_linestatus") == "O", "Word").otherwise("word"), F.when(n > 3, " two").otherwise(""))
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("benchmark"), F.when(n == 2, 1).alias("parent"), F.when(n % 5 == 0, "<NIL>").otherwise("Q1").alias("entity_id"),
+        (F.col("l_quantity") > 40).alias("optional"), (F.col("l_tax") > 0.05).alias("coref"), text.alias("text"),
+    )
+    return report.benchmark_statistics(rows, root_only=True)
+
+
+@query(f"""WITH f AS (SELECT link_text, entity_id, count(*) AS n FROM ({_USES}) GROUP BY 1, 2), b AS (SELECT link_text, entity_id, row_number() OVER (PARTITION BY link_text ORDER BY n / sum_n DESC, entity_id) AS r FROM (SELECT *, sum(n) OVER (PARTITION BY link_text) AS sum_n FROM f))
+           SELECT o_orderkey AS article_id, p_name AS text, entity_id FROM orders JOIN part ON o_custkey = p_partkey JOIN b ON p_name = link_text AND r = 1""")
+def prior_linker(spark, sf_dir):
+    found = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "part"), F.col("o_custkey") == F.col("p_partkey")).select(F.col("o_orderkey").alias("article_id"), F.col("p_name").alias("text"))
+    priors = mappings.priors(mappings.link_frequencies(_uses(spark, sf_dir)))
+    return linking.by_prior(found, priors).select("article_id", "text", "entity_id")
+
+
+@query(f"""WITH f AS (SELECT link_text AS text, entity_id, count(*) AS n FROM ({_USES}) GROUP BY 1, 2) SELECT o_orderkey AS article_id, count(*) AS n_candidates, max(n) AS best FROM orders JOIN part ON o_custkey = p_partkey JOIN f ON p_name = text GROUP BY 1""")
+def mention_candidates(spark, sf_dir):
+    found = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "part"), F.col("o_custkey") == F.col("p_partkey")).select(F.col("o_orderkey").alias("article_id"), F.col("p_name").alias("text"))
+    priors = mappings.priors(mappings.link_frequencies(_uses(spark, sf_dir)))
+    return resolve.candidates(found, priors).groupBy("article_id").agg(F.count("*").alias("n_candidates"), F.max("count").alias("best"))
+
+
+@query(f"""{_CLOSURE} SELECT s_suppkey AS id, s_name AS name, coalesce(string_agg(cls, '|' ORDER BY cls), 'OTHER') AS types FROM supplier LEFT JOIN t ON entity_id = 'S' || s_suppkey AND depth = 0 AND cls <> 'N5' GROUP BY 1, 2""")
+def labels_with_types(spark, sf_dir):
+    sup = read(spark, sf_dir, "supplier")
+    entity = F.concat(F.lit("S"), "s_suppkey").alias("entity_id")
+    direct = _triples(spark, sf_dir).where("p = 'P31' and o <> 'N5'").groupBy(F.col("s").alias("entity_id")).agg(F.array_sort(F.collect_set("o")).alias("types"))
+    out = resolve.with_name_and_types(sup.select(F.col("s_suppkey").alias("id"), entity), sup.select(entity, F.col("s_name").alias("name")), direct)
+    return out.select("id", "name", tx.joined_types(F.col("types")).alias("types"))
+
+
+_FACTS = [("A", "P21", "M"), ("A", "P1549", "Roman@en"), ("A", "P1549", "romain@fr"), ("A", "sitelinks", "7"), ("B", "sitelinks", "0"), ("C", "sitelinks", "12"), ("A", "alias", "y"), ("A", "alias", "x"), ("C", "alias", "z"), ("A", "P31", "Q5"), ("D", "P31", "N1"), ("N1", "P279", "Q95074")]
+_NAMED = [("A", "Ann", "en"), ("D", "Don", "en"), ("M", "male", "en"), ("A", "Anne", "fr")]
+
+
+@query("SELECT * FROM (VALUES ('aliases', 'A', 'x;y'), ('aliases', 'C', 'z'), ('sitelinks', 'A', '7'), ('sitelinks', 'C', '12'), ('demonyms', 'A', 'Roman'), ('genders', 'A', 'male'), ('names', 'A', 'Ann'), ('names', 'D', 'Don')) AS t(query, entity_id, value)")
+def declarative_catalogue(spark, sf_dir):
+    k = graph.KnowledgeQueries(values(spark, _FACTS, ["s", "p", "o"]), values(spark, _NAMED, ["id", "label", "lang"]))
+    one = lambda name, df, value: df.select(F.lit(name).alias("query"), "entity_id", F.col(value).cast("string").alias("value"))
+    out = one("aliases", k.aliases(), "aliases").union(one("sitelinks", k.sitelinks(), "n")).union(one("demonyms", k.demonyms(), "demonym"))
+    return out.union(one("genders", k.genders(), "gender")).union(one("names", k.names(), "label"))
