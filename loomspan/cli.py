@@ -104,7 +104,8 @@ def main(argv: list[str] | None = None) -> int:
         out = pipelines.benchmark_from_annotations(spark, a.input, [int(x) for x in a.skip.split()], not a.no_coref_labels)
         out.orderBy("ordinal").write.mode("overwrite").json(a.output)
     elif a.command == "render":
-        out = pipelines.rendered(readers.articles(spark, a.input), a.mode, a.ascii, a.one_line)
+        arts = readers.with_ordinal(readers.articles(spark, a.input).withColumnRenamed("ordinal", "_o"), "ordinal", "_o").drop("_o")
+        out = pipelines.rendered(arts, a.mode, a.ascii, a.one_line)
         writers.article_files(out, a.output, a.titles)
     elif a.command == "export":
         arts = readers.articles(spark, a.input, a.n)

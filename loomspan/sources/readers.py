@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from .ordinal import with_ordinal
+from .ordinal import with_ordinal, with_rank
 
 
 def _lines(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
@@ -17,9 +17,9 @@ def _lines(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
 
 
 def articles(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
-    """JSON-lines articles, numbered in input order."""
+    """JSON-lines articles; ordinal follows the order within a file (with gaps between tasks)."""
     raw = spark.read.schema(schema.RAW_ARTICLE).json(path)
-    return schema.normalised(with_ordinal(raw.limit(limit) if limit >= 0 else raw))
+    return schema.normalised(with_rank(raw.limit(limit) if limit >= 0 else raw))
 
 
 def raw_texts(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
@@ -35,13 +35,13 @@ def extracted_dump(spark: SparkSession, path: str, limit: int = -1) -> DataFrame
 
 def dump_lines(spark: SparkSession, path: str) -> DataFrame:
     """Numbered lines of a (bz2) dump."""
-    return with_ordinal(_lines(spark, path)).select("ordinal", F.col("value").alias("line"))
+    return with_rank(_lines(spark, path)).select("ordinal", F.col("value").alias("line"))
 
 
 def key_values(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
     """ordinal, key, value of separated lines; quotes are ordinary characters."""
     parts = F.split("value", separator, 2)
-    lines = with_ordinal(_lines(spark, path)).where(F.contains("value", F.lit(separator)))
+    lines = with_rank(_lines(spark, path)).where(F.contains("value", F.lit(separator)))
     return lines.select("ordinal", F.get(parts, F.lit(0)).alias("key"), F.get(parts, F.lit(1)).alias("value"))
 
 
@@ -98,7 +98,7 @@ def benchmarks(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     rows = spark.read.schema(schema.RAW_ARTICLE).json(glob).withColumn("benchmark", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.benchmark\.jsonl$", 1))
     if "ALL" not in names:
         rows = rows.where(F.col("benchmark").isin(*names))
-    return schema.normalised(with_ordinal(rows))
+    return schema.normalised(with_rank(rows))
 
 
 def results(spark: SparkSession, folder: str) -> DataFrame:
