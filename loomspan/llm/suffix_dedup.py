@@ -457,8 +457,11 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, keys: np.ndarray, heavy)
     settled = materialize(_shuffle(docs.mapInArrow(tidy(collect_anchors), SCHEMA), parts).mapInArrow(tidy(settle), SCHEMA), "anchors")
     contexts = _shuffle(settled.where(F.col("kind") == ENTRY).unionByName(texts), parts).mapInArrow(tidy(fetch), SCHEMA)
     expanded = materialize(_shuffle(contexts, parts).mapInArrow(tidy(expand), SCHEMA), "classes")
-    compared = _shuffle(expanded.where(F.col("kind") == WINDOW), parts).mapInArrow(tidy(compare), SCHEMA)
-    return [settled.where(F.col("kind") == COVER), expanded.where(F.col("kind") == COVER), compared]
+    covers = [settled.where(F.col("kind") == COVER), expanded.where(F.col("kind") == COVER)]
+    windows = expanded.where(F.col("kind") == WINDOW)
+    if not windows.isEmpty():  # only anchors dealt over several tasks leave windows to compare
+        covers.append(_shuffle(windows, parts).mapInArrow(tidy(compare), SCHEMA))
+    return covers
 
 
 def _unpack_texts(data: bytes) -> tuple[np.ndarray, bytes]:
