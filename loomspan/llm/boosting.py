@@ -70,19 +70,23 @@ class Boosted:
         return out
 
 
+def _pooled(pools: list[list[float]]) -> list[list[float]]:
+    """Neighbours (rate, weight, first and last score) whose rates fall, or that share a score, become one."""
+    out: list[list[float]] = []
+    for p in pools:
+        out.append(list(p))
+        while len(out) > 1 and (out[-2][0] >= out[-1][0] or out[-2][3] == out[-1][2]):
+            b, a = out.pop(), out.pop()
+            w = a[1] + b[1]
+            out.append([(a[0] * a[1] + b[0] * b[1]) / w, w, a[2], b[3]])
+    return out
+
+
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (score, rate), to be interpolated; each pool is shrunk a little to the mean."""
+    """Pool adjacent violators: knots (score, rate), to be interpolated. Each pool is shrunk a little to the mean;
+    pools that this puts out of order are pooled again, so that a small pool can't lift those above it."""
     order = np.argsort(score, kind="stable")
-    pools: list[list[float]] = []  # rate, weight, first and last score
-    for s, v in zip(score[order], y[order], strict=True):
-        pools.append([float(v), 1.0, s, s])
-        while len(pools) > 1 and (pools[-2][0] >= pools[-1][0] or pools[-2][3] == pools[-1][2]):
-            b, a = pools.pop(), pools.pop()
-            w = a[1] + b[1]
-            pools.append([(a[0] * a[1] + b[0] * b[1]) / w, w, a[2], b[3]])
+    pools = _pooled([[float(v), 1.0, s, s] for s, v in zip(score[order], y[order], strict=True)])
     mean = float(y.mean())
-    xs, ys = [], []
-    for rate, w, lo, hi in pools:
-        xs += [lo, hi]
-        ys += [(rate * w + mean) / (w + 1)] * 2
-    return np.array(xs), np.maximum.accumulate(np.array(ys))
+    pools = _pooled([[(rate * w + mean) / (w + 1), w, lo, hi] for rate, w, lo, hi in pools])
+    return np.array([x for p in pools for x in p[2:]]), np.repeat([p[0] for p in pools], 2)

@@ -23,16 +23,16 @@ def test_boosting_and_calibration():
     y = ((x[:, 0] > 0.3) & (x[:, 1] < 0.5) | (rng.random(3000) < 0.05)).astype(float)
     model = Boosted(trees=60).fit(x[:2000], y[:2000])
     raw = model.raw(x[2000:])
-    assert ((raw > 0) == y[2000:]).mean() > 0.9
+    assert ((raw > 0) == y[2000:]).mean() > 0.93
     xs, ys = isotonic(raw, y[2000:])
     assert (np.diff(xs) >= 0).all() and (np.diff(ys) >= 0).all() and 0 <= ys.min() <= ys.max() <= 1
     p = np.interp(raw, xs, ys)
-    assert abs(p.mean() - y[2000:].mean()) < 0.05
+    assert abs(p.mean() - y[2000:].mean()) < 0.02
 
 
 def test_query(spark):
-    """Held-out rows never teach; the score tells them apart all the same."""
-    sf = "/root/testdata/sf0.01"
+    """Held-out rows never teach; the score tells them apart all the same. (sf0.01 has 6 toxic held-out rows: too few to judge.)"""
+    sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in q.op6_toxicity(spark, sf).collect()}
     labels = {r.doc_id: r.toxic for r in q._read(spark, sf, "labels").collect()}
     assert len(got) == q._read(spark, sf, "documents").count()
@@ -42,7 +42,7 @@ def test_query(spark):
     held = [(got[i].score, t) for i, t in labels.items() if got[i].held_out]
     bad, good = [s for s, t in held if t], [s for s, t in held if not t]
     auc = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
-    assert auc > 0.75, auc
+    assert auc > 0.8, auc
 
 
 def test_edges(spark):
