@@ -4,6 +4,9 @@ Kinds: email, ip, card (Luhn) and phone follow fixed rules and always stay once
 and ssn are added by the method: each has a base score, context words within CONTEXT characters before
 or behind raise it, and spans under THRESHOLD are dropped.
 
+An iban is tried at each head (two letters, two digits) that starts a token: the longest prefix of the characters
+behind it that ends with a token and passes mod 97 is the span. Spans of two heads can overlap; mask joins them.
+
 Offsets are code points, end exclusive. They come from splitting the text at the pattern and summing the
 lengths of pieces and matches, in blocks, so the work is near linear in the number of matches.
 Patterns are possessive or guarded by a look-behind where that gives the same matches: no quadratic
@@ -26,7 +29,8 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    # Only the head is consumed, so a false head hides no number behind it; group 1 is the longest candidate.
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))[A-Z]{2}[0-9]{2}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text without the needle can't match: a cheap test before the pattern is run.
@@ -76,6 +80,13 @@ def mod97(s: Column) -> Column:
     return rest == 1
 
 
+def _account(candidate: Column) -> Column:
+    """The longest prefix of a candidate that ends with a token, has 15 characters at least and passes mod 97, or null."""
+    tokens = F.split(candidate, " ")
+    prefixes = F.transform(F.sequence(F.size(tokens), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(tokens, F.lit(1), k), " "))
+    return F.get(F.filter(prefixes, lambda p: (F.length(F.replace(p, F.lit(" "), F.lit(""))) >= 15) & mod97(p)), F.lit(0))
+
+
 def _confirmed(kind: str, s: Column) -> Column:
     if kind == "ip":
         part = lambda p: F.regexp_extract(p, "^0*([0-9]{1,3})$", 1)
@@ -86,7 +97,7 @@ def _confirmed(kind: str, s: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(s)).between(8, 15)
     if kind == "iban":
-        return mod97(s)
+        return s.isNotNull()
     return F.lit(True)
 
 
@@ -106,13 +117,17 @@ def _matches(frame: DataFrame, kind: str) -> DataFrame:
     frame = frame.withColumn("_sums", F.when(n > 0, blocks))
     before = F.transform("_sums", lambda _, b: F.aggregate(F.slice("_sums", F.lit(1), b), F.lit(0), add))
     frame = frame.withColumn("_before", F.when(n > 0, before)).drop("_sums")
+    found = F.col("_m")
+    if kind == "iban":
+        wide = F.regexp_extract_all("_text", F.lit(pattern), F.lit(1))
+        frame, found = frame.withColumn("_wide", F.when(n > 0, F.transform(wide, _account))), F.col("_wide")
 
     def span(k: Column) -> Column:
         b = (k / _BLOCK).cast("int")
         start = F.get("_before", b) + F.aggregate(F.slice("_len", b * _BLOCK + 1, k - b * _BLOCK), F.lit(0), add) + F.get("_gap", k)
-        return F.struct(start.alias("start"), (start + hit(k)).alias("end"), F.get("_m", k).alias("hit"))
+        return F.struct(start.alias("start"), (start + F.length(F.get(found, k))).alias("end"), F.get(found, k).alias("hit"))
 
-    frame = frame.withColumn("_spans", F.when(n > 0, F.transform(index, span))).drop("_len", "_gap", "_before", "_m")
+    frame = frame.withColumn("_spans", F.when(n > 0, F.transform(index, span))).drop("_len", "_gap", "_before", "_m", "_wide")
     sure = F.filter("_spans", lambda x: _confirmed(kind, x["hit"]))
     return frame.withColumn(f"_{kind}", F.when(F.size("_spans") > 0, sure)).drop("_spans")
 

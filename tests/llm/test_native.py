@@ -90,6 +90,29 @@ def test_pii(tricky):
     assert {s.score for s in ibans.spans if s.kind == "iban"} <= {0.8, 1.0}
 
 
+ACCOUNTS = {
+    "IBAN DE89370400440532013000 BIC COBADEFFXXX": ["DE89370400440532013000"],
+    "DE89370400440532013000 2024 invoice": ["DE89370400440532013000"],
+    "pay DE89 3704 0044 0532 0130 00 EUR 50": ["DE89 3704 0044 0532 0130 00"],
+    "DE89370400440532013000 I think": ["DE89370400440532013000"],
+    "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 SWIFT": ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"],
+    "REF AB12 DE89 3704 0044 0532 0130 00": ["DE89 3704 0044 0532 0130 00"],
+    "NO9386011117947 A1": ["NO9386011117947"],
+    "IBAN DE89370400440532013001 BIC COBADEFFXXX": [],
+    "XDE89370400440532013000 DE89370400440532013000x": [],
+}
+
+
+def test_accounts_before_other_tokens(spark):
+    """Tokens behind or before an account number do not hide it."""
+    texts = list(ACCOUNTS) + ["AB12 " * 300 + "😀 DE89370400440532013000 OK"]
+    found = pii.find(spark.createDataFrame(rows(*texts), SCHEMA))
+    for r, m in zip(found.orderBy("doc_id").collect(), pii.mask(found).orderBy("doc_id").collect(), strict=True):
+        want = ACCOUNTS.get(r.text, ["DE89370400440532013000"])
+        assert [r.text[s.start : s.end] for s in r.spans if s.kind == "iban"] == want, r.text
+        assert all(w not in m.masked for w in want) and m.masked.count("<IBAN>") == len(want)
+
+
 def test_pii_query(spark):
     docs = {r.doc_id: r.text for r in q._read(spark, SF, "documents").collect()}
     for r in q.op8_pii(spark, SF).collect():
