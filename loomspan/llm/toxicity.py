@@ -8,7 +8,8 @@ batches; the model is small and travels with the tasks.
 Training uses labelled rows only, at most MAX_LABELLED of them (the smallest by MD5 of doc_id; a
 documented bound): four tenths teach the learned words, six tenths the trees; the calibration is fitted on
 scores of those six tenths that trees without the scored third gave, so that no part is judged on rows that
-shaped it. With under LEAST_POSITIVE toxic rows, the score is a fixed function of the stated lexicon.
+shaped it. With few toxic rows, leaves may be as small as their number and the thirds are dealt by class. Only if
+the rows of the trees are all of one class, or none, is the score a fixed function of the stated lexicon.
 
 Defined results: null and empty texts have all features zero and get a score; repeated rows score alike; a null
 doc_id is never held out; labels that are null are left out, and a doc_id labelled twice counts as toxic
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from ._common import tidy
 from .boosting import Boosted, isotonic
 
-MAX_LABELLED, LEAST_POSITIVE, LEARNED_WORDS = 20_000, 20, 120
+MAX_LABELLED, LEAST_LEAF, LEARNED_WORDS = 20_000, 20, 120
 
 # Insults and other words of abuse.
 LEXICON = frozenset(
@@ -157,13 +158,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         return Model(learned)
     found.sort(key=lambda r: str(r.doc_id))
     x, y, fold = (np.array([r[c] for r in found], float) for c in ("x", "toxic", "fold"))
-    part = fold % 3
-    if y.sum() < LEAST_POSITIVE or any(not 0 < y[part == k].sum() < (part == k).sum() for k in range(3)):
+    if not 0 < y.sum() < len(y):
         return Model(learned)
+    part = fold % 3
+    if any(not 0 < y[part == k].sum() < (part == k).sum() for k in range(3)):
+        for c in (0, 1):
+            part[y == c] = (np.arange((y == c).sum()) + c) % 3
+    least = int(np.clip(y.sum(), 2, LEAST_LEAF))
     raw = np.zeros(len(y))
     for k in range(3):
-        raw[part == k] = Boosted().fit(x[part != k], y[part != k]).raw(x[part == k])
-    return Model(learned, Boosted().fit(x, y), isotonic(raw, y))
+        raw[part == k] = Boosted(least=least).fit(x[part != k], y[part != k]).raw(x[part == k])
+    return Model(learned, Boosted(least=least).fit(x, y), isotonic(raw, y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

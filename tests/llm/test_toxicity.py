@@ -58,3 +58,19 @@ def test_sample_is_bounded(spark, bound):
     sf = "/root/testdata/sf0.001"
     model = tx.train(q._read(spark, sf, "documents"), q._read(spark, sf, "labels"), max_labelled=bound)
     assert model.trees is None or len(model.learned) <= tx.LEARNED_WORDS
+
+
+def test_trees_teach_at_every_size(spark):
+    """Few toxic rows are taught by trees as well; rows of one class leave the lexicon."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = q._read(spark, sf, "documents"), q._read(spark, sf, "labels")
+    model = tx.train(docs, labels)
+    assert model.trees is not None and model.knots is not None and model.trees.leaf.any()
+    ids = [r.id for r in spark.range(100).where(tx._fold(F.col("id")) >= 4).orderBy("id").limit(9).collect()]
+    texts = spark.createDataFrame([(i, "you idiot " * 5 if k % 3 == 0 else f"fine words {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    for n, toxic, trees in ((9, 3, True), (4, 2, True), (4, 1, True), (2, 1, True), (3, 0, False)):
+        marks = spark.createDataFrame([(i, int(k % 3 == 0 and k < 3 * toxic)) for k, i in enumerate(ids[:n])], "doc_id long, toxic int")
+        got = tx.train(texts, marks)
+        assert (got.trees is not None) == trees, (n, toxic)
+        p = [r.score for r in tx.score(texts, got).collect()]
+        assert len(p) == 9 and all(0 <= s <= 1 for s in p)
