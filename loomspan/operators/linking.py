@@ -192,9 +192,9 @@ def by_prior(spans: DataFrame, priors: DataFrame) -> DataFrame:
     return spans.join(top, F.col("text") == F.col("_a")).drop("_a")
 
 
-def capitalised_spans(docs: DataFrame, most_words: int = 4) -> DataFrame:
-    """A rule-based recogniser: runs of capitalised words. article_id, start, end, text."""
-    pattern = rf"\p{{Lu}}[\p{{L}}\p{{N}}'-]*(?: \p{{Lu}}[\p{{L}}\p{{N}}'-]*){{0,{most_words - 1}}}"
+def capitalised_spans(docs: DataFrame) -> DataFrame:
+    """A rule-based recogniser: whole runs of capitalised words. article_id, start, end, text."""
+    pattern = r"\p{Lu}[\p{L}\p{N}'-]*+(?: \p{Lu}[\p{L}\p{N}'-]*+)*+"
     hits = docs.select(F.col("id").alias("article_id"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), F.split("text", pattern, -1).alias("p")).where(F.size("m") > 0)
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 

@@ -287,6 +287,14 @@ def test_reports(spark):
     assert report.benchmark_statistics(labels, True).first().labels == 1
 
 
+def test_capitalised_runs_are_whole(spark):
+    """A name of any number of words is one span; a very long run too."""
+    name, run = "United Nations High Commissioner Refugees Office", " ".join(["Ab"] * 5000)
+    docs = spark.createDataFrame([(1, f"the {name} met Bob"), (2, run + " x")], "id long, text string")
+    got = sorted((r.article_id, r.start, r.end, r.text) for r in linking.capitalised_spans(docs).collect())
+    assert got == [(1, 4, 4 + len(name), name), (1, 9 + len(name), 12 + len(name), "Bob"), (2, 0, len(run), run)]
+
+
 def test_stream(spark, tmp_path):
     import json
 
