@@ -39,28 +39,42 @@ MIX = f"""WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, (('0x
   SELECT doc_id, size, source_size, target, (size * (certain + CASE WHEN q IS NOT NULL AND middle <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c"""
 
 _RATES = {
-    "symbol_rate": "n_symbols * 1000 // greatest(word_chars, 1)",
-    "dup_line_rate": "n_dup_lines * 1000 // greatest(n_lines, 1)",
-    "repeat_rate": "n_repeat_words * 1000 // greatest(n_words, 1)",
+    "mark_rate": "n_marks * 1000 // greatest(word_chars, 1)",
+    "echo_rate": "n_echoes * 1000 // greatest(n_words, 1)",
     "word_length": "word_chars * 100 // greatest(n_words, 1)",
+    "repeat_rate": "n_repeat_words * 1000 // greatest(n_words, 1)",
+    "dup_line_rate": "n_dup_lines * 1000 // greatest(n_lines, 1)",
 }
 
 
 def _quality() -> str:
     lines = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))"
-    stacked = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, ({v})::BIGINT AS v FROM m WHERE n_words >= 20" for k, v in _RATES.items())
-    limits = ", ".join(f"max(CASE WHEN metric = '{k}' THEN least(greatest(q75 + {quality.SPREAD} * (q75 - q50), {lo}), {hi}) END) AS max_{k}" for k, (lo, hi) in quality.RAILS.items())
-    fine = " AND ".join(f"coalesce({v} <= max_{k}, true)" for k, v in _RATES.items())
     failed = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
+    stacked = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, ({v})::BIGINT AS v FROM m WHERE NOT {failed}" for k, v in _RATES.items())
+    away = {k: f"{n} * greatest(q{b} - q{a}, {f'q50 // {part}' if part else 0})" for k, (a, b, n, part) in quality.RULES.items()}
+    held = lambda x, lo, hi: f"least(greatest(({x})::DOUBLE, {lo}::DOUBLE), {hi}::DOUBLE)"
+    up = " ".join(f"WHEN '{k}' THEN {held(f'q{quality.RULES[k][1]} + {x}', *quality.GUARDS[k])}" for k, x in away.items())
+    low = f"WHEN '{quality.LOWER}' THEN {held(f'q{quality.RULES[quality.LOWER][0]} - {away[quality.LOWER]}', *quality.LOWER_GUARD)}"
+    at = ", ".join(f"min(CASE WHEN cum * 100 >= total * {x} THEN bucket END) AS q{x}" for x in (25, 50, 75, 99))
+    k = quality.PRIOR
+    shrunk = lambda x: f"(g.n * g.{x} + {k} * ((l.n * l.{x} + {k} * c.{x}) / (l.n + {k}))) / (g.n + {k})"
+    named = [(f"max_{k}", k, "up") for k in quality.RULES] + [(f"min_{quality.LOWER}", quality.LOWER, "low")]
+    limits = ", ".join(f"max(CASE WHEN metric = '{k}' THEN {x} END) AS {name}" for name, k, x in named)
+    fine = " AND ".join([f"coalesce({v} <= max_{k}, true)" for k, v in _RATES.items()] + [f"coalesce({_RATES[quality.LOWER]} >= min_{quality.LOWER}, true)"])
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS words, {lines} AS lines FROM documents),
       g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM (SELECT rid, i, array_to_string(words[i:i + {quality.WINDOW - 1}], ' ') AS win FROM (SELECT rid, words, unnest(range(1, len(words) - {quality.WINDOW - 2})) AS i FROM d))),
       p AS (SELECT rid, count(DISTINCT i + k) AS n FROM g, (SELECT unnest(range({quality.WINDOW})) AS k) WHERE g.n > 1 GROUP BY rid),
       m AS (SELECT doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        len(regexp_extract_all(text, '[{quality.MARKS}]'))::BIGINT AS n_marks, len(list_filter(list_zip(words[2:], words[:-2]), lambda x: x[1] = x[2]))::BIGINT AS n_echoes,
         len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN p USING (rid)),
-      x AS ({stacked}), y AS (SELECT lang, source, metric, (v >> b) << b AS bucket, count(*) AS n FROM (SELECT *, greatest(length(bin(v)) - 7, 0)::BIGINT AS b FROM x) GROUP BY 1, 2, 3, 4),
-      z AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM y),
-      q AS (SELECT lang, source, metric, min(CASE WHEN cum * 2 >= total THEN bucket END) AS q50, min(CASE WHEN cum * 4 >= total * 3 THEN bucket END) AS q75 FROM z GROUP BY 1, 2, 3),
-      f AS (SELECT lang, source, {limits} FROM q GROUP BY 1, 2)
+      x AS ({stacked}), y AS (SELECT lang, source, metric, (v >> b) << b AS bucket FROM (SELECT *, greatest(length(bin(v)) - 7, 0)::BIGINT AS b FROM x)),
+      w AS (SELECT 0 AS level, lang, source, metric, bucket FROM y UNION ALL SELECT 1, lang, NULL, metric, bucket FROM y UNION ALL SELECT 2, NULL, NULL, metric, bucket FROM y),
+      z AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM (SELECT level, lang, source, metric, bucket, count(*) AS n FROM w GROUP BY ALL)),
+      q AS (SELECT level, lang, source, metric, max(total)::BIGINT AS n, {at} FROM z GROUP BY 1, 2, 3, 4),
+      o AS (SELECT level, lang, source, metric, n, CASE metric {up} END AS up, CASE metric {low} END AS low FROM q),
+      s AS (SELECT g.lang, g.source, g.metric, {shrunk('up')} AS up, {shrunk('low')} AS low FROM (SELECT * FROM o WHERE level = 0) g
+        JOIN (SELECT * FROM o WHERE level = 1) l ON g.metric = l.metric AND g.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT * FROM o WHERE level = 2) c ON g.metric = c.metric),
+      f AS (SELECT lang, source, {limits} FROM s GROUP BY 1, 2)
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND {fine} AS kept
       FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source"""
 

@@ -1,10 +1,16 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches (native).
 
 Each document gets a few integer metrics. A sketch is a histogram over log-scaled integer buckets
-(relative error at most 1/64): two sketches merge by adding counts, so the sketch of each (lang,
-source, metric) is one ``groupBy().count()`` with map-side combine and never holds more than some
-thousand buckets a group, whatever the corpus. Quantiles of the sketches give a fence for each
-(lang, source), held within guard rails, and the documents are filtered by joining the fences.
+(relative error at most 1/64) of the documents that pass the base rules: two sketches merge by adding counts,
+so the sketch of each (lang, source, metric) is one ``groupBy().count()`` with map-side combine and never
+holds more than some thousand buckets a group, and those of a language and of the corpus are sums of it.
+
+A fence is a quantile of the sketch plus a multiple of the distance between two quantiles (``RULES``): the
+middle half for metrics that every text has, which up to a quarter of junk does not move; the 99th
+percentile for metrics that are zero in most texts. The fence of a (lang, source) with n documents is
+shrunk towards that of its language, and that towards the corpus, with the weight of PRIOR documents, so that
+small groups lean on the larger ones. GUARDS lie far outside and hold each fence, before it is shrunk, only where a
+group is degenerate (all texts alike, or two kinds of texts in like shares). Documents are filtered by joining the fences.
 
 Defined results: a null or blank text has no words and fails the base rules; null lang or source
 form groups of their own; repeated rows are judged alike and count as often as they occur; an empty
@@ -19,21 +25,27 @@ from pyspark.sql import functions as F
 
 from ._common import WS_CHARS, join_small, materialize, words_of
 
-#: metric: (lowest upper fence, highest upper fence); thousandths, but for letters a word in hundredths.
-RAILS = {
-    "symbol_rate": (80, 250),
-    "dup_line_rate": (500, 700),
-    "repeat_rate": (250, 300),
-    "word_length": (1500, 4000),
-}
 WINDOW = 8
-#: A fence is q75 + SPREAD * (q75 - q50), within the rails of its metric.
-SPREAD = 4
+MARKS = "#*$%&|<>.,;:!?"
+#: metric: (lower and upper percentile, distances between them that a fence is away, least distance as a part of
+#: the median, or 0). Rates are in thousandths, letters a word in hundredths.
+RULES = {
+    "mark_rate": (25, 75, 8, 8),
+    "echo_rate": (25, 75, 10, 2),
+    "word_length": (25, 75, 6, 32),
+    "repeat_rate": (50, 99, 1, 0),
+    "dup_line_rate": (50, 99, 1, 0),
+}
+#: Outer limits of the upper fences, and of the lower fence that word_length has too.
+GUARDS = {"mark_rate": (40, 300), "echo_rate": (30, 500), "word_length": (300, 4000), "repeat_rate": (80, 300), "dup_line_rate": (120, 900)}
+LOWER, LOWER_GUARD = "word_length", (50, 480)
+PRIOR = 200
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _repeat_words(frame: DataFrame) -> DataFrame:
-    """Add n_repeat_words: words in WINDOW-word windows that occur twice or more in ``_words``.
+    """Add n_repeat_words: words in WINDOW-word windows that occur twice or more in ``_words``; and n_echoes: words
+    equal to the one before.
 
     Windows are compared by 64-bit hash. Only documents whose windows are not all distinct are sorted;
     work is n log n in the words of a document.
@@ -41,6 +53,8 @@ def _repeat_words(frame: DataFrame) -> DataFrame:
     at = lambda a, i: F.get(a, i)
     frame = frame.withColumn("_wh", F.transform("_words", lambda w: F.xxhash64(w)))
     n = F.size("_wh")
+    same = F.filter(F.sequence(F.lit(1), n - 1), lambda i: at(F.col("_wh"), i) == at(F.col("_wh"), i - 1))
+    frame = frame.withColumn("n_echoes", F.when(n > 1, F.size(same)).otherwise(0).cast("long"))
     window = F.transform(
         F.sequence(F.lit(0), n - WINDOW),
         lambda i: F.xxhash64(*[at(F.col("_wh"), i + k) for k in range(WINDOW)]),
@@ -78,6 +92,7 @@ def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate("_text", WS_CHARS, "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length("_text") - F.length(F.translate("_text", MARKS, ""))).cast("long").alias("n_marks"),
         lines.alias("_lines"),
     )
     frame = frame.withColumn("n_lines", F.size("_lines").cast("long"))
@@ -89,10 +104,11 @@ def _rates() -> dict[str, Column]:
     """The judged metrics as whole numbers (integer division)."""
     rate = lambda a, b, x: F.expr(f"({a} * {x}) div greatest({b}, 1)")
     return {
-        "symbol_rate": rate("n_symbols", "word_chars", 1000),
-        "dup_line_rate": rate("n_dup_lines", "n_lines", 1000),
-        "repeat_rate": rate("n_repeat_words", "n_words", 1000),
+        "mark_rate": rate("n_marks", "word_chars", 1000),
+        "echo_rate": rate("n_echoes", "n_words", 1000),
         "word_length": rate("word_chars", "n_words", 100),
+        "repeat_rate": rate("n_repeat_words", "n_words", 1000),
+        "dup_line_rate": rate("n_dup_lines", "n_lines", 1000),
     }
 
 
@@ -101,9 +117,9 @@ def base_failed() -> Column:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """lang, source, metric, bucket, n: the histogram sketch of each group; merge by summing n."""
+    """lang, source, metric, bucket, n: the histogram sketch of each group of ``measured`` (a written table); merge by summing n."""
     pairs = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in _rates().items()])
-    rows = measured.where(F.col("n_words") >= 20).select("lang", "source", F.explode(pairs).alias("x"))
+    rows = measured.where(~base_failed()).select("lang", "source", F.explode(pairs).alias("x"))
     v, bits = F.col("x.v"), F.greatest(F.length(F.bin("x.v")) - 7, F.lit(0))
     bucket = F.expr("shiftleft(shiftright(v, bits), bits)")
     return (
@@ -114,28 +130,46 @@ def sketches(measured: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame) -> DataFrame:
-    """One row a (lang, source): the upper fence of each metric."""
-    group = Window.partitionBy("lang", "source", "metric")
+def _own_fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, n (documents), up, low: the fences that the sketches of each group give by themselves."""
+    group = Window.partitionBy(*keys, "metric")
     run = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketch.withColumn("cum", F.sum("n").over(run)).withColumn("total", F.sum("n").over(group))
-    at = lambda num, den: F.min(F.when(F.col("cum") * den >= F.col("total") * num, F.col("bucket")))
-    q = ranked.groupBy("lang", "source", "metric").agg(at(1, 2).alias("q50"), at(3, 4).alias("q75"))
-    fence = F.col("q75") + SPREAD * (F.col("q75") - F.col("q50"))
-    held = [
-        F.max(F.when(F.col("metric") == k, F.least(F.greatest(fence, F.lit(lo)), F.lit(hi)))).alias(f"max_{k}")
-        for k, (lo, hi) in RAILS.items()
-    ]
-    return q.groupBy("lang", "source").agg(*held)
+    at = lambda q: F.min(F.when(F.col("cum") * 100 >= F.col("total") * q, F.col("bucket"))).alias(f"q{q}")
+    q = ranked.groupBy(*keys, "metric").agg(F.max("total").alias("n"), *[at(x) for x in (25, 50, 75, 99)])
+    up = low = F.lit(None).cast("double")
+    held = lambda x, lo, hi: F.least(F.greatest(x.cast("double"), F.lit(float(lo))), F.lit(float(hi)))
+    for k, (a, b, times, part) in RULES.items():
+        least = F.expr(f"q50 div {part}") if part else F.lit(0)
+        away = times * F.greatest(F.col(f"q{b}") - F.col(f"q{a}"), least)
+        up = F.when(F.col("metric") == k, held(F.col(f"q{b}") + away, *GUARDS[k])).otherwise(up)
+        if k == LOWER:
+            low = F.when(F.col("metric") == k, held(F.col(f"q{a}") - away, *LOWER_GUARD)).otherwise(low)
+    return q.select(*keys, "metric", "n", up.alias("up"), low.alias("low"))
+
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """One row a (lang, source): the upper fence of each metric, and min_word_length."""
+    merged = lambda keys: sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+    named = lambda frame, to: frame.select(*[F.col(c).alias(f"{to}_{c}") for c in frame.columns])
+    language, corpus = named(_own_fences(merged(["lang"]), ["lang"]), "l"), named(_own_fences(merged([]), []), "c")
+    rows = _own_fences(sketch, ["lang", "source"])
+    rows = rows.join(language, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")))
+    rows = rows.join(F.broadcast(corpus), F.col("metric") == F.col("c_metric"))  # a row a metric
+    shrunk = lambda n, own, wide: (n * own + PRIOR * wide) / (n + PRIOR)
+    pooled = lambda x: shrunk(F.col("n"), F.col(x), shrunk(F.col("l_n"), F.col(f"l_{x}"), F.col(f"c_{x}")))
+    of = lambda k, x: F.max(F.when(F.col("metric") == k, pooled(x)))
+    return rows.groupBy("lang", "source").agg(*[of(k, "up").alias(f"max_{k}") for k in RULES], of(LOWER, "low").alias(f"min_{LOWER}"))
 
 
 def judge(measured: DataFrame) -> DataFrame:
     """Add base_failed and kept to measured rows (a materialized table: it is read twice)."""
-    limits = materialize(fences(sketches(measured)), "fences")
+    limits = materialize(fences(materialize(sketches(measured), "sketches")), "fences")
     out = join_small(measured, limits, ["lang", "source"], limits.count())
     fine = ~base_failed()
     for k, v in _rates().items():
         fine = fine & F.coalesce(v <= F.col(f"max_{k}"), F.lit(True))
+    fine = fine & F.coalesce(_rates()[LOWER] >= F.col(f"min_{LOWER}"), F.lit(True))
     return out.select(*measured.columns, base_failed().alias("base_failed"), fine.alias("kept"))
 
 

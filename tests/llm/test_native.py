@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import brute
 from loomspan.llm import chat, mixing, pii, quality, sharding
 from loomspan.llm import queries as q
+from loomspan.llm._common import materialize
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, _text string, size string, spans string"
@@ -65,13 +66,41 @@ def test_quality_query(spark):
     assert sum(r.kept for r in got) > 0.8 * sum(not r.base_failed for r in got)
 
 
+def _fences(df):
+    return {(r.lang, r.source): r for r in quality.fences(quality.sketches(materialize(quality.measure(df), "measured"))).collect()}
+
+
 def test_quality_fences_follow_the_group(spark):
-    clean = [(i, " ".join(f"w{i}x{j}" for j in range(50)), "en", "a") for i in range(40)]
-    noisy = [(100 + i, " ".join(f"w{i}x{j}##" for j in range(50)), "en", None) for i in range(40)]
-    bad = [(500, " ".join(f"q{j}####" for j in range(50)), "en", "a")]
+    """The same text passes in a group where such texts are usual, and fails in one where they are not."""
+    text = lambda i, extra, k: " ".join(f"w{i}x{j}" + extra * (j % (5 + i % 3) < k) for j in range(70))
+    clean = [(i, text(i, ",", 1), "en", "a") for i in range(600)]
+    noisy = [(1000 + i, text(i, "##", 4), "en", None) for i in range(600)]
+    bad = [(5000, text(7, "##", 4), "en", "a"), (5001, text(7, "##", 4), "en", None)]
+    bad += [(5002, " ".join(f"long{j}" * 9 for j in range(70)), "en", "a"), (5003, " ".join(["go"] * 6 + [f"z{j}" for j in range(30)]), "en", "a")]
     df = spark.createDataFrame(clean + noisy + bad, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id for r in quality.quality_rules(df).where("kept").collect()}
-    assert 500 not in kept and {r[0] for r in clean} <= kept
+    assert 5000 not in kept and 5001 in kept and 5002 not in kept and 5003 not in kept
+    assert {r[0] for r in clean + noisy} <= kept
+    f = _fences(df)
+    assert f["en", None].max_mark_rate > 1.5 * f["en", "a"].max_mark_rate
+
+
+def test_quality_fences_lie_within_the_guards(spark):
+    """The sketches decide: most fences are neither limit, and they differ between groups."""
+    df = q._read(spark, "/root/testdata/sf0.01", "documents")
+    f = _fences(df)
+    inside = [lo < r[f"max_{k}"] < hi for r in f.values() for k, (lo, hi) in quality.GUARDS.items()]
+    assert sum(inside) > 0.8 * len(inside)
+    for k in ("mark_rate", "word_length", "echo_rate"):
+        assert len({r[f"max_{k}"] for r in f.values()}) > len(f) / 2
+
+
+def test_quality_small_groups_lean_on_larger_ones(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" + "," * (j % (4 + i % 5) == 0) for j in range(70))
+    df = spark.createDataFrame([(i, text(i), "en", "a") for i in range(2000)] + [(9000, text(1), "en", "b"), (9001, None, "fr", "b")], "doc_id long, text string, lang string, source string")
+    f = _fences(df)
+    assert set(f) == {("en", "a"), ("en", "b")}  # no document of the third passes the base rules
+    assert abs(f["en", "b"].max_mark_rate - f["en", "a"].max_mark_rate) < 0.05 * f["en", "a"].max_mark_rate
 
 
 def test_pii(tricky):
