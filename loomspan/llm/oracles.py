@@ -28,15 +28,19 @@ def sharding(names: list[str], slots: int) -> str:
       SELECT doc_id, source, slot, ([{listed}])[who + 1] AS shard FROM (SELECT doc_id, source, ({number("coalesce(doc_id::VARCHAR, 'null')")} % {slots})::INT AS slot FROM documents) JOIN o USING (slot)"""
 
 
-MIX = f"""WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+MIX = f"""WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
   s AS (SELECT source, sum(size)::BIGINT AS source_size, (([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1])::DOUBLE AS w FROM d GROUP BY source),
   l AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / w AS r FROM s),
   m AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5 - coalesce(sum(cap) OVER (ORDER BY r, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY r, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l),
   t AS (SELECT source, source_size, least(cap, (SELECT level FROM m WHERE level <= r ORDER BY r, source LIMIT 1) * w) AS target FROM m),
-  e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS certain, CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p FROM t),
-  q AS (SELECT doc_id, size, source_size, target, certain, p, target - certain * source_size AS rest, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, d.source FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
-  c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size / 2 AS middle FROM q)
-  SELECT doc_id, size, source_size, target, (size * (certain + CASE WHEN q IS NOT NULL AND middle <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c"""
+  k AS (SELECT d.source, length(bin(size)) AS w, sum(size)::BIGINT AS s, any_value(source_size) AS source_size, any_value(target) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source GROUP BY 1, 2),
+  c AS (SELECT *, (target - 2.0::DOUBLE * coalesce(sum(s) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / nullif(sum(s * w) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)::DOUBLE AS c FROM k),
+  n AS (SELECT *, CASE WHEN source_size > 0 THEN coalesce(least(2.0::DOUBLE, w * (arg_max(c, w) FILTER (c * w <= 2) OVER (PARTITION BY source))), 2.0::DOUBLE) ELSE 0 END AS m FROM c),
+  e AS (SELECT *, floor(m) AS certain, m - floor(m) AS p, target - sum(floor(m) * s) OVER (PARTITION BY source) AS rest FROM n),
+  q AS (SELECT doc_id, size, source_size, target, certain, rest, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, d.source FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source AND length(bin(size)) = e.w),
+  o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size / 2 AS middle FROM q)
+  SELECT doc_id, size, source_size, target, (size * (certain + CASE WHEN q IS NOT NULL AND middle <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM o"""
 
 _RATES = {
     "mark_rate": "n_marks * 1000 // greatest(word_chars, 1)",

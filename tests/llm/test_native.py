@@ -178,6 +178,41 @@ def test_mix(spark):
         assert sorted((r.doc_id, r.copies) for r in got) == first
 
 
+def test_mix_inclusion_rates(spark):
+    """Longer documents have better odds, and each weight is included as often as its probability says."""
+    sizes = [1, 3, 6, 12, 25, 50, 100]
+    data = [(i, "w " * sizes[i % 7], "abc"[i % 3 > 0]) for i in range(21000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    share = collections.defaultdict(list)
+    for seed in ("x", "y"):
+        for r in mixing.mix(df, seed=seed).collect():
+            share[r.source, r.size, r.p].append(r.copies)
+    several = collections.defaultdict(set)
+    for (source, size, p), copies in share.items():
+        several[source].add(p)
+        certain = min(copies)
+        assert max(copies) <= min(2, certain + 1)
+        rate, n = sum(c - certain for c in copies) / len(copies), len(copies)
+        assert abs(rate - p) < 5 * (p * (1 - p) / n) ** 0.5 + 0.01, (source, size, p, rate)
+    assert all(len(x) > 4 for x in several.values())
+
+
+def test_mix_many_sources_and_null_rows(spark):
+    """Targets by sharing again and again, and rows without an id that differ in text draw for themselves."""
+    data = [(None, f"{'w ' * (i % 9)}x{i}", f"s{i % 41:02d}" if i % 41 else None) for i in range(2000)] + [(None, None, "s01"), (None, None, None)] * 3
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.source] += r.size
+    want = brute.mix_targets(dict(sizes))
+    taken = collections.Counter()
+    for r in got:
+        assert r.target == pytest.approx(want[r.source])
+        taken[r.source] += r.size * r.copies
+    assert len(got) == len(data) and all(abs(taken[s] - want[s]) <= 10 for s in want)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(empty).count() == 0
