@@ -5,34 +5,37 @@ document and earlier start). Three steps, none of which holds more than a bounde
 
 1. Anchors. Each MIN_LENGTH window picks the GRAM-byte strings of least hash in it, so equal windows pick the
    same ones, and two windows can only be equal if they meet under an anchor. An anchor's context is all
-   windows over it. Contexts equal to an earlier one are settled at once (first within a task, so copies
-   shrink before they are shuffled); anchors with one context only are done.
-2. Interval expansion (``repeated_windows``). The different contexts under an anchor, aligned at it, form
+   windows over it. Within a chunk of text, contexts that are equal byte by byte are folded into the earliest,
+   which is the one row that the transform gets for them; the others are repeats. Anchors with one context
+   in the whole corpus are done.
+2. Interval expansion (``repeated_windows``). The contexts under an anchor, aligned at it, form
    a collection; its Burrows-Wheeler transform is built column by column, and breadth-first backward
    extension sets the common-prefix values 0, 1, 2, ... in increasing order until MIN_LENGTH. Boundaries
-   never reached part the classes of equal windows; all but the earliest of a class are repeats. Anchors
-   with very many contexts are dealt over several tasks, and only the first window of each class
-   meets the other tasks' by its hash.
+   never reached part the classes of equal windows; all but the earliest of a class are repeats. Contexts of an anchor
+   with very many of them are dealt over the tasks, and the first window of each class then meets those of the other
+   tasks in a second transform, over whole windows.
 3. Removal. Covered ranges meet their document and are cut out.
 
-Rows travel as packed blobs, and all that is read twice is written to the shared folder.
+Hashes only bring candidates together: that two strings are equal is always told from their bytes. Rows travel as packed
+blobs, and all that is read twice is written to the shared folder. Work is dealt by ``part``, a number of bounded text;
+a task takes several parts one after the other where there are more parts than TASKS.
 
 Defined results: a null text is empty; a null doc_id counts as larger than all; rows that repeat a doc_id are
-ordered by a hash of their text, and of rows that repeat both, one counts as first; documents under MIN_LENGTH
-bytes stay whole; an empty table gives an empty result; other columns are ignored. Texts are compared as
-UTF-8; equality of anchors and whole contexts is equality of 64-bit hashes (two of them together).
+ordered by a 64-bit hash of their text, and of rows that repeat both, one counts as first; documents under MIN_LENGTH
+bytes stay whole; an empty table gives an empty result; other columns are ignored. Texts are taken as UTF-8.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize, tidy
@@ -40,22 +43,32 @@ from ._common import materialize, tidy
 MIN_LENGTH, GRAM = 100, 32
 SIDE = MIN_LENGTH - GRAM  # of a context, before the anchor; MIN_LENGTH behind its start
 WIDTH = SIDE + MIN_LENGTH
-CHUNK = 4 << 20  # bytes of text that a task treats at once
-PIECE = 1 << 16  # windows hashed at once; temporary arrays stay in the cache
-ROWS = 12_000  # contexts in one transform
-HEAVY = 200_000  # contexts from which an anchor is dealt over several tasks
-PART_BYTES = 16 << 20  # of text, for one task of the later steps: the knob for memory
 NULL_ID = np.iinfo(np.int64).max
 COVER, ENTRY, TEXT, WINDOW = 0, 1, 2, 3
 SCHEMA = "part int, kind int, data binary"
+TASKS = 20_000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a task holds at once: knobs for memory, without effect on results."""
+
+    chunk: int = 4 << 20  # bytes of text treated at once
+    piece: int = 1 << 16  # windows hashed at once; temporary arrays stay in the cache
+    rows: int = 12_000  # contexts in one transform
+    heavy: int = 200_000  # contexts from which an anchor is dealt over all tasks
+    held: int = 4_000_000  # entries of anchors held at once
+    part: tuple[int, int] = (16 << 20, 64 << 20)  # bytes of text a part stands for, in small and very large corpora
+
 
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25, 0x9E3779B97F4A7C15))
 _S = [np.uint64(x) for x in (32, 29, 32)]
-ENTRIES = np.dtype([("h", "u8"), ("c", "u8"), ("doc", "i8"), ("th", "u4"), ("pos", "i4"), ("left", "u1"), ("right", "u1")])
-COVERS = np.dtype([("doc", "i8"), ("th", "u4"), ("start", "i4"), ("end", "i4")])
-WINDOWS = np.dtype([("w", "u8"), ("doc", "i8"), ("th", "u4"), ("start", "i4")])
-CONTEXT = np.dtype([("h", "u8"), ("doc", "i8"), ("th", "u4"), ("pos", "i4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (WIDTH,))])
-TEXTS = np.dtype([("doc", "i8"), ("th", "u4"), ("size", "i4")])
+_PLACE = [("doc", "i8"), ("th", "u8"), ("pos", "i4"), ("left", "u1"), ("right", "u1")]
+ENTRIES = np.dtype([("h", "u8"), *_PLACE, ("hot", "u1")])
+CONTEXT = np.dtype([("h", "u8"), *_PLACE, ("hot", "u1"), ("bytes", "u1", (WIDTH,))])
+COVERS = np.dtype([("doc", "i8"), ("th", "u8"), ("start", "i4"), ("end", "i4")])
+WINDOWS = np.dtype([("w", "u8"), ("doc", "i8"), ("th", "u8"), ("start", "i4"), ("bytes", "u1", (MIN_LENGTH,))])
+TEXTS = np.dtype([("doc", "i8"), ("th", "u8"), ("size", "i4")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,13 +97,13 @@ def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
     return f(x[: len(x) - (w - s)], x[w - s :]) if w > s else x
 
 
-def anchors(b: np.ndarray, starts: np.ndarray):
+def anchors(b: np.ndarray, starts: np.ndarray, piece: int):
     """Anchors in concatenated documents (bounds ``starts``, end included): position, hash, context hash, left, right."""
     n, span = len(b), SIDE + 1
     sizes = np.diff(starts)
     out = []
-    for w0 in range(0, max(0, n - MIN_LENGTH + 1), PIECE):
-        w1 = min(w0 + PIECE, n - MIN_LENGTH + 1)
+    for w0 in range(0, max(0, n - MIN_LENGTH + 1), piece):
+        w1 = min(w0 + piece, n - MIN_LENGTH + 1)
         e0, e1 = max(0, w0 - SIDE), min(n, w1 + 2 * SIDE + 2 * GRAM)
         g = _grams(b[e0:e1])
         h = _mix(g[w0 - e0 : w1 - e0 + SIDE])
@@ -145,13 +158,13 @@ def _dealt(a: np.ndarray, part: np.ndarray, kind: int) -> Iterator[tuple[int, in
         yield int(part[own[0]]), kind, _pack(a[own], compress)
 
 
-def _batch(rows: list[tuple[int, int, bytes]], keys: np.ndarray) -> pa.RecordBatch:
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     part, kind, data = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(keys[np.array(part, np.int64)], pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, bytes]]:
-    """Documents (TEXTS, in order) with their bytes, CHUNK bytes at a time at least."""
+def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Documents (TEXTS, in order) with their bytes, ``chunk`` bytes at a time at least."""
     held, size = [], 0
 
     def done():
@@ -160,42 +173,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, byt
         return table, b"".join(x[2] for x in held)
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            b = (text or "").encode("utf-8", "surrogatepass")
-            held.append((NULL_ID if doc is None else doc, xxhash.xxh32_intdigest(b), b))
+        for doc, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.append((NULL_ID if doc is None else doc, xxhash.xxh64_intdigest(b), b))
             size += len(b)
-            if size >= CHUNK:
+            if size >= chunk:
                 yield done()
                 held, size = [], 0
     if held:
         yield done()
 
 
-def _first_of(a: np.ndarray, key: np.ndarray, names: list[str]):
-    """Order in which equal keys stand together, the earliest first; marks of the first and of exact repeats of a row."""
-    order = np.argsort(key)
-    k = key[order]
-    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.empty(0, bool)
-    if not new.all():
-        several = np.flatnonzero(~new | np.r_[~new[1:], False])
-        own = a[order[several]]
-        order[several] = order[several][np.lexsort([*[own[f] for f in reversed(names)], k[several]])]
-    s = a[order]
-    again = np.r_[False, np.logical_and.reduce([s[f][1:] == s[f][:-1] for f in names])] & ~new if len(k) else new
-    return order, new, again
-
-
-def _settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries -> (the earliest of each context, covered ranges of the others)."""
-    order, new, again = _first_of(e, _mix(e["h"] * _C + e["c"]), ["doc", "th", "pos"])
-    e = e[order]
-    late = e[~new & ~again]
-    cover = np.empty(len(late), COVERS)
-    cover["doc"], cover["th"] = late["doc"], late["th"]
-    cover["start"], cover["end"] = late["pos"] - late["left"], late["pos"] + late["right"]
-    return e[new], _merged(cover)
-
-
 def _merged(c: np.ndarray) -> np.ndarray:
     """Ranges of one document that touch become one."""
     c = c[np.lexsort((c["start"], c["th"], c["doc"]))]
@@ -210,21 +197,52 @@ def _merged(c: np.ndarray) -> np.ndarray:
     return out
 
 
-def _entries(table: np.ndarray, data: bytes) -> np.ndarray:
+def _covers(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), COVERS)
+    out["doc"], out["th"], out["start"], out["end"] = a["doc"], a["th"], start, end
+    return _merged(out)
+
+
+def _folded(table: np.ndarray, data: bytes, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of a chunk's anchors, contexts that equal an earlier one byte by byte left out, and what those cover."""
+    b = np.frombuffer(data, np.uint8)
     starts = np.r_[0, table["size"].astype(np.int64).cumsum()]
-    p, h, c, left, right = anchors(np.frombuffer(data, np.uint8), starts)
+    p, h, c, left, right = anchors(b, starts, limits.piece)
     d = np.searchsorted(starts, p, side="right") - 1
-    e = np.empty(len(p), ENTRIES)
-    e["h"], e["c"], e["pos"], e["left"], e["right"] = h, c, p - starts[d], left, right
+    e = np.zeros(len(p), ENTRIES)
+    e["h"], e["pos"], e["left"], e["right"] = h, p - starts[d], left, right
     e["doc"], e["th"] = table["doc"][d], table["th"][d]
-    return e
-
-
-def repeated_windows(group: np.ndarray, ctx: np.ndarray, left: np.ndarray, right: np.ndarray, stop: int = MIN_LENGTH):
-    """Classes of equal windows of contexts aligned at their anchor (column SIDE).
-
-    group: number of the anchor of each row, ascending. ctx: bytes, rows x WIDTH; those outside the document
-    (before SIDE - left, from SIDE + right on) don't matter. -> for each column a window can start at, stacked:
+    # documents are in order, so the first of a run of equal keys under a stable sort is the earliest
+    key = _mix(h * _C + c)
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.empty(0, bool)
+    first = order[np.flatnonzero(new)[new.cumsum() - 1]] if len(k) else order
+    late, of = order[~new], first[~new]
+    equal = (left[late] == left[of]) & (right[late] == right[of])
+    for s in range(0, len(late), 1 << 15):
+        part = slice(s, s + (1 << 15))
+        x, y = late[part], of[part]
+        column = np.arange(-SIDE, MIN_LENGTH)
+        inside = (column >= -left[x][:, None]) & (column < right[x][:, None])
+        at = lambda i: b[np.clip(p[i][:, None] + column, 0, len(b) - 1)]  # noqa: E731, B023
+        equal[part] &= ((at(x) == at(y)) | ~inside).all(axis=1)
+    late = np.sort(late[equal])
+    keep = np.ones(len(e), bool)
+    keep[late] = False
+    # of rows that repeat id and text, one counts as first: their places are the same, and nothing is covered
+    repeated = np.zeros(len(table), bool)
+    repeated[1:] = (table["doc"][1:] == table["doc"][:-1]) & (table["th"][1:] == table["th"][:-1])
+    keep &= ~repeated[d]
+    late = late[~repeated[d[late]]]
+    return e[keep], _covers(e[late], e["pos"][late] - left[late], e["pos"][late] + right[late])
+
+
+def repeated_windows(group: np.ndarray, ctx: np.ndarray, left: np.ndarray, right: np.ndarray, side: int = SIDE, stop: int = MIN_LENGTH):
+    """Classes of equal windows of contexts aligned at their anchor (column ``side``).
+
+    group: number of the anchor of each row, ascending. ctx: bytes, rows x columns; those outside the document
+    (before side - left, from side + right on) don't matter. -> for each column a window can start at, stacked:
     rows in suffix order, and marks where a class begins. Windows that leave the document are alone or with such.
 
     The transform is that of the rows with symbols tagged by column, so a backward extension leads from the
@@ -232,7 +250,7 @@ def repeated_windows(group: np.ndarray, ctx: np.ndarray, left: np.ndarray, right
     """
     n, width = ctx.shape
     column = np.arange(width)
-    symbol = np.where((column >= SIDE - left[:, None]) & (column < SIDE + right[:, None]), ctx.astype(np.int16) + 1, np.int16(0))
+    symbol = np.where((column >= side - left[:, None]) & (column < side + right[:, None]), ctx.astype(np.int16) + 1, np.int16(0))
     base = group.astype(np.int64) * 257
     order = np.arange(n)
     windows = width - stop + 1
@@ -288,8 +306,9 @@ def _expand(c: np.ndarray, emit_windows: bool) -> tuple[np.ndarray, np.ndarray]:
     """Contexts of whole groups -> (covered ranges, first window of each class if asked for)."""
     c = c[np.argsort(c["h"], kind="stable")]
     group = np.r_[False, c["h"][1:] != c["h"][:-1]].cumsum()
-    rank = np.empty(len(c), np.int64)
-    rank[np.lexsort((c["pos"], c["th"], c["doc"]))] = np.arange(len(c))
+    order = np.lexsort((c["pos"], c["th"], c["doc"]))
+    rank = np.empty(len(c), np.int64)  # rows of one place, of documents that are there twice, share a rank
+    rank[order] = np.r_[0, np.logical_or.reduce([c[f][order][1:] != c[f][order][:-1] for f in ("doc", "th", "pos")]).cumsum()]
     left, right = c["left"].astype(np.int64), c["right"].astype(np.int64)
     rows, new = repeated_windows(group, c["bytes"], left, right)
     flat, start = rows.ravel(), np.flatnonzero(new.ravel())
@@ -301,20 +320,44 @@ def _expand(c: np.ndarray, emit_windows: bool) -> tuple[np.ndarray, np.ndarray]:
     np.minimum.at(lo, flat[late], column[late])
     np.maximum.at(hi, flat[late], column[late])
     hit = np.flatnonzero(hi >= 0)  # windows of a context overlap, so its covered bytes are one range
-    cover = np.empty(len(hit), COVERS)
-    cover["doc"], cover["th"] = c["doc"][hit], c["th"][hit]
-    cover["start"] = c["pos"][hit] - SIDE + lo[hit]
-    cover["end"] = c["pos"][hit] - SIDE + hi[hit] + MIN_LENGTH
+    cover = _covers(c[hit], c["pos"][hit] - SIDE + lo[hit], c["pos"][hit] - SIDE + hi[hit] + MIN_LENGTH)
     first = np.flatnonzero(inside & ~late) if emit_windows else np.empty(0, np.int64)
     w = np.empty(len(first), WINDOWS)
     if len(first):
         r, o = flat[first], column[first]
-        bytes_ = c["bytes"]
-        w["w"] = [xxhash.xxh64_intdigest(bytes_[i, j : j + MIN_LENGTH].tobytes(), 7) for i, j in zip(r, o, strict=True)]
+        w["bytes"] = np.lib.stride_tricks.sliding_window_view(c["bytes"], MIN_LENGTH, axis=1)[r, o]
+        w["w"] = [xxhash.xxh64_intdigest(x.tobytes(), 7) for x in w["bytes"]]
         w["doc"], w["th"], w["start"] = c["doc"][r], c["th"][r], c["pos"][r] - SIDE + o
     return cover, w
 
 
+def _late_windows(w: np.ndarray, rows: int) -> np.ndarray:
+    """Marks of the windows (sorted by w, doc, th, start) that equal an earlier one, by transforms of ``rows`` at most."""
+    late = np.zeros(len(w), bool)
+    if not len(w):
+        return late
+    group = np.r_[0, (w["w"][1:] != w["w"][:-1]).cumsum()]
+
+    def among(own: np.ndarray) -> None:
+        place, new = repeated_windows(group[own], w["bytes"][own], np.zeros(len(own), int), np.full(len(own), MIN_LENGTH), side=0)
+        kind = new[0].cumsum() - 1
+        least = np.minimum.reduceat(place[0], np.flatnonzero(new[0]))  # own is sorted, so the least is the earliest
+        late[own[place[0][place[0] != least[kind]]]] = True
+
+    begin = 0
+    firsts = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(w)]
+    while begin < len(firsts) - 1:
+        end = max(begin + 1, int(np.searchsorted(firsts, firsts[begin] + rows, side="right")) - 1)
+        own = np.arange(firsts[begin], firsts[end])
+        held = own[:0]
+        for s in range(0, len(own), rows):  # one group may be larger: its earliest go on to the next piece
+            now = np.concatenate([held, own[s : s + rows]])
+            among(now)
+            held = now[~late[now]]
+        begin = end
+    return late
+
+
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
     """Rows that come sorted by part -> each part with its (kind, data)."""
     rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
@@ -323,63 +366,87 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[
 
 
 def _shuffle(df: DataFrame, parts: int) -> DataFrame:
-    return df.repartition(parts, "part").sortWithinPartitions("part", "kind")
-
-
-def _keys(spark: SparkSession, parts: int) -> np.ndarray:
-    """For each part a number that Spark's hash deals to that partition: one part a task. Bounded by the parts."""
-    number = F.col("id").cast("int")
-    n = 32 * parts
-    while True:
-        dealt = spark.range(n).groupBy(F.pmod(F.hash(number), F.lit(parts)).alias("p")).agg(F.min(number).alias("k"))
-        rows = {r.p: r.k for r in dealt.collect()}
-        if len(rows) == parts:
-            return np.array([rows[i] for i in range(parts)], np.int64)
-        n *= 4
+    tasks = min(parts, TASKS)
+    return df.repartitionById(tasks, F.pmod(F.col("part"), F.lit(tasks))).sortWithinPartitions("part", "kind")
 
 
-def _is_heavy(h: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    return np.isin(h, heavy) if len(heavy) else np.zeros(len(h), bool)
+def _asked(blobs: Iterator[np.ndarray], limits: Limits) -> Iterator[np.ndarray]:
+    """Entries of a part -> those of anchors with several contexts, marked if they are ``heavy`` or more.
 
-
-def repeated_ranges(docs: DataFrame, texts: DataFrame, keys: np.ndarray, heavy) -> list[DataFrame]:
+    Anchors that become heavy are let go while the part is read, so that no more than the others are held.
+    """
+    hot = np.empty(0, np.uint64)
+    held, n, bound = [], 0, limits.held
+
+    def settled(last: bool):
+        nonlocal hot, held, n, bound
+        e = np.concatenate(held)
+        e = e[np.lexsort((e["pos"], e["th"], e["doc"], e["h"]))]
+        e = e[np.r_[True, np.logical_or.reduce([e[f][1:] != e[f][:-1] for f in ("h", "doc", "th", "pos")])]]
+        first = np.flatnonzero(np.r_[True, e["h"][1:] != e["h"][:-1]])
+        size = np.diff(np.r_[first, len(e)])
+        heavy = (size >= limits.heavy) | np.isin(e["h"][first], hot)
+        hot = np.union1d(hot, e["h"][first[heavy]])
+        e["hot"] = np.repeat(heavy, size)
+        out = np.repeat(heavy | (size > 1) if last else heavy, size)
+        held, n = [e[~out]], int((~out).sum())
+        bound = max(limits.held, 2 * n)
+        return e[out]
+
+    for blob in blobs:
+        held.append(blob)
+        n += len(blob)
+        if n >= bound:
+            yield settled(False)
+    if n:
+        yield settled(True)
+
+
+def repeated_ranges(docs: DataFrame, texts: DataFrame, parts: int, limits: Limits) -> list[DataFrame]:
     """Covered ranges, as blobs by document part. ``texts``: blobs of the documents by document part."""
-    parts = len(keys)
+    enough = min(limits.held, 16 * parts)  # entries that are dealt at once: blobs stay worth their while
 
     def collect_anchors(batches):
-        for table, data in _chunks(batches):
-            first, cover = _settle(_entries(table, data))
-            at = _part_of(first["h"], parts)
-            hot = _is_heavy(first["h"], heavy.value)
-            at[hot] = _part_of(first["h"][hot] + first["c"][hot], parts)
-            yield _batch([*_dealt(first, at, ENTRY), *_dealt(cover, _part_of(cover["doc"], parts), COVER)], keys)
+        entries, covers, n = [], [], 0
+
+        def deal():
+            e, c = np.concatenate(entries), _merged(np.concatenate(covers))
+            return _batch([*_dealt(e, _part_of(e["h"], parts), ENTRY), *_dealt(c, _part_of(c["doc"], parts), COVER)])
+
+        for table, data in _chunks(batches, limits.chunk):
+            e, c = _folded(table, data, limits)
+            entries.append(e)
+            covers.append(c)
+            n += len(e)
+            if n >= enough:
+                yield deal()
+                entries, covers, n = [], [], 0
+        if entries:
+            yield deal()
 
     def settle(batches):
         for _, rows in _by_part(batches):
-            held, out = [], []
-            for kind, data in rows:
-                if kind == ENTRY:
-                    held.append(_unpack(data, ENTRIES))
-                else:
-                    cover = _unpack(data, COVERS)
-                    out += _dealt(cover, _part_of(cover["doc"], parts), COVER)
-            if held:
-                first, cover = _settle(np.concatenate(held))
-                order = np.argsort(first["h"])
-                first = first[order]
-                same = first["h"][1:] == first["h"][:-1]
-                several = (np.r_[False, same] | np.r_[same, False]) | _is_heavy(first["h"], heavy.value)
-                ask = first[several]
-                out += _dealt(cover, _part_of(cover["doc"], parts), COVER)
-                out += _dealt(ask, _part_of(ask["doc"], parts), ENTRY)
-            yield _batch(out, keys)
+            covers = []
+
+            def entries(rows=rows, covers=covers):
+                for kind, data in rows:
+                    if kind == ENTRY:
+                        yield _unpack(data, ENTRIES)
+                    else:
+                        covers.append(_unpack(data, COVERS))
+
+            for ask in _asked(entries(), limits):
+                yield _batch(list(_dealt(ask, _part_of(ask["doc"], parts), ENTRY)))
+            if covers:
+                cover = _merged(np.concatenate(covers))
+                yield _batch(list(_dealt(cover, _part_of(cover["doc"], parts), COVER)))
 
     def send(contexts):
         c = np.concatenate(contexts)
         part = _part_of(c["h"], parts)
-        hot = _is_heavy(c["h"], heavy.value)
+        hot = c["hot"] > 0
         part[hot] = _part_of(c["h"][hot] + c["doc"][hot].astype(np.uint64) + c["pos"][hot].astype(np.uint64), parts)
-        return _batch(list(_dealt(c, part, ENTRY)), keys)
+        return _batch(list(_dealt(c, part, ENTRY)))
 
     def fetch(batches):
         for _, rows in _by_part(batches):
@@ -391,28 +458,28 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, keys: np.ndarray, heavy)
                 if isinstance(asked, list):
                     asked = np.concatenate(asked) if asked else np.empty(0, ENTRIES)
                     asked = asked[np.lexsort((asked["th"], asked["doc"]))]
-                    key = (asked["doc"].astype(np.int64), asked["th"])
                 if not len(asked):
                     break
                 table, raw = _unpack_texts(data)
-                at = 0
-                lo = np.searchsorted(key[0], table["doc"], side="left")
-                hi = np.searchsorted(key[0], table["doc"], side="right")
-                for (doc, th, size), a, z in zip(table.tolist(), lo, hi, strict=True):
-                    if a < z and (doc, th) not in seen:
-                        own = asked[a:z]
-                        own = own[own["th"] == th]
-                        if len(own):
-                            seen.add((doc, th))
-                            b = np.frombuffer(raw, np.uint8, size, at)
-                            c = np.empty(len(own), CONTEXT)
-                            for f in ("h", "doc", "th", "pos", "left", "right"):
-                                c[f] = own[f]
-                            c["bytes"] = b[np.clip(own["pos"].astype(np.int64)[:, None] - SIDE + np.arange(WIDTH), 0, size - 1)]
-                            contexts.append(c)
-                            held += len(own)
-                    at += size
-                    if held >= ROWS:
+                at = np.r_[0, table["size"].astype(np.int64).cumsum()]
+                lo = np.searchsorted(asked["doc"], table["doc"], side="left")
+                hi = np.searchsorted(asked["doc"], table["doc"], side="right")
+                for i in np.flatnonzero(lo < hi).tolist():
+                    doc, th, size = table[i].tolist()
+                    if (doc, th) in seen:
+                        continue
+                    own = asked[lo[i] : hi[i]]
+                    own = own[own["th"] == th]
+                    if len(own):
+                        seen.add((doc, th))
+                        b = np.frombuffer(raw, np.uint8, size, int(at[i]))
+                        c = np.empty(len(own), CONTEXT)
+                        for f in ENTRIES.names:
+                            c[f] = own[f]
+                        c["bytes"] = b[np.clip(own["pos"].astype(np.int64)[:, None] - SIDE + np.arange(WIDTH), 0, size - 1)]
+                        contexts.append(c)
+                        held += len(own)
+                    if held >= enough // 4 + limits.rows:
                         yield send(contexts)
                         contexts, held = [], 0
             if contexts:
@@ -424,13 +491,13 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, keys: np.ndarray, heavy)
             c = c[np.argsort(c["h"], kind="stable")]
             first = np.flatnonzero(np.r_[True, c["h"][1:] != c["h"][:-1]])
             sizes = np.diff(np.r_[first, len(c)])
-            hot = _is_heavy(c["h"][first], heavy.value) | (sizes > ROWS)
+            apart = (c["hot"][first] > 0) | (sizes > limits.rows)
             jobs, now, n = [], [], 0
-            for a, m, large in zip(first, sizes, hot, strict=True):
+            for a, m, large in zip(first, sizes, apart, strict=True):
                 if large:
-                    jobs += [(np.arange(s, min(s + ROWS, a + m)), True) for s in range(a, a + m, ROWS)]
+                    jobs += [(np.arange(s, min(s + limits.rows, a + m)), True) for s in range(a, a + m, limits.rows)]
                     continue
-                if n + m > ROWS:
+                if n + m > limits.rows:
                     jobs.append((np.concatenate(now), False))
                     now, n = [], 0
                 now.append(np.arange(a, a + m))
@@ -439,27 +506,24 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, keys: np.ndarray, heavy)
                 jobs.append((np.concatenate(now), False))
             for own, large in jobs:
                 cover, windows = _expand(c[own], large)
-                cover = _merged(cover)
-                yield _batch([*_dealt(cover, _part_of(cover["doc"], parts), COVER), *_dealt(windows, _part_of(windows["w"], parts), WINDOW)], keys)
+                yield _batch([*_dealt(cover, _part_of(cover["doc"], parts), COVER), *_dealt(windows, _part_of(windows["w"], parts), WINDOW)])
 
     def compare(batches):
         for _, rows in _by_part(batches):
             w = np.concatenate([_unpack(d, WINDOWS) for _, d in rows])
-            order, new, again = _first_of(w, w["w"], ["doc", "th", "start"])
-            late = w[order][~new & ~again]
-            cover = np.empty(len(late), COVERS)
-            for f in ("doc", "th", "start"):
-                cover[f] = late[f]
-            cover["end"] = late["start"] + MIN_LENGTH
-            cover = _merged(cover)
-            yield _batch(list(_dealt(cover, _part_of(cover["doc"], parts), COVER)), keys)
+            w = w[np.lexsort((w["start"], w["th"], w["doc"], w["w"]))]
+            # windows of two anchors can be the same place
+            w = w[np.r_[True, np.logical_or.reduce([w[f][1:] != w[f][:-1] for f in ("w", "doc", "th", "start")])]]
+            late = w[_late_windows(w, limits.rows)]
+            cover = _covers(late, late["start"], late["start"] + MIN_LENGTH)
+            yield _batch(list(_dealt(cover, _part_of(cover["doc"], parts), COVER)))
 
     settled = materialize(_shuffle(docs.mapInArrow(tidy(collect_anchors), SCHEMA), parts).mapInArrow(tidy(settle), SCHEMA), "anchors")
     contexts = _shuffle(settled.where(F.col("kind") == ENTRY).unionByName(texts), parts).mapInArrow(tidy(fetch), SCHEMA)
     expanded = materialize(_shuffle(contexts, parts).mapInArrow(tidy(expand), SCHEMA), "classes")
     covers = [settled.where(F.col("kind") == COVER), expanded.where(F.col("kind") == COVER)]
     windows = expanded.where(F.col("kind") == WINDOW)
-    if not windows.isEmpty():  # only anchors dealt over several tasks leave windows to compare
+    if not windows.isEmpty():  # only anchors dealt over several transforms leave windows to compare
         covers.append(_shuffle(windows, parts).mapInArrow(tidy(compare), SCHEMA))
     return covers
 
@@ -470,50 +534,32 @@ def _unpack_texts(data: bytes) -> tuple[np.ndarray, bytes]:
     return np.frombuffer(raw, TEXTS, n // TEXTS.itemsize, 8), raw[8 + n :]
 
 
-def _heavy_anchors(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Anchors with HEAVY contexts or more, and the bytes of the corpus. At most one for HEAVY * 35 bytes of text."""
-
-    def count(batches):
-        for table, data in _chunks(batches):
-            e, _ = _settle(_entries(table, data))
-            h, n = np.unique(e["h"], return_counts=True)
-            some = n >= 4  # what a chunk leaves out adds up to less than four a chunk
-            h, n = h[some].view(np.int64), n[some]
-            yield pa.RecordBatch.from_arrays([pa.array([*h, None], pa.int64()), pa.array([*n, len(data)], pa.int64())], names=["h", "n"])
-
-    sums = materialize(docs.mapInArrow(tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "heavy")
-    size = sums.where("h is null").first()
-    rows = sums.where((F.col("n") >= HEAVY) & F.col("h").isNotNull()).collect()
-    return np.array(sorted(r.h for r in rows), np.int64).view(np.uint64), size.n if size else 0
-
-
-def _text_blobs(docs: DataFrame, keys: np.ndarray) -> DataFrame:
-    parts = len(keys)
-
+def _text_blobs(docs: DataFrame, parts: int, limits: Limits) -> DataFrame:
     def pack(batches):
         compress = zstandard.ZstdCompressor(level=1).compress
-        for table, data in _chunks(batches):
-            at = np.r_[0, table["size"].astype(np.int64).cumsum()]
+        for table, data in _chunks(batches, limits.chunk):
+            at = np.r_[0, table["size"].astype(np.int64).cumsum()].tolist()
             part = _part_of(table["doc"], parts)
+            order = np.argsort(part, kind="stable")
             out = []
-            for p in np.unique(part):
-                own = np.flatnonzero(part == p)
-                body = b"".join([data[at[i] : at[i + 1]] for i in own])
-                out.append((int(p), TEXT, compress(len(own).to_bytes(8, "little") + table[own].tobytes() + body)))
-            yield _batch(out, keys)
+            for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                body = b"".join([data[at[i] : at[i + 1]] for i in own.tolist()])
+                out.append((int(part[own[0]]), TEXT, compress(len(own).to_bytes(8, "little") + table[own].tobytes() + body)))
+            yield _batch(out)
 
     return docs.mapInArrow(tidy(pack), SCHEMA)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (removed ranges start, end, in bytes), kept (the remaining bytes) of every document."""
-    spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    heavy, size = _heavy_anchors(docs)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
-    keys = _keys(spark, parts)
-    texts = _text_blobs(docs, keys)
-    covers = repeated_ranges(docs, texts, keys, spark.sparkContext.broadcast(heavy))
+    limits = limits or Limits()
+    text: Column = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    per_part = min(max(limits.part[0], size >> 16), limits.part[1])
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // per_part)
+    texts = _text_blobs(docs, parts, limits)
+    covers = repeated_ranges(docs, texts, parts, limits)
 
     def cut(batches):
         for _, rows in _by_part(batches):

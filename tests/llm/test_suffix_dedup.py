@@ -57,21 +57,50 @@ def texts(rng):
     return out
 
 
-@pytest.mark.parametrize("heavy", [False, True])
-def test_edges(spark, monkeypatch, heavy):
-    monkeypatch.setattr(sd, "PIECE", 300)
-    monkeypatch.setattr(sd, "CHUNK", 3000)
-    if heavy:
-        monkeypatch.setattr(sd, "HEAVY", 5)
-        monkeypatch.setattr(sd, "ROWS", 7)
+SMALL = sd.Limits(chunk=3000, piece=300)
+TINY = sd.Limits(chunk=3000, piece=300, rows=7, heavy=5, held=50)
+
+
+@pytest.mark.parametrize("limits", [SMALL, TINY, sd.Limits(chunk=500, piece=300, rows=50, heavy=30, held=100, part=(200, 400))])
+def test_edges(spark, limits):
     rng = random.Random(4)
     rows = [(3 * i, t) for i, t in enumerate(texts(rng))]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("clash")).repartition(5)
-    got = sorted(tuple(r) for r in q._suffix_digest(sd.remove_repeats(df)).collect())
+    got = sorted(tuple(r) for r in q._suffix_digest(sd.remove_repeats(df, limits)).collect())
     assert got == brute(sorted(rows))
 
 
+def test_anchor_spread_thinly(spark):
+    """An anchor with a context or two in each of many chunks is found to be heavy, and its classes meet."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    core, sides = word(70), [word(60) for _ in range(5)]
+    rows = [(i, word(50) + rng.choice(sides) + core + rng.choice(sides) + word(50)) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for limits in (sd.Limits(chunk=400, rows=9, heavy=20, held=30), sd.Limits(chunk=400, heavy=10**9)):
+        got = sorted(tuple(r) for r in q._suffix_digest(sd.remove_repeats(df, limits)).collect())
+        assert got == brute(rows)
+
+
+def test_asked_lets_heavy_anchors_go():
+    e = np.zeros(1000, sd.ENTRIES)
+    e["h"] = np.r_[np.full(600, 7), np.arange(100, 400), np.arange(100, 200)]
+    e["pos"] = np.arange(1000)
+    got = np.concatenate(list(sd._asked(iter(np.array_split(np.random.default_rng(0).permutation(e), 40)), sd.Limits(heavy=50, held=100))))
+    assert sorted(got["pos"][got["h"] == 7]) == list(range(600)) and got["hot"][got["h"] == 7].all()
+    assert sorted(set(got["h"][got["h"] != 7])) == list(range(100, 200)) and not got["hot"][got["h"] != 7].any()
+
+
+def test_equal_hashes_do_not_remove(spark):
+    """Windows that only share a hash stay: classes come from bytes."""
+    w = np.zeros(4, sd.WINDOWS)
+    w["doc"] = np.arange(4)
+    w["bytes"] = np.arange(4)[:, None] // 2
+    assert sd._late_windows(w, 10).tolist() == [False, True, False, True]
+    assert sd._late_windows(np.repeat(w, 5), 3).sum() == 18
+
+
 def test_repeated_rows_and_nulls(spark):
     rng = random.Random(1)
     t = "".join(rng.choice("abcdef ") for _ in range(300))
@@ -82,6 +111,15 @@ def test_repeated_rows_and_nulls(spark):
     assert sd.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_null_ids_with_different_texts(spark):
+    """Rows without an id are parted by their text, and come after all others."""
+    rng = random.Random(2)
+    t = ["".join(rng.choice("abcdef ") for _ in range(300)) for _ in range(40)]
+    df = spark.createDataFrame([(None, x) for x in t] + [(None, t[0]), (5, t[1])], "doc_id long, text string")
+    kept = {(r.doc_id, bytes(r.kept).decode()) for r in sd.remove_repeats(df).collect()}
+    assert kept == {(None, x) for x in t if x != t[1]} | {(None, ""), (5, t[1])}
+
+
 def test_interval_expansion():
     rng = np.random.default_rng(0)
     for trial in range(30):
