@@ -126,12 +126,25 @@ def line_records(spark, sf_dir):
     return docs.select("doc_id", "record", F.explode(F.split("text", "\n")).alias("sentence")).where(F.trim("sentence") != "")
 
 
-@query("""SELECT token AS word, 0 AS is_entity, doc_id AS record, 1 AS score FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS token FROM documents)""")
+# The first sentence of a text is a mention of an entity by language; that of one language is unknown.
+_FIRST = """SELECT doc_id, CASE WHEN lang = 'fr' THEN '<NIL>' ELSE 'Q' || length(source) END AS entity_id, strpos(text, '.') - 1 AS stop, text FROM documents WHERE strpos(text, '.') > 1"""
+
+
+def _first_mentions(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").where(F.instr("text", ".") > 1)
+    entity = F.when(F.col("lang") == "fr", "<NIL>").otherwise(F.concat(F.lit("Q"), F.length("source").cast("string")))
+    return rows.select(F.col("doc_id").alias("article_id"), F.lit(0).alias("start"), (F.instr("text", ".") - 1).alias("end"), entity.alias("entity_id"))
+
+
+def _article_rows(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("id"), F.concat(F.lit("T"), "doc_id").alias("title"), "text")
+
+
+@query(f"""SELECT token AS word, 0 AS is_entity, doc_id AS record, 1 AS score FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS token FROM documents)
+          UNION ALL SELECT '<http://www.wikidata.org/entity/' || entity_id || '>', 1, doc_id, 1 FROM (SELECT doc_id, entity_id, unnest(regexp_extract_all(substr(text, 1, stop), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM ({_FIRST}))
+          WHERE entity_id <> '<NIL>'""")
 def words_file(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("id"), F.lit("").alias("title"), "text")
-    toks = exports.tokens(exports.sentences(docs, "article"))
-    none = spark.createDataFrame([], "article_id long, start int, end int, entity_id string")
-    return exports.words_file(toks, none)
+    return exports.words_file(exports.sentences(_article_rows(spark, sf_dir), "article"), _first_mentions(spark, sf_dir))
 
 
 # --- links and mappings --------------------------------------------------------------------------
@@ -524,7 +537,7 @@ def span_containment(spark, sf_dir):
 def trie_longest_match(spark, sf_dir):
     w = F.split(F.trim("text"), r"\s+")
     names = read(spark, sf_dir, "benchmark").select(F.explode(F.array(F.array_join(F.slice(w, 1, 3), " "), F.array_join(F.slice(w, 1, 2), " "))).alias("name"))
-    return spans.longest_names(read(spark, sf_dir, "documents"), names, 3)
+    return spans.longest_names(read(spark, sf_dir, "documents"), names)
 
 
 @query("""SELECT doc_id, '[' || substr(text, 1, 2) || ']' || substr(text, 3, 1) || '[' || substr(text, 4, 3) || ']' || substr(text, 7) AS marked FROM documents WHERE length(text) > 8""")

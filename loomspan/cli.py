@@ -110,7 +110,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "export":
         arts = readers.articles(spark, a.input, a.n)
         sents = exports.sentences(arts, "article" if a.article_records else "sentence")
-        writers.separated(exports.words_file(exports.tokens(sents), pipelines.mentions_of(arts)), a.words)
+        writers.separated(exports.words_file(sents, pipelines.mentions_of(arts)), a.words)
         writers.separated(exports.docs_file(sents), a.docs, order=["record"])
     elif a.command == "keyvalue":
         writers.key_value_table(pipelines.key_value_table(spark, a.input, a.method, a.inverse, a.separator), a.output)

@@ -6,7 +6,7 @@ categories, since ``\\w`` and ``\\W`` of the JVM are ASCII only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NON_WORD = r"[^\p{L}\p{N}_]+"
@@ -127,6 +127,27 @@ def paragraphs(text: Column, separator: str = "\n\n") -> Column:
     return F.transform(spans, lambda s, i: F.struct(i.alias("number"), s["start"].alias("start"), s["end"].alias("end"), F.get(parts, i).alias("paragraph")))
 
 
+BLOCK = 32
+
+
+def with_starts(frame: DataFrame, lengths: str, name: str) -> DataFrame:
+    """Add array ``name``: for each element of the array of numbers ``lengths`` the sum of those before it.
+
+    Sums of blocks come first, so the work is near linear in long texts; a fold that appends would copy its result at each step.
+    """
+    size, add = F.size(lengths), lambda a, x: a + x
+    total = lambda array, first, n: F.aggregate(F.slice(array, first, n), F.lit(0), add)
+    sums = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int")), lambda b: total(lengths, b * BLOCK + 1, F.lit(BLOCK)))
+    frame = frame.withColumn("_sums", F.when(size > 0, sums))
+    frame = frame.withColumn("_before", F.transform("_sums", lambda _, b: total("_sums", F.lit(1), b)))
+
+    def start(_, k):
+        b = F.floor(k / BLOCK).cast("int")  # _before is named twice, so that it stays a column of its own and is not built anew for each element
+        return F.when(k % BLOCK == 0, F.get("_before", b)).otherwise(F.get("_before", b) + total(lengths, b * BLOCK + 1, k - b * BLOCK))
+
+    return frame.withColumn(name, F.when(size > 0, F.transform(lengths, start)).otherwise(F.array().cast("array<int>"))).drop("_sums", "_before")
+
+
 def clean_export_line(line: Column) -> Column:
     """Cells of a query-service export: entity addresses to ids, language tags, integer types and brackets off."""
     out = F.regexp_replace(line, r"<http://www\.wikidata\.org/entity/(Q[0-9]+)>", "$1")

@@ -205,14 +205,17 @@ def root_labels(labels: DataFrame, levels: int = 16) -> DataFrame:
     raise RuntimeError("labels are nested deeper than expected, or in a cycle")
 
 
-def filter_labels(labels: DataFrame, whitelist: DataFrame, levels: int = 16) -> DataFrame:
-    """Labels whose root is kept: any type whitelisted or the entity unknown; a label without types goes, and with it those below."""
+def filter_labels(labels: DataFrame, whitelist: DataFrame) -> DataFrame:
+    """Labels whose root is kept: any type whitelisted or the entity unknown; a label without types goes, and with it those below.
+
+    Goes down from the roots until a level is empty, however deep labels are nested: a label has one parent, so this ends.
+    """
     allowed = [r.type_id for r in whitelist.select("type_id").distinct().collect()]  # a hand-written list
     types = tx.split_types(F.col("type"))
     fine = (F.size(types) > 0) & (F.arrays_overlap(types, F.array(*map(F.lit, allowed))) | tx.is_unknown(F.col("entity_id")))
     kept = labels.where(F.col("parent").isNull() & fine)
     out, front = [kept], kept
-    for _ in range(levels):
+    while True:
         up = front.select(F.col("article_id").alias("_a"), F.col("id").alias("_i"))
         front = cut(labels.where(F.size(types) > 0).join(up, (F.col("article_id") == F.col("_a")) & (F.col("parent") == F.col("_i")), "left_semi"))
         if front.isEmpty():

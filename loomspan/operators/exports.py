@@ -18,11 +18,10 @@ def sentences(articles: DataFrame, record: str = "sentence") -> DataFrame:
     counts a task give the offsets, so no task sees all rows. With ``record='article'`` the record is the article's.
     """
     pieces = F.split("text", r"(?<=[.!?])(?=[ \t])|(?<=\n)(?=[^\n])", -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    bounds = F.aggregate("p", state, lambda a, s: F.struct((a["at"] + F.length(s)).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("start"), (a["at"] + F.length(s)).alias("end"))).alias("out")), lambda a: a["out"])
-    rows = articles.select("ordinal", "id", "title", pieces.alias("p")).withColumn("b", bounds)
-    rows = rows.select("ordinal", "id", "title", F.posexplode(F.arrays_zip("p", "b")).alias("number", "x"))
-    rows = rows.select("ordinal", "id", "title", "number", F.col("x.b.start").alias("start"), F.col("x.b.end").alias("end"), F.col("x.p").alias("sentence")).where(F.trim("sentence") != "")
+    rows = articles.select("ordinal", "id", "title", pieces.alias("p")).withColumn("n", F.transform("p", F.length))
+    rows = tx.with_starts(rows, "n", "at").select("ordinal", "id", "title", F.posexplode(F.arrays_zip("p", "at")).alias("number", "x"))
+    end = F.col("x.at") + F.length("x.p")
+    rows = rows.select("ordinal", "id", "title", "number", F.col("x.at").alias("start"), end.alias("end"), F.col("x.p").alias("sentence")).where(F.trim("sentence") != "")
     if record == "article":
         return rows.withColumn("record", F.col("ordinal")).drop("ordinal")
     return with_ordinal(rows, "record", "ordinal", "number").drop("ordinal")
@@ -34,30 +33,42 @@ def docs_file(sents: DataFrame) -> DataFrame:
     return sents.select("record", clean.alias("sentence"))
 
 
-def tokens(sents: DataFrame) -> DataFrame:
-    """record, id, start, end, token of words (runs of letters, digits, underscores), offsets in the article."""
+def _parted(sents: DataFrame, carry: list[str], placed) -> DataFrame:
+    """record, id, start, carry and t (m: word, gap: characters before it, at: those of the pieces before) of every word.
+
+    gap and at are null where ``placed`` is false: offsets cost more than words.
+    """
     pattern = r"[\p{L}\p{N}_]+"
-    rows = sents.select("record", "id", "start", F.regexp_extract_all("sentence", F.lit(pattern), F.lit(0)).alias("m"), F.split("sentence", pattern, -1).alias("p")).where(F.size("m") > 0)
-    state = F.struct(F.col("start").alias("at"), F.array().cast("array<struct<start:int,end:int,token:string>>").alias("out"))
+    rows = sents.select("record", "id", "start", *carry, F.regexp_extract_all("sentence", F.lit(pattern), F.lit(0)).alias("m"), F.when(placed, F.split("sentence", pattern, -1)).alias("p")).where(F.size("m") > 0)
+    rows = rows.withColumn("gap", F.transform("p", F.length)).withColumn("n", F.when(F.col("p").isNotNull(), F.transform("m", lambda w, k: F.length(w) + F.get("gap", k)))).drop("p")
+    none = F.array().cast("array<int>")
+    rows = rows.withColumn("gap", F.coalesce("gap", none)).withColumn("n", F.coalesce("n", none))
+    return tx.with_starts(rows, "n", "at").select("record", "id", "start", *carry, F.explode(F.arrays_zip("m", "gap", "at")).alias("t")).where("t.m is not null")
 
-    def step(a, x):
-        start = a["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("token"))).alias("out"))
 
-    found = F.aggregate(F.arrays_zip("m", F.slice("p", F.lit(1), F.size("m")).alias("p")), state, step, lambda a: a["out"])
-    return rows.select("record", "id", F.explode(found).alias("t")).select("record", "id", "t.*")
+def tokens(sents: DataFrame) -> DataFrame:
+    """record, id, start, end, token of words (runs of letters, digits, underscores), offsets in the article."""
+    rows = _parted(sents, [], F.lit(True))
+    begin = F.col("start") + F.col("t.at") + F.col("t.gap")
+    return rows.select("record", "id", begin.alias("start"), (begin + F.length("t.m")).alias("end"), F.col("t.m").alias("token"))
 
 
-def words_file(toks: DataFrame, mentions: DataFrame) -> DataFrame:
-    """word, is_entity, record, score: each token, and an entity row for each token within a known mention."""
-    from .spans import contained
+def words_file(sents: DataFrame, mentions: DataFrame) -> DataFrame:
+    """word, is_entity, record, score: each token of the sentences, and an entity row for each token within a known mention.
 
-    plain = toks.select(F.col("token").alias("word"), F.lit(0).alias("is_entity"), "record", F.lit(1).alias("score"))
-    known = mentions.where(~tx.is_unknown(F.col("entity_id"))).withColumnRenamed("article_id", "id")
-    inside = contained(toks, known, "id")
-    entity = inside.select(F.concat(F.lit(ENTITY_PREFIX), F.col("mention.entity_id"), F.lit(">")).alias("word"), F.lit(1).alias("is_entity"), "record", F.lit(1).alias("score"))
-    return plain.unionByName(entity)
+    A sentence meets the mentions of its article once and keeps those that touch it; its words are taken apart in one pass.
+    """
+    known = mentions.where(~tx.is_unknown(F.col("entity_id"))).groupBy(F.col("article_id").alias("_a")).agg(F.collect_list(F.struct("start", "end", "entity_id")).alias("_m"))
+    near = F.filter("_m", lambda m: (m["start"] < F.col("end")) & (m["end"] > F.col("start")))
+    rows = sents.select("record", "id", "start", "end", "sentence").join(known, F.col("id") == F.col("_a"), "left").withColumn("spans", near)
+    rows = _parted(rows, ["spans"], F.size("spans") > 0)
+    begin = F.col("start") + F.col("t.at") + F.col("t.gap")
+    own = rows.select("record", "spans", F.col("t.m").alias("word"), begin.alias("begin"), (begin + F.length("t.m")).alias("stop"))
+    inside = F.filter("spans", lambda m: (m["start"] <= F.col("begin")) & (F.col("stop") <= m["end"]))
+    entity = F.transform(inside, lambda m: F.struct(F.concat(F.lit(ENTITY_PREFIX), m["entity_id"], F.lit(">")).alias("word"), F.lit(1).alias("is_entity")))
+    plain = F.array(F.struct("word", F.lit(0).alias("is_entity")))
+    out = own.select("record", F.explode(F.when(F.size("spans") > 0, F.concat(plain, F.coalesce(entity, F.filter(plain, lambda _: F.lit(False))))).otherwise(plain)).alias("w"))
+    return out.select("w.word", "w.is_entity", "record", F.lit(1).alias("score"))
 
 
 def articles_file(sents: DataFrame, abstracts: DataFrame, urls: DataFrame) -> DataFrame:

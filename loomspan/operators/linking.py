@@ -196,12 +196,7 @@ def capitalised_spans(docs: DataFrame) -> DataFrame:
     """A rule-based recogniser: whole runs of capitalised words. article_id, start, end, text."""
     pattern = r"\p{Lu}[\p{L}\p{N}'-]*+(?: \p{Lu}[\p{L}\p{N}'-]*+)*+"
     hits = docs.select(F.col("id").alias("article_id"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), F.split("text", pattern, -1).alias("p")).where(F.size("m") > 0)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-
-    def step(a: Column, k: Column) -> Column:
-        start = a["at"] + F.length(F.get("p", k))
-        end = start + F.length(F.get("m", k))
-        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), end.alias("end"), F.get("m", k).alias("text"))).alias("out"))
-
-    spans = F.aggregate(F.sequence(F.lit(0), F.size("m") - 1), state, step, lambda a: a["out"])
-    return hits.select("article_id", F.explode(spans).alias("s")).select("article_id", "s.*")
+    hits = hits.withColumn("gap", F.transform("p", F.length)).withColumn("n", F.transform("m", lambda w, k: F.length(w) + F.get("gap", k))).drop("p")
+    rows = tx.with_starts(hits, "n", "at").select("article_id", F.explode(F.arrays_zip("m", "gap", "at")).alias("t")).where("t.m is not null")
+    start = F.col("t.at") + F.col("t.gap")
+    return rows.select("article_id", start.alias("start"), (start + F.length("t.m")).alias("end"), F.col("t.m").alias("text"))

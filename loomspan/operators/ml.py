@@ -94,4 +94,4 @@ def scored(candidates: DataFrame, features: str, model: TwoLayers, name: str = "
 
 def best_candidate(rows: DataFrame, mention: list[str], score: str = "score") -> DataFrame:
     """One row a mention: the candidate of highest score, the smaller entity on ties."""
-    return rows.groupBy(*mention).agg(F.max_by("entity_id", F.struct(F.col(score), F.col("prior"))).alias("entity_id"), F.max(score).alias(score))
+    return rows.groupBy(*mention).agg(F.min_by("entity_id", F.struct((-F.col(score)).alias("s"), (-F.col("prior")).alias("p"), "entity_id")).alias("entity_id"), F.max(score).alias(score))

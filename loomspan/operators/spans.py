@@ -94,16 +94,23 @@ def entity_list(spans: Column) -> Column:
     return F.array_join(F.array_distinct(F.transform(F.array_sort(spans), lambda x: F.concat(x["entity_id"], F.lit(":"), x["name"]))), "\n")
 
 
-def longest_names(docs: DataFrame, names: DataFrame, most_words: int) -> DataFrame:
+def longest_names(docs: DataFrame, names: DataFrame) -> DataFrame:
     """doc_id, start_word, n_words, name: the longest name that begins at each word.
 
-    Word n-grams are exploded and joined with the names by hash; names (name) are space-joined words.
+    Runs of as many words as some name has are built within the text's row, so that no row repeats its words, and joined with the
+    names by hash. names (name) are space-joined words, of any length.
     """
+    known = names.select(F.col("name").alias("_n")).distinct()
+    many = [r.n for r in known.select(F.size(F.split("_n", " ")).alias("n")).distinct().collect()]  # at most the longest name's words
     words = docs.select("doc_id", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w"))
-    at = words.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i")).where(F.size("w") > 0)
-    gram = F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("i") + 1)), lambda n: F.struct(n.alias("n_words"), F.array_join(F.slice("w", F.col("i"), n), " ").alias("name")))
-    grams = at.select("doc_id", (F.col("i") - 1).alias("start_word"), F.explode(gram).alias("g")).select("doc_id", "start_word", "g.*")
-    found = grams.join(names.select(F.col("name").alias("_n")).distinct(), F.col("name") == F.col("_n"), "left_semi")
+
+    def runs_of(n: int) -> Column:
+        run = lambda i: F.struct(i.alias("start_word"), F.lit(n).alias("n_words"), F.array_join(F.slice("w", i + 1, F.lit(n)), " ").alias("name"))
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), run))
+
+    none = F.array().cast("array<struct<start_word:int,n_words:int,name:string>>")
+    grams = words.select("doc_id", F.explode(F.concat(none, *[F.coalesce(runs_of(n), none) for n in sorted(many)])).alias("g")).select("doc_id", "g.*")
+    found = grams.join(known, F.col("name") == F.col("_n"), "left_semi")
     return found.groupBy("doc_id", "start_word").agg(F.max_by(F.struct("n_words", "name"), "n_words").alias("b")).select("doc_id", "start_word", "b.n_words", "b.name")
 
 

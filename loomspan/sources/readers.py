@@ -25,7 +25,7 @@ def articles(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
 def raw_texts(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
     """One article a line: id is the line number, the title is empty."""
     lines = with_ordinal(_lines(spark, path, limit))
-    return lines.select("ordinal", F.col("ordinal").alias("id"), F.lit("").alias("title"), F.rtrim("value").alias("text"))
+    return lines.select("ordinal", F.col("ordinal").alias("id"), F.lit("").alias("title"), F.col("value").alias("text"))
 
 
 def extracted_dump(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:

@@ -242,7 +242,7 @@ def test_exports(spark):
     docs = sorted(map(tuple, exports.docs_file(sents).collect()))
     assert [d[0] for d in docs] == [0, 1, 2, 3] and [d[1].strip() for d in docs] == ["One two.", "Three", "Four.", "Five"]
     mentions = spark.createDataFrame([(10, 4, 7, "Q1"), (11, 0, 4, "<NIL>")], "article_id long, start int, end int, entity_id string")
-    words = sorted(map(tuple, exports.words_file(exports.tokens(sents), mentions).collect()))
+    words = sorted(map(tuple, exports.words_file(sents, mentions).collect()))
     assert ("<http://www.wikidata.org/entity/Q1>", 1, 0, 1) in words and len(words) == 6
     af = exports.articles_file(sents, spark.createDataFrame([(10, 8)], "id long, abstract_end int"), spark.createDataFrame([(10, "u")], "id long, url string"))
     assert sorted((r.record, r.is_abstract) for r in af.collect()) == [(0, 1), (1, 0), (2, 0), (3, 0)]
