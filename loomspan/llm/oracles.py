@@ -42,6 +42,11 @@ MIX = f"""WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, (('0x
   o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size / 2 AS middle FROM q)
   SELECT doc_id, size, source_size, target, (size * (certain + CASE WHEN q IS NOT NULL AND middle <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM o"""
 
+NEIGHBOURS = """WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  d AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank, vec_id, score FROM d QUALIFY rank <= 10"""
+
 _RATES = {
     "mark_rate": "n_marks * 1000 // greatest(word_chars, 1)",
     "echo_rate": "n_echoes * 1000 // greatest(n_words, 1)",

@@ -74,10 +74,12 @@ def queries():
 
 
 def oracle_sql():
-    """The rest can't be expressed in SQL (byte hashes, tokenizers, trees, offsets) and is tested by brute force."""
+    """The rest can't be expressed in DuckDB's SQL (windows of bytes, tokenizers, XXH64 fingerprints, trees, offsets of
+    possessive patterns) and is tested by brute force."""
     return {
         "op3_chat_rotation": oracles.CHAT,
         "op4_shard_lookup": oracles.sharding(SHARDS, SLOTS),
+        "op7_nearest_neighbours": oracles.NEIGHBOURS,
         "op9_pareto_mix": oracles.MIX,
         "op10_quality_rules": oracles.QUALITY,
     }
