@@ -5,45 +5,23 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut as materialize
+from ..storage import drop_written as drop_materialized
+
+__all__ = ["BROADCAST_ROWS", "WS_CHARS", "WS_RUN", "drop_materialized", "join_small", "materialize", "tidy", "words_of"]
+
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, return.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_RUN = "[\\x20\\x09-\\x0D]+"
 
-_written: list[str] = []
-
 #: Up to so many rows a keyed side table is broadcast; beyond, it is joined by a salted shuffle.
 BROADCAST_ROWS = 50_000
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where it is unset, and only in local mode, a temporary folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="loomspan-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/loomspan-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tidy(f):
     """A map function over Arrow batches that gives its memory back at its end: workers are used again, beside a large JVM."""
 
@@ -59,14 +37,6 @@ def tidy(f):
     return run
 
 
-def drop_materialized(spark: SparkSession) -> None:
-    """Delete the tables that this session has written to the shared folder, once their results are used up."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def words_of(text: Column) -> Column:
     """Array of the white-space separated words of a text; null and blank give an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))

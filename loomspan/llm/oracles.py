@@ -6,12 +6,13 @@ from . import chat, mixing, quality
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
-CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '<||') AS text FROM conversations),
   p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t),
   s AS (SELECT t.conv_id, perspective, turn, speaker, CASE WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
-    CASE WHEN speaker = perspective THEN '{chat.OPEN}assistant' || chr(10) ELSE '{chat.OPEN}user name=' || speaker || chr(10) END AS head, text FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-  r AS (SELECT conv_id, perspective, turn, speaker, role, head || text || '<|im_end|>' || chr(10) AS segment, length(head) AS n FROM s),
-  c AS (SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, segment ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM r)
+    CASE WHEN speaker = perspective THEN '{chat.OPEN}assistant' || chr(10) ELSE '{chat.OPEN}user name=' || replace(translate(speaker, chr(10) || chr(13), '  '), '<|', '<||') || chr(10) END AS head, text
+    FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+  r AS (SELECT conv_id, perspective, turn, speaker, role, text, head || text || '<|im_end|>' || chr(10) AS segment, length(head) AS n FROM s),
+  c AS (SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM r)
   SELECT conv_id, perspective, turn, speaker, role, segment, stop - length(segment) AS start, stop AS "end",
     CASE WHEN role = 'assistant' THEN stop - length(segment) + n ELSE stop END AS mask_start, CASE WHEN role = 'assistant' THEN stop - 1 ELSE stop END AS mask_end FROM c"""
 
