@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust scores (native).
 
 Kinds: email, ip, card (Luhn) and phone follow fixed rules and always stay once confirmed; iban (mod 97)
-and ssn are added by the method: each has a base score, context words within CONTEXT characters before
-or behind raise it, and spans under THRESHOLD are dropped.
+and ssn are added by the method. Each span has the score of its kind; context words within CONTEXT characters before
+or behind raise it, words that speak of other numbers lower it, and added spans under THRESHOLD are dropped: an ssn
+needs a word for it, an iban stays unless the words around speak against it and none for it.
 
 An iban is tried at each head (two letters, two digits) that starts a token: the longest prefix of the characters
 behind it that ends with a token and passes mod 97 is the span. Spans of two heads can overlap; mask joins them.
@@ -45,7 +46,9 @@ CONTEXT_WORDS = {
     "iban": "iban|account|bank|transfer",
     "ssn": "ssn|social|security|tax",
 }
-CONTEXT, RAISE, THRESHOLD = 40, 0.3, 0.6
+# Context words that lower it.
+OTHER_WORDS = "isbn|serial|version|checksum|hash|sample|example"
+CONTEXT, RAISE, LOWER, THRESHOLD = 40, 0.3, 0.3, 0.6
 _BLOCK = 64
 
 
@@ -132,15 +135,16 @@ def _matches(frame: DataFrame, kind: str) -> DataFrame:
     return frame.withColumn(f"_{kind}", F.when(F.size("_spans") > 0, sure)).drop("_spans")
 
 
-def _scored(kind: str, text: Column, context: bool) -> Column:
+def _scored(kind: str, text: Column) -> Column:
     """Spans as (kind, start, end, score); those of added kinds under THRESHOLD are dropped."""
 
     def one(x: Column) -> Column:
         lo = F.greatest(x["start"] - CONTEXT, F.lit(0))
         near = F.concat(F.substr(text, lo + 1, x["start"] - lo), F.lit(" "), F.substr(text, x["end"] + 1, F.lit(CONTEXT)))
         raised = F.when(F.rlike(near, F.lit(f"(?i)(?<![a-z])(?:{CONTEXT_WORDS[kind]})")), RAISE).otherwise(0.0)
-        score = F.lit(SCORES[kind]) + (raised if context else F.lit(0.0))
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+        lowered = F.when(F.rlike(near, F.lit(f"(?i)(?<![a-z])(?:{OTHER_WORDS})")), LOWER).otherwise(0.0)
+        score = F.round(F.least(F.lit(SCORES[kind]) + raised - lowered, F.lit(1.0)), 2)
+        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score.alias("score"))
 
     spans = F.transform(f"_{kind}", one)
     return spans if kind in BASE_KINDS else F.filter(spans, lambda x: x["score"] >= THRESHOLD)
@@ -152,7 +156,7 @@ def find(docs: DataFrame, carry: bool = False) -> DataFrame:
     for kind in KINDS:
         frame = _matches(frame, kind)
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    found = [F.when(F.size(f"_{k}") > 0, _scored(k, F.col("_text"), True)).otherwise(none) for k in KINDS]
+    found = [F.when(F.size(f"_{k}") > 0, _scored(k, F.col("_text"))).otherwise(none) for k in KINDS]
     return frame.select("doc_id", F.col("_text").alias("text"), *(["row"] if carry else []), F.concat(*found).alias("spans"))
 
 
@@ -193,7 +197,7 @@ def joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts by base kind, hash of the base spans and all spans, of each document."""
+    """Counts by base kind, hash of the base spans, all spans and their scores in the same order, of each document."""
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
-    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda x: x["score"].cast("string")), ",").alias("scores"))

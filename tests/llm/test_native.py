@@ -142,6 +142,27 @@ def test_accounts_before_other_tokens(spark):
         assert all(w not in m.masked for w in want) and m.masked.count("<IBAN>") == len(want)
 
 
+CONTEXTS = {
+    "123-45-6789": [],
+    "her social security number is 123-45-6789": [("ssn", 0.7)],
+    "serial 123-45-6789, tax form": [],
+    "DE89370400440532013000": [("iban", 0.8)],
+    "serial DE89370400440532013000": [],
+    "serial DE89370400440532013000 of the bank account": [("iban", 0.8)],
+    "transfer to DE89370400440532013000": [("iban", 1.0)],
+    "example a@b.co": [("email", 0.6)],
+    "write to a@b.co": [("email", 1.0)],
+}
+
+
+def test_context_decides(spark):
+    """Words nearby raise or lower the score, and the score decides on added kinds; base kinds stay."""
+    found = pii.find(spark.createDataFrame(rows(*CONTEXTS), SCHEMA))
+    for r in found.collect():
+        assert [(s.kind, s.score) for s in r.spans] == CONTEXTS[r.text], r.text
+    assert {r.scores for r in pii.digest(found).collect()} == {",".join(str(s) for _, s in x) for x in CONTEXTS.values()}
+
+
 def test_pii_query(spark):
     docs = {r.doc_id: r.text for r in q._read(spark, SF, "documents").collect()}
     for r in q.op8_pii(spark, SF).collect():
