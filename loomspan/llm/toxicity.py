@@ -13,7 +13,7 @@ the rows of the trees are all of one class, or none, is the score a fixed functi
 
 Defined results: null and empty texts have all features zero and get a score; repeated rows score alike; a null
 doc_id is never held out; labels that are null are left out, and a doc_id labelled twice counts as toxic
-if any row says so; an empty table gives an empty result; other columns are ignored.
+if any row says so, and if it has several texts the least of them teaches; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from ._common import tidy
 from .boosting import Boosted, isotonic
 
-MAX_LABELLED, LEAST_LEAF, LEARNED_WORDS = 20_000, 20, 120
+MAX_LABELLED, LEAST_LEAF = 20_000, 20
 
 # Insults and other words of abuse.
 LEXICON = frozenset(
@@ -75,9 +75,9 @@ def features(text: str | None, learned: frozenset[str] = frozenset()) -> list[fl
     digits = sum(text.count(c) for c in "0123456789")
     dots = text.count(".") + text.count(",") + exclaim + question
     return [
-        float(np.log1p(len(words))), float(min(len(at), 50)), 100 * len(at) / n, float(min(own, 50)), 100 * own / n, float(min(near, 50)),
+        float(np.log1p(len(words))), float(len(at)), 100 * len(at) / n, float(own), 100 * own / n, float(near),
         100 * len(second) / n, upper / chars, 100 * shouted / n, 100 * (exclaim + question) / n, dots / chars, 100 * runs / n,
-        100 * len(mixed) / n, float(min(undone, 50)), symbols / chars, digits / chars,
+        100 * len(mixed) / n, float(undone), symbols / chars, digits / chars,
     ]
 
 
@@ -112,13 +112,13 @@ def _fold(doc_id: Column) -> Column:
 
 
 def _learn_words(docs: DataFrame) -> frozenset[str]:
-    """Words much more frequent in toxic rows: at most LEARNED_WORDS, whatever the corpus."""
+    """Words much more frequent in toxic rows; as each is in several of at most MAX_LABELLED rows, their number is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word, toxic = [], []
             for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                own = {w for w in WORD.findall((t or "").lower()) if 3 <= len(w) <= 30}
+                own = set(WORD.findall((t or "").lower()))
                 word += own
                 toxic += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(toxic, pa.int32())], names=["word", "toxic"])
@@ -129,8 +129,7 @@ def _learn_words(docs: DataFrame) -> frozenset[str]:
     bad, good = totals[0], max(1, totals[1] - totals[0])
     counts = docs.select("text", "toxic").mapInArrow(run, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     ratio = ((F.col("t") + 0.5) / bad) / ((F.col("n") - F.col("t") + 0.5) / good)
-    top = counts.where((F.col("t") >= max(5, bad // 50)) & (ratio > 8)).orderBy(F.desc(F.col("t") * F.log(ratio)), "word").limit(LEARNED_WORDS)
-    return frozenset(r.word for r in top.collect())
+    return frozenset(r.word for r in counts.where((F.col("t") >= max(5, bad // 50)) & (ratio > 8)).collect())
 
 
 class Model:
@@ -151,9 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_labelled)
     known = known.select(F.col("doc_id").alias("_id"), "toxic", _fold(F.col("doc_id")).alias("fold"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).drop("_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text"))  # of rows that repeat an id, one teaches
     learned = _learn_words(rows.where("fold < 4"))
-    found = _mapped(rows.where("fold >= 4"), ["doc_id", "toxic", "fold"], learned).dropDuplicates(["doc_id"]).collect()
+    found = _mapped(rows.where("fold >= 4"), ["doc_id", "toxic", "fold"], learned).collect()
     if not found:
         return Model(learned)
     found.sort(key=lambda r: str(r.doc_id))
