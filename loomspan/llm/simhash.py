@@ -8,12 +8,12 @@ number of values these bits can take; a large group looks up its members' neighb
 comparing pairs. Each group emits a spanning forest of its links, never all pairs; the groups join up by
 connected components.
 
-Copies are one fingerprint throughout; they are only met again in the last join, which adaptive execution
-splits where one fingerprint holds many rows.
+Copies are one fingerprint throughout; they are only met again in the last join, which looks up fingerprints of very many
+rows in a broadcast table of a bounded number of them, and shuffles ids alone for the others.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; texts of one or two
 words are one shingle; repeated rows share their group, of which one row is kept; a null doc_id counts as
-larger than all; an empty table gives an empty result; other columns ride along in ``row`` (``carry``).
+larger than all; an empty table gives an empty result; other columns ride along in ``row`` (only in ``one_of_each``).
 """
 
 from __future__ import annotations
@@ -28,13 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import join_small, materialize, tidy
+from ._common import BROADCAST_ROWS, join_small, materialize, tidy
 from .components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 BLOCKS = (11, 11, 11, 11, 10, 10)
 SUB_BLOCKS = (6, 6, 6, 5, 5, 5)  # of the up to 33 bits outside a key
 HOT = 2048
+HOT_ROWS = 100_000
 _STEP = 1 << 16
 
 
@@ -179,16 +180,33 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(tidy(_forests), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id of the group), keep (true for one row of each group)[, row]."""
-    table = fingerprints(docs, carry)
+def _grouped(table: DataFrame) -> DataFrame:
+    """uid, doc_id, fp, head (smallest doc_id and uid of the group) of the rows of a table of ``fingerprints``."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
-    fps = materialize(table.groupBy("fp").agg(first), "fps")
+    fps = materialize(table.groupBy("fp").agg(first, F.count("*").alias("n")), "fps")
     groups = components(links(fps.select("fp")))
     nodes = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     member = fps.join(nodes, F.col("fp") == F.col("node")).select("fp", "root", "first")
     heads = member.groupBy("root").agg(F.min("first").alias("head")).withColumnRenamed("root", "r")
     moved = member.join(heads, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "head")
-    whole = materialize(fps.join(moved, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("f"), F.coalesce("head", "first").alias("head")), "groups")
-    out = table.join(whole, F.col("fp") == F.col("f"))
-    return out.select("doc_id", "fp", F.col("head.doc_id").alias("component_id"), (F.col("uid") == F.col("head.uid")).alias("keep"), *(["row"] if carry else []))
+    whole = materialize(fps.join(moved, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("f"), F.coalesce("head", "first").alias("head"), "n"), "groups")
+    # fingerprints of very many rows are looked up, not shuffled; as each has a 10,000th of the rows, there are 10,000 at most
+    hot = whole.where(F.col("n") >= F.lit(max(HOT_ROWS, (whole.agg(F.sum("n")).first()[0] or 0) // 10_000))).select("f", "head")
+    narrow = table.select("uid", "doc_id", "fp")
+    fast = narrow.join(F.broadcast(hot), F.col("fp") == F.col("f"))
+    rest = narrow.join(F.broadcast(hot.select("f")), F.col("fp") == F.col("f"), "left_anti").join(whole.drop("n"), F.col("fp") == F.col("f"))
+    return fast.unionByName(rest).drop("f")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id of the group), keep (true for one row of each group)."""
+    out = _grouped(fingerprints(docs))
+    return out.select("doc_id", "fp", F.col("head.doc_id").alias("component_id"), (F.col("uid") == F.col("head.uid")).alias("keep"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, one of each group. Whole rows stay where they are, but for very many rows to drop."""
+    table = fingerprints(docs, carry=True)
+    drop = materialize(_grouped(table).where("uid != head.uid").select(F.col("uid").alias("u")), "copies")
+    drop = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
+    return table.join(drop, F.col("uid") == F.col("u"), "left_anti").select("row.*")

@@ -102,10 +102,24 @@ def test_forest_of_large_group(small_limits):
 def test_near_duplicates_edges(spark):
     data = [(3, None), (5, ""), (None, "x y z"), (2, "x y z"), (2, "x y z"), (9, "other words here now"), (None, "alone indeed it is")]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("fp", F.lit("clash"))
-    got = simhash.near_duplicates(df, carry=True).collect()
+    got = simhash.near_duplicates(df).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("2", "2"), ("2", "2"), ("3", "3"), ("5", "3"), ("9", "9"), ("None", "2"), ("None", "None")]
-    assert sum(r.keep for r in got) == 4 and all(r.row.fp == "clash" for r in got)
-    assert simhash.near_duplicates(df.limit(0)).count() == 0
+    assert sum(r.keep for r in got) == 4
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 == simhash.one_of_each(df.limit(0)).count()
+    one = simhash.one_of_each(df)
+    assert one.columns == df.columns and sorted((str(r.doc_id), r.text) for r in one.collect()) == [("2", "x y z"), ("3", None), ("9", "other words here now"), ("None", "alone indeed it is")]
+
+
+@pytest.mark.parametrize("hot,broadcast", [(3, 0), (10**6, 10**6)])
+def test_hot_fingerprints(spark, monkeypatch, hot, broadcast):
+    """Fingerprints of many rows are looked up, others joined: the same groups either way."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast)
+    data = [(i, "same words in all of these" if i % 3 else f"own words {i} and {i * i} more") for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = simhash.near_duplicates(df).collect()
+    assert {r.doc_id for r in got if r.component_id == 1} == {i for i in range(60) if i % 3} and sum(r.keep for r in got) == 21
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {1, *range(0, 60, 3)}
 
 
 def test_components(spark):
