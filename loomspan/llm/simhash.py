@@ -62,10 +62,18 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(fps)], names=[*columns, "fp"])
 
 
-def fingerprints(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """uid, doc_id, fp (signed 64 bits)[, row]; written out, so that the row numbers ``uid`` hold."""
-    kept = [F.monotonically_increasing_id().alias("uid"), "doc_id", *([F.struct("*").alias("row")] if carry else [])]
-    frame = docs.select(*kept, F.col("text").alias("_text"))
+def numbered(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """uid, doc_id, text[, row]; with ``row`` written out, so that the row numbers ``uid`` hold for a second reading."""
+    uid = F.monotonically_increasing_id().alias("uid")
+    if not carry:
+        return docs.select(uid, "doc_id", F.col("text").alias("_text"))
+    rows = materialize(docs.select(uid, F.struct("*").alias("row")), "rows")
+    return rows.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("_text"), "row")
+
+
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """``numbered`` rows -> uid, doc_id, fp (signed 64 bits); written out. Texts alone pass through Python, no other columns."""
+    frame = rows.select("uid", "doc_id", "_text")
     schema = T.StructType([f for f in frame.schema.fields if f.name != "_text"] + [T.StructField("fp", T.LongType())])
     return materialize(frame.mapInArrow(tidy(_fingerprints), schema), "simhash")
 
@@ -200,13 +208,13 @@ def _grouped(table: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id of the group), keep (true for one row of each group)."""
-    out = _grouped(fingerprints(docs))
+    out = _grouped(fingerprints(numbered(docs)))
     return out.select("doc_id", "fp", F.col("head.doc_id").alias("component_id"), (F.col("uid") == F.col("head.uid")).alias("keep"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, one of each group. Whole rows stay where they are, but for very many rows to drop."""
-    table = fingerprints(docs, carry=True)
-    drop = materialize(_grouped(table).where("uid != head.uid").select(F.col("uid").alias("u")), "copies")
+    rows = numbered(docs, carry=True)
+    drop = materialize(_grouped(fingerprints(rows)).where("uid != head.uid").select(F.col("uid").alias("u")), "copies")
     drop = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
-    return table.join(drop, F.col("uid") == F.col("u"), "left_anti").select("row.*")
+    return rows.join(drop, F.col("uid") == F.col("u"), "left_anti").select("row.*")
