@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 
 # The tags of the format.
 TAGS = ("OPTIONAL", "DESC", "COREF", "NO_COREF_ALT")
+# Labels that are values, not entities; they are their own type.
+VALUES = ("DATETIME", "QUANTITY")
 _OPEN = re.compile(r"\[((?:(?:OPTIONAL|DESC|COREF|NO_COREF_ALT):)*)(Q[0-9]+|<NIL>|Unknown[^:|\]]*|DATETIME|QUANTITY)(?::([^|\]\[]*))?\|")
-SCHEMA = "article_id long, text string, id int, start int, end int, entity_id string, name string, parent int, children array<int>, optional boolean, desc boolean, coref boolean, no_coref_alt boolean"
+SCHEMA = "article_id long, text string, id int, start int, end int, entity_id string, name string, parent int, children array<int>, optional boolean, desc boolean, coref boolean, no_coref_alt boolean, type string"
 
 
 def parse(body: str) -> tuple[str, list[dict]]:
@@ -21,7 +23,9 @@ def parse(body: str) -> tuple[str, list[dict]]:
         m = _OPEN.match(body, at) if body[at] == "[" else None
         if m:
             tags = set(filter(None, m[1].split(":")))
-            label = {"id": len(labels), "start": size, "entity_id": m[2], "name": m[3] or "", "parent": stack[-1]["id"] if stack else None, "children": []}
+            kind = m[2] if m[2] in VALUES else "OTHER"
+            entity = "<NIL>" if m[2].startswith("Unknown") else m[2]
+            label = {"id": len(labels), "start": size, "entity_id": entity, "name": m[3] or "", "parent": stack[-1]["id"] if stack else None, "children": [], "type": kind}
             label |= {t.lower(): t in tags for t in TAGS}
             if stack:
                 stack[-1]["children"].append(label["id"])
@@ -65,7 +69,11 @@ def delete(labels: list[dict], drop: set[int]) -> list[dict]:
 
 
 def labels(articles: DataFrame, coreference: bool = True) -> DataFrame:
-    """article_id, body -> one row a label (SCHEMA). Without ``coreference``, labels tagged so are taken out."""
+    """article_id, body -> one row a label (SCHEMA). Unknown entities are <NIL>; the type is DATETIME, QUANTITY or OTHER.
+
+    A benchmark with coreference has no labels that are alternatives for the case without (NO_COREF_ALT); one without
+    ``coreference`` has those, but none tagged COREF. What is taken out leaves its children to the label above.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -73,8 +81,7 @@ def labels(articles: DataFrame, coreference: bool = True) -> DataFrame:
             rows = []
             for article, body in zip(frame.article_id, frame.body, strict=True):
                 text, found = parse(body or "")
-                if not coreference:
-                    found = delete(found, {x["id"] for x in found if x["coref"]})
+                found = delete(found, {x["id"] for x in found if x["no_coref_alt" if coreference else "coref"]})
                 rows += [x | {"article_id": article, "text": text} for x in found]
             yield pd.DataFrame(rows, columns=names).astype({"parent": "Int32"})
 

@@ -20,6 +20,8 @@ from .resolve import link_to_id, not_other
 MENTIONS = "article_id long, start int, end int, entity_id string, recognized_by string, linked_by string"
 # Types by name.
 PERSON, FICTIONAL, ORGANISATION = "Q5", "Q95074", "Q43229"
+# Words that are no names at the start of a sentence.
+PRONOUNS = frozenset({"he", "she", "it", "they", "we", "i", "you", "this", "that"})
 
 
 def by_hyperlinks(articles: DataFrame, titles: DataFrame, redirects: DataFrame) -> DataFrame:
@@ -45,13 +47,15 @@ def may_vary(types: Column) -> Column:
 
 
 def synonyms(aliases: DataFrame, names: DataFrame, types: DataFrame) -> DataFrame:
-    """entity_id, surfaces: aliases that are not all lower case, and middle-name variants of the name, longest first."""
-    own = aliases.select("entity_id", F.explode("aliases").alias("surface")).where(~tx.is_all_lower(F.col("surface")))
+    """entity_id, surfaces, variants: aliases that are not all lower case (in their order), and middle-name variants of the name.
+
+    The two are apart because an alias gives way to what an article has already, while a variant takes its place.
+    """
+    own = aliases.select("entity_id", F.filter("aliases", lambda a: ~tx.is_all_lower(a)).alias("surfaces"))
     people = names.join(types, "entity_id").where(may_vary(F.col("types")))
-    variants = people.select("entity_id", F.explode(middle_name_variants(F.col("name"))).alias("surface"))
-    rows = own.unionByName(variants).distinct()
-    order = F.array_sort(F.collect_list(F.struct((-F.length("surface")).alias("n"), "surface")))
-    return rows.groupBy("entity_id").agg(F.transform(order, lambda x: x["surface"]).alias("surfaces"))
+    variants = people.select(F.col("entity_id").alias("_e"), middle_name_variants(F.col("name")).alias("variants")).where(F.size("variants") > 0)
+    both = own.join(variants, F.col("entity_id") == F.col("_e"), "full_outer")
+    return both.select(F.coalesce("entity_id", "_e").alias("entity_id"), "surfaces", "variants")
 
 
 def given_names(names: DataFrame) -> DataFrame:
@@ -64,6 +68,8 @@ def _prepared(articles: DataFrame, titles, redirects, names, types, aliases) ->
     """One row an article: its text, title entity, bold spans, and links with entity, synonyms and given name."""
     heads = articles.select("id", "title", "text", "title_synonyms")
     title = link_to_id(heads.select("id", "title"), "title", titles, redirects).select("id", F.col("entity_id").alias("title_entity"))
+    kinds = types.select(F.col("entity_id").alias("_e"), not_other(F.col("types")).alias("_fine"))
+    title = title.join(kinds, F.col("title_entity") == F.col("_e"), "left").select("id", "title_entity", F.coalesce("_fine", F.lit(True)).alias("title_fine"))
     links = link_to_id(mappings.links(articles), "target", titles, redirects).where("entity_id is not null")
     typed = links.join(types.withColumnRenamed("entity_id", "_e"), F.col("entity_id") == F.col("_e"), "left").drop("_e")
     fine = typed.where(F.coalesce(not_other(F.col("types")), F.lit(True)))
@@ -72,17 +78,23 @@ def _prepared(articles: DataFrame, titles, redirects, names, types, aliases) ->
     used = fine.select("id", "entity_id").unionByName(title.where("title_entity is not null").select("id", F.col("title_entity").alias("entity_id"))).distinct()
     known = synonyms(aliases, names, types)
     people = given_names(names.join(types, "entity_id").where(F.array_contains("types", PERSON)).select("entity_id", "name"))
-    facts = used.join(known, "entity_id", "left").join(people, "entity_id", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("entity_id", "surfaces", "given"))).alias("facts"))
+    facts = used.join(known, "entity_id", "left").join(people, "entity_id", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("entity_id", "surfaces", "variants", "given"))).alias("facts"))
     out = heads.join(title, "id", "left").join(listed, "id", "left").join(facts, "id", "left")
     return out
 
 
 class ArticleScan:
-    """Mentions of one article, in the order of the rules: bold titles, hyperlinks, then known names by length."""
+    """Mentions of one article, in the order of the rules: bold titles, hyperlinks, then known names by length.
 
-    def __init__(self, text: str, title: str, title_entity, bold, links, facts):
+    ``links`` holds texts that were links (the last entity wins, at the place of the first), ``synonyms`` names of linked entities:
+    an alias, the title without brackets and a given name only where there is none yet, a middle-name variant always. Links are
+    looked for before synonyms, longer texts before shorter ones, and equally long ones in the order they came.
+    """
+
+    def __init__(self, text: str, title: str, title_entity, bold, links, facts, title_fine: bool = True):
         self.text, self.covered, self.found = text, bytearray(len(text) + 1), []
-        self.surfaces = {f["entity_id"]: list(f["surfaces"] if f["surfaces"] is not None else []) for f in facts}
+        some = lambda x: [] if x is None else list(x)
+        self.names = {f["entity_id"]: (some(f["surfaces"]), some(f["variants"])) for f in facts}
         self.given = {f["entity_id"]: f["given"] for f in facts if f["given"]}
         self.links: dict[str, str] = {}
         self.synonyms: dict[str, str] = {}
@@ -90,25 +102,24 @@ class ArticleScan:
             self.links[title] = title_entity
             self._add_synonyms(title_entity)
             short = re.sub(r" \([^)]*?\)", "", title)
-            self.links.setdefault(short, title_entity)
-            for b in bold:
+            if short != title:
+                self.synonyms.setdefault(short, title_entity)
+            for b in bold if title_fine else ():
                 self._link(b["start"], b["end"], title, title_entity)
         for x in links:
             self._link(x["start"], x["end"], x["target"], x["entity_id"])
-        names: dict[str, str] = {}
-        for e in [title_entity, *(x["entity_id"] for x in links)]:
+        for e in [title_entity, *(x[2] for x in self.found)]:
             if e in self.given:
-                names.setdefault(self.given[e], e)
-        for n, e in names.items():
-            self.synonyms.setdefault(n, e)
+                self.synonyms.setdefault(self.given[e], e)
         for table in (self.links, self.synonyms):
-            for surface in sorted(table, key=lambda s: (-len(s), s)):
+            for surface in sorted(table, key=len, reverse=True):
                 self._occurrences(surface, table[surface])
 
     def _add_synonyms(self, entity):
-        for s in self.surfaces.get(entity, ()):
-            if s not in self.links:
-                self.synonyms.setdefault(s, entity)
+        aliases, variants = self.names.get(entity, ((), ()))
+        for s in aliases:
+            self.synonyms.setdefault(s, entity)
+        self.synonyms |= dict.fromkeys(variants, entity)
 
     def _word_end(self, end: int) -> int:
         """End of the word at a position; the last character of the text is never taken in."""
@@ -121,7 +132,7 @@ class ArticleScan:
         self.found.append((start, end, entity, by))
 
     def _link(self, start: int, end: int, target: str, entity: str) -> None:
-        if start is None or end <= start or any(self.covered[start:end]):
+        if start is None or any(self.covered[start:end]):
             return
         surface = self.text[start:end]
         self.links[surface] = entity
@@ -129,29 +140,28 @@ class ArticleScan:
         for tail in ("'s", "'"):
             if surface.endswith(tail) and not target.endswith(tail):
                 end -= len(tail)
-                break
         if self.text.startswith(target, start):
             end = max(end, start + len(target))
         self._accept(start, self._word_end(end), entity, "HYPERLINK")
 
     def _occurrences(self, surface: str, entity: str) -> None:
-        if not surface:
-            return
-        at = self.text.find(surface)
+        """All places of a text, left to right; behind a hit, taken or not, the search goes on at the end of its word."""
+        at = self.text.find(surface) if surface else -1
         while at >= 0:
-            end, nxt = at + len(surface), at + 1
+            after = at + 1
             if not (at and self.text[at - 1].isalpha()):
-                longer = self._word_end(end)
-                if longer - end <= min(3, len(surface)) and not any(self.covered[at:longer]) and self._fits(at, longer):
-                    self._accept(at, longer, entity, "NAME")
-                    nxt = longer
-            at = self.text.find(surface, nxt)
+                after = self._word_end(at + len(surface))
+                few = after - at - len(surface) <= min(3, len(surface))
+                if few and not any(self.covered[at:after]) and self._fits(at, surface):
+                    self._accept(at, after, entity, "NAME")
+            at = self.text.find(surface, after)
 
-    def _fits(self, start: int, end: int) -> bool:
-        """A single word at the start of a sentence must not be a pronoun (without a tagger, all other words may be names)."""
-        word = self.text[start:end]
-        initial = start == 0 or re.search(r"[.!?]\s+$|\n\s*$", self.text[max(0, start - 4) : start])
-        return not (initial and " " not in word and word.lower() in {"he", "she", "it", "they", "we", "i", "you", "this", "that"})
+    def _fits(self, start: int, surface: str) -> bool:
+        """A single word at the start of a sentence, but for the first of the text, must not be a pronoun (without a tagger, all
+        other words may be names)."""
+        if start == 0 or " " in surface or not re.search(r"[.!?]\s+$|\n\s*$", self.text[max(0, start - 4) : start]):
+            return True
+        return surface.lower() not in PRONOUNS
 
 
 def by_hyperlinks_and_names(articles: DataFrame, titles: DataFrame, redirects: DataFrame, names: DataFrame, types: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -165,7 +175,7 @@ def by_hyperlinks_and_names(articles: DataFrame, titles: DataFrame, redirects: D
             rows = []
             some = lambda x: [] if x is None else x
             for r in f.itertuples():
-                scan = ArticleScan(r.text, r.title, r.title_entity, some(r.title_synonyms), some(r.links), some(r.facts))
+                scan = ArticleScan(r.text, r.title, r.title_entity, some(r.title_synonyms), some(r.links), some(r.facts), bool(r.title_fine))
                 rows += [(r.id, s, e, q, by, by) for s, e, q, by in sorted(scan.found)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in MENTIONS.split(", ")])
 
