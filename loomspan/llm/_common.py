@@ -6,13 +6,13 @@ import contextlib
 import ctypes
 import gc
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut as materialize
 from ..storage import drop_written as drop_materialized
 
-__all__ = ["BROADCAST_ROWS", "WS_CHARS", "WS_RUN", "drop_materialized", "join_small", "materialize", "tidy", "words_of"]
+__all__ = ["BROADCAST_ROWS", "WS_CHARS", "WS_RUN", "drop_materialized", "join_small", "materialize", "small_batches", "tidy", "words_of"]
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, return.
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -23,11 +23,15 @@ BROADCAST_ROWS = 50_000
 
 
 def tidy(f):
-    """A map function over Arrow batches that gives its memory back at its end: workers are used again, beside a large JVM."""
+    """A map function over Arrow batches that gives its memory back at its end: workers are used again, beside a large JVM.
+
+    Arrow takes its memory from the system's allocator, so that all of it can be given back.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        pa.set_memory_pool(pa.system_memory_pool())
         yield from f(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()
@@ -37,6 +41,18 @@ def tidy(f):
     return run
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Within, Arrow batches of whole texts have so many rows: they lie in the JVM and in each Python worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def words_of(text: Column) -> Column:
     """Array of the white-space separated words of a text; null and blank give an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))

@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize, tidy
+from ._common import materialize, small_batches, tidy
 
 CAPACITY, END_ID = 4096, 1
 #: So many word forms are remembered by a task; then it starts anew. A bound on memory, not on results.
 CACHE = 400_000
+#: Documents tokenized at once.
+SLICE = 1000
 _LETTERS, _MARKS = "[A-Za-zªµºÀ-ÖØ-öø-ÿ]+", "[.,;:!?*#$%&]"
 
 
@@ -138,8 +140,8 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
         tokens, task, row = _tokenizer(path), TaskContext.get().partitionId(), 0
         seen = [0] * (capacity + 1)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
                 at, piece, start, length, ids, nth = [], [], [], [], [], []
                 flat, ends = tokens(batch.column(1))
                 whole_ids, begin = flat.tobytes(), 0
@@ -159,7 +161,8 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
                 columns = [pa.array(uid), batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array([task] * len(at), pa.int32()), pa.array(nth, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(tidy(run), schema), "tokens")
+    with small_batches(docs.sparkSession):
+        return materialize(docs.select("doc_id", "text").mapInArrow(tidy(run), schema), "tokens")
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import BROADCAST_ROWS, join_small, materialize, tidy
+from ._common import BROADCAST_ROWS, join_small, materialize, small_batches, tidy
 from .components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -57,7 +57,7 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps = np.array([fingerprint(t) for t in batch.column("_text").to_pylist()], np.uint64).view(np.int64)
+        fps = np.array([fingerprint(t.as_py()) for t in batch.column("_text")], np.uint64).view(np.int64)  # one text at a time in memory
         columns = [c for c in batch.schema.names if c != "_text"]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(fps)], names=[*columns, "fp"])
 
@@ -75,7 +75,8 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     """``numbered`` rows -> uid, doc_id, fp (signed 64 bits); written out. Texts alone pass through Python, no other columns."""
     frame = rows.select("uid", "doc_id", "_text")
     schema = T.StructType([f for f in frame.schema.fields if f.name != "_text"] + [T.StructField("fp", T.LongType())])
-    return materialize(frame.mapInArrow(tidy(_fingerprints), schema), "simhash")
+    with small_batches(rows.sparkSession):
+        return materialize(frame.mapInArrow(tidy(_fingerprints), schema), "simhash")
 
 
 def _parts(x: Column, widths: tuple[int, ...]) -> list[Column]:
