@@ -7,6 +7,7 @@ names are surface forms whose line items are their uses, suppliers, nations and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import evaluation, exports, graph, linking, mappings, ml, resolve, spans, splits
 from .plans import report
-from .sources import readers
+from .sources import readers, writers
+from .storage import shared_root
 from .streaming import annotate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -334,8 +336,10 @@ def type_counts(spark, sf_dir):
 _GOLD = """SELECT l.doc_id AS article_id, CAST(l.doc_id % 7 AS INT) AS start, CAST(l.doc_id % 7 + 5 + l.toxic AS INT) AS stop,
   CASE WHEN l.doc_id % 11 = 0 THEN '<NIL>' ELSE 'Q' || l.quality END AS entity_id, CASE WHEN l.quality = 1 THEN 'T1|T2' ELSE 'T3' END AS type, substr(d.text, CAST(l.doc_id % 7 + 1 AS INT), CAST(5 + l.toxic AS INT)) AS text
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
-_PRED = """SELECT doc_id AS article_id, CAST(doc_id % 7 AS INT) AS start, CAST(doc_id % 7 + 5 AS INT) AS stop, CASE WHEN n_chars > 300 THEN 'Q1' ELSE 'Q0' END AS entity_id,
-  CASE WHEN n_chars > 300 THEN 'T1|T2' ELSE 'T3' END AS type, substr(text, CAST(doc_id % 7 + 1 AS INT), 5) AS text FROM documents WHERE doc_id % 3 <> 0"""
+# A third of the predictions begin a character late.
+_LATE = "doc_id % 7 + CASE WHEN n_chars % 3 = 0 THEN 1 ELSE 0 END"
+_PRED = f"""SELECT doc_id AS article_id, CAST({_LATE} AS INT) AS start, CAST({_LATE} + 5 AS INT) AS stop, CASE WHEN n_chars > 300 THEN 'Q1' ELSE 'Q0' END AS entity_id,
+  CASE WHEN n_chars > 300 THEN 'T1|T2' ELSE 'T3' END AS type, substr(text, CAST({_LATE} + 1 AS INT), 5) AS text FROM documents"""
 _CASES = f"""g AS ({_GOLD}), p AS ({_PRED}), j AS (SELECT coalesce(g.article_id, p.article_id) AS article_id, coalesce(g.start, p.start) AS start, coalesce(g.stop, p.stop) AS stop, g.entity_id AS gold, p.entity_id AS predicted,
   g.type AS gold_type, p.type AS predicted_type, coalesce(g.text, p.text) AS text FROM g FULL JOIN p ON g.article_id = p.article_id AND g.start = p.start AND g.stop = p.stop),
   k AS (SELECT *, CASE WHEN gold = '<NIL>' THEN 'ENTITY_UNKNOWN' WHEN regexp_matches(regexp_extract(text, '\\p{{L}}'), '\\p{{Lu}}') THEN 'ENTITY_NAMED' ELSE 'ENTITY_NON_NAMED' END AS mention_type FROM j),
@@ -358,8 +362,8 @@ def _gold(spark, sf_dir):
 
 
 def _predicted(spark, sf_dir):
-    start, long = (F.col("doc_id") % 7).cast("int"), F.col("n_chars") > 300
-    return read(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(
+    start, long = F.expr(_LATE).cast("int"), F.col("n_chars") > 300
+    return read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("article_id"), start.alias("start"), (start + 5).alias("end"), F.when(long, "Q1").otherwise("Q0").alias("entity_id"),
         F.when(long, "T1|T2").otherwise("T3").alias("type"), tx.snippet(F.col("text"), start, start + 5).alias("text"),
     )
@@ -767,3 +771,90 @@ def declarative_catalogue(spark, sf_dir):
     one = lambda name, df, value: df.select(F.lit(name).alias("query"), "entity_id", F.col(value).cast("string").alias("value"))
     out = one("aliases", k.aliases(), "aliases").union(one("sitelinks", k.sitelinks(), "n")).union(one("demonyms", k.demonyms(), "demonym"))
     return out.union(one("genders", k.genders(), "gender")).union(one("names", k.names(), "label"))
+
+
+# --- files: tables written by a writer and read back by a reader ---------------------------------
+
+
+def _folder(spark) -> str:
+    return f"{shared_root(spark)}/loomspan-files-{uuid.uuid4().hex}"
+
+
+@query("SELECT replace(replace(replace(text, chr(10), ' '), chr(9), ' '), chr(13), ' ') AS text FROM documents WHERE NOT regexp_matches(text, '[\\x0b\\x0c]')")
+def raw_text_lines(spark, sf_dir):
+    path = _folder(spark)
+    docs = read(spark, sf_dir, "documents").where(~F.rlike("text", F.lit(r"[\x0b\x0c]")))
+    writers.separated(docs.select(F.translate("text", "\n\t\r", "   ").alias("text")), path)
+    return readers.raw_texts(spark, path).select("text")
+
+
+@query("SELECT 'Q' || p_partkey AS key, p_name || chr(9) || p_brand AS value FROM part")
+def key_value_lines(spark, sf_dir):
+    path = _folder(spark)
+    writers.separated(read(spark, sf_dir, "part").select(F.concat(F.lit("Q"), "p_partkey").alias("k"), "p_name", "p_brand"), path)
+    return readers.key_values(spark, path).select("key", "value")
+
+
+@query("SELECT source AS key, text AS value FROM documents WHERE length(source) > 0 UNION ALL SELECT text, source FROM documents WHERE strlen(text) BETWEEN 1 AND 511")
+def key_value_store(spark, sf_dir):
+    """Texts as keys are mostly too long for the table and are skipped."""
+    path, docs = _folder(spark), read(spark, sf_dir, "documents")
+    writers.key_value_table(docs.select(F.col("source").alias("key"), F.col("text").alias("value")).unionByName(docs.select(F.col("text").alias("key"), F.col("source").alias("value"))), path)
+    return spark.read.parquet(path).select("key", "value")
+
+
+@query("""SELECT token || ' ' || count(*) AS line FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+')) AS token FROM documents) WHERE token <> '' GROUP BY token""")
+def unigram_lines(spark, sf_dir):
+    path = _folder(spark)
+    writers.unigrams(mappings.unigram_counts(read(spark, sf_dir, "documents")), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("SELECT DISTINCT 'Q' || p_size AS type_id FROM part")
+def whitelist_lines(spark, sf_dir):
+    path = _folder(spark)
+    writers.separated(read(spark, sf_dir, "part").select(F.concat(F.lit("wd:Q"), "p_size").alias("q"), "p_name"), path, " # ")
+    return readers.whitelist(spark, path)
+
+
+@query(f"WITH {_EDGES} SELECT 'http://x/' || s AS s, 'http://x/' || p AS p, o FROM e")
+def triple_lines(spark, sf_dir):
+    path = _folder(spark)
+    address = lambda c: F.concat(F.lit("<http://x/"), c, F.lit(">"))
+    rows = _triples(spark, sf_dir).select(address("s").alias("s"), address("p").alias("p"), F.concat(F.lit('"'), "o", F.lit('"@en')).alias("o"), F.lit(".").alias("end"))
+    writers.separated(rows, path, " ")
+    return readers.triples(spark, path)
+
+
+@query(f"""SELECT 'http://x/' || article_id AS context, start, stop, CASE WHEN entity_id = '<NIL>' THEN 'http://example.org/unknown' ELSE 'http://www.wikidata.org/entity/' || entity_id END AS entity_uri FROM ({_GOLD})""")
+def nif_response(spark, sf_dir):
+    out = writers.nif_annotations(_gold(spark, sf_dir), F.concat(F.lit("http://x/"), F.col("article_id").cast("string")))
+    return out.withColumnRenamed("end", "stop")
+
+
+@query(f"SELECT article_id, start, stop, entity_id, entity_id AS candidates FROM ({_GOLD})")
+def gold_linker(spark, sf_dir):
+    rows = evaluation.gold_as_predictions(_gold(spark, sf_dir))
+    return rows.select("article_id", "start", F.col("end").alias("stop"), "entity_id", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query(f"SELECT g.article_id, g.start, g.stop FROM ({_GOLD}) g SEMI JOIN ({_PRED}) p ON g.article_id = p.article_id AND g.start = p.start AND g.stop = p.stop")
+def undetected_links(spark, sf_dir):
+    return evaluation.undetected_hyperlinks(_gold(spark, sf_dir), _predicted(spark, sf_dir)).select("article_id", "start", F.col("end").alias("stop"))
+
+
+@query("""SELECT doc_id, text FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS text FROM documents) WHERE text IN ('It', 'it', 'This', 'this', 'That', 'that', 'Its', 'its')""")
+def false_coreferences(spark, sf_dir):
+    words = F.explode(tx.word_tokens(F.col("text"))).alias("text")
+    return evaluation.false_coreference_detections(read(spark, sf_dir, "documents").select("doc_id", words))
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '_') AS path, ' ' || p_brand AS rest FROM part")
+def page_paths(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    return part.select("p_partkey", tx.quote_title(F.col("p_name")).alias("path"), tx.strip_description(F.concat(F.lit("{"), "p_type", F.lit("} "), "p_brand")).alias("rest"))
+
+
+@query("SELECT 'Q' || p_partkey AS entity_id, split_part(p_name, ' ', 1) AS given FROM part WHERE p_name LIKE '% %' AND length(split_part(p_name, ' ', 1)) > 1")
+def given_names(spark, sf_dir):
+    return linking.given_names(read(spark, sf_dir, "part").select(F.concat(F.lit("Q"), "p_partkey").alias("entity_id"), F.col("p_name").alias("name")))
