@@ -82,14 +82,16 @@ def name_from_url(spark, sf_dir):
     return values(spark, URLS, ["url"]).select("url", tx.name_from_url(F.col("url")).alias("name"))
 
 
-TITLES = [("Paris (Texas)",), ("AC/DC",), ("A (b) c (d)",), ("Plain",), ("A very long title that is cut short",)]
+_PART_TITLES = "SELECT DISTINCT p_name || ' (' || p_brand || ')' || CASE WHEN p_size % 3 = 0 THEN '/' || p_type ELSE '' END AS title FROM part UNION SELECT p_brand FROM part"
 
 
 @query(f"""SELECT title, regexp_replace(title, ' \\([^)]*?\\)', '', 'g') AS bare, replace(replace(title, ' ', '_'), '/', '_') AS file,
-           CASE WHEN length(title) <= 20 THEN title ELSE substr(title, 1, 17) || '...' END AS short FROM {_sql_values(TITLES, ['title'])}""")
+           CASE WHEN length(title) <= 20 THEN title ELSE substr(title, 1, 17) || '...' END AS short FROM ({_PART_TITLES})""")
 def title_forms(spark, sf_dir):
-    t = F.col("title")
-    return values(spark, TITLES, ["title"]).select("title", tx.strip_brackets(t).alias("bare"), tx.file_name(t).alias("file"), tx.abbreviated(t).alias("short"))
+    part, t = read(spark, sf_dir, "part"), F.col("title")
+    more = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("/"), "p_type")).otherwise("")
+    titles = part.select(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"), more).alias("title")).union(part.select("p_brand")).distinct()
+    return titles.select("title", tx.strip_brackets(t).alias("bare"), tx.file_name(t).alias("file"), tx.abbreviated(t).alias("short"))
 
 
 LINKS = [("World Health Organization", " (WHO) is", "Q1"), ("United Nations", " (UN) is", "Q2"), ("Federal Bureau of Investigation", " (FBI), the", "Q3"), ("Big Blue", " (IBM) made", "Q4"), ("Foreign Broadcast Information", " (FBI) was", "Q5"), ("World Health Org", " (WHO) again", "Q1"), ("No Acronym Here", ", (NAH)", "Q6")]
@@ -113,12 +115,14 @@ def clean_export_lines(spark, sf_dir):
     return rows.where(~F.rlike("line", F.lit("^[^Q]")))
 
 
-DUMP = ["<title>Old Name</title>", "<text>#REDIRECT [[New_Name]] {{x}}</text>", "<title>Other</title>", "plain text [[link]]", "#redirect[[Third Name#Part]]", "<title>Old Name</title>", "#Redirect: [[Newest]]"]
-
-
-@query("SELECT * FROM (VALUES ('Old Name', 'Newest'), ('Other', 'Third Name#Part')) AS t(title, target)")
+@query("SELECT p_name || ' ' || p_partkey AS title, p_brand || ' ' || p_type AS target FROM part WHERE p_size % 2 = 0")
 def redirect_map(spark, sf_dir):
-    return mappings.redirects(values(spark, list(enumerate(DUMP)), ["ordinal", "line"]))
+    """Two lines a part, as in a dump: its title, and a redirect or other text."""
+    even = F.col("p_size") % 2 == 0
+    text = F.when(even, F.concat(F.lit("<text>#Redirect: [["), "p_brand", F.lit("_"), "p_type", F.lit("]] {{x}}</text>"))).otherwise(F.concat(F.lit("plain [["), "p_brand", F.lit("]]")))
+    lines = F.array(F.concat(F.lit("<title>"), "p_name", F.lit(" "), "p_partkey", F.lit("</title>")), text)
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.posexplode(lines).alias("k", "line"))
+    return mappings.redirects(rows.select((F.col("p_partkey") * 2 + F.col("k")).alias("ordinal"), "line"))
 
 
 @query("""SELECT doc_id, record, sentence FROM (SELECT doc_id, record, unnest(p) AS sentence, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS record,
@@ -248,13 +252,12 @@ def inverse_surface_index(spark, sf_dir):
     return resolve.inverse_surface_index(uses, titles, none).select(F.col("entity_id").alias("surface"), F.array_join("surfaces", ";").alias("entities"))
 
 
-NAMES = [("Q1", "Habern William Archibald Freeman"), ("Q2", "Ludwig van Beethoven"), ("Q3", "Anna Lena Schmidt"), ("Q4", "Plato")]
-
-
-@query("""SELECT * FROM (VALUES ('Q1', 'Habern W A Freeman;Habern W.A. Freeman;Habern W. A. Freeman;Habern Freeman'), ('Q2', ''),
-          ('Q3', 'Anna L Schmidt;Anna L. Schmidt;Anna L. Schmidt;Anna Schmidt'), ('Q4', '')) AS t(entity_id, variants)""")
+@query("""SELECT entity_id, CASE WHEN len(w) > 2 THEN concat_ws(';', concat_ws(' ', w[1], array_to_string(list_transform(m, lambda x: x[1]), ' '), w[-1]),
+          concat_ws(' ', w[1], array_to_string(list_transform(m, lambda x: x[1] || '.'), ''), w[-1]), concat_ws(' ', w[1], array_to_string(list_transform(m, lambda x: x[1] || '.'), ' '), w[-1]), w[1] || ' ' || w[-1]) ELSE '' END AS variants
+          FROM (SELECT entity_id, w, w[2:len(w) - 1] AS m FROM (SELECT 'Q' || p_partkey AS entity_id, string_split(upper(p_name) || CASE WHEN p_size % 2 = 0 THEN ' ' || p_brand || ' X' ELSE '' END, ' ') AS w FROM part))""")
 def middle_name_variants(spark, sf_dir):
-    return values(spark, NAMES, ["entity_id", "name"]).select("entity_id", F.array_join(linking.middle_name_variants(F.col("name")), ";").alias("variants"))
+    name = F.concat(F.upper("p_name"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_brand", F.lit(" X"))).otherwise(""))
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("Q"), "p_partkey").alias("entity_id"), F.array_join(linking.middle_name_variants(name), ";").alias("variants"))
 
 
 # --- type graph ----------------------------------------------------------------------------------
