@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--description", default="")
 
     p = command("evaluate", "Evaluate linked articles against their labels.", "input", "output")
-    p.add_argument("--knowledge", help="folder with the types table")
+    p.add_argument("--knowledge", help="folder of resource tables")
     p.add_argument("--whitelist", help="file of type ids")
     p.add_argument("--no-coreference", action="store_true")
     p.add_argument("--no-unknowns", action="store_true")
@@ -93,9 +93,10 @@ def main(argv: list[str] | None = None) -> int:
         writers.linked_articles(pipelines.within_evaluation_span(out) if a.evaluation_span else out, a.output)
         print(writers.metadata(a.name, a.description, a.linker or "predictions", None if a.predictions else time.time() - began, datetime.now()))
     elif a.command == "evaluate":
-        types = pipelines.knowledge(spark, a.knowledge)["types"] if a.knowledge else None
+        known = pipelines.knowledge(spark, a.knowledge) if a.knowledge else None
+        types = known["types"] if known else None
         allowed = readers.whitelist(spark, a.whitelist) if a.whitelist else None
-        cases, metrics = pipelines.evaluate(readers.articles(spark, a.input), types, allowed, coreference=not a.no_coreference, unknowns=not a.no_unknowns)
+        cases, metrics = pipelines.evaluate(readers.articles(spark, a.input), types, allowed, coreference=not a.no_coreference, unknowns=not a.no_unknowns, known=known)
         writers.eval_cases(cases, f"{a.output}/cases")
         result = writers.nested_results(metrics)
         spark.createDataFrame([(result,)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.output}/results")

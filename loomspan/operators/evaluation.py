@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..storage import cut
+from . import spans
 
 MODES = ("IGNORED", "REQUIRED")
 # English pronouns that refer to entities.
@@ -116,24 +117,42 @@ def recognition_errors(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     and wrong_span besides, where a gold mention of the same entity overlaps. Both need text and entity_id.
     """
     keys = ["article_id", "start", "end"]
-    p = predictions.select(F.col("article_id").alias("_a"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("entity_id").alias("_id"))
-    g = labels.select(F.col("article_id").alias("_a"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("entity_id").alias("_id"))
-    touch = (F.col("article_id") == F.col("_a")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end"))
-    same = (F.col("article_id") == F.col("_a")) & (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e"))
     lower = tx.is_all_lower(F.col("text"))
-    missed = labels.join(p, same, "left_anti").join(p, touch, "left").groupBy(*keys, "text").agg(
-        F.count("_a").alias("n"), F.coalesce(F.bool_or((F.col("_s") >= F.col("start")) & (F.col("_e") <= F.col("end"))), F.lit(False)).alias("within")
+
+    def alone(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """Rows whose span the others lack, each with other null, and again with each of the others that it overlaps."""
+        o = others.select(*keys, "entity_id")
+        own = rows.select(*keys, "text", "entity_id").join(o.select(*keys), keys, "left_anti")
+        pairs = spans.touching(own, o)
+        return own.withColumn("other", F.lit(None).cast(pairs.schema["other"].dataType)).unionByName(pairs)
+
+    missed = alone(labels, predictions).groupBy(*keys, "text").agg(
+        F.count("other").alias("n"), F.coalesce(F.bool_or((F.col("other.start") >= F.col("start")) & (F.col("other.end") <= F.col("end"))), F.lit(False)).alias("within")
     )
     missed = missed.select(*keys, F.lit("ner_fn").alias("side"), F.when(lower, "lowercased").when(F.col("within") & F.contains("text", F.lit(" ")), "partially_included").when(F.col("n") > 0, "partial_overlap").otherwise("other").alias("category"))
-    false = predictions.join(g, same, "left_anti").join(g, touch, "left").groupBy(*keys, "text", "entity_id").agg(
-        F.count("_a").alias("n"),
-        F.coalesce(F.bool_or(tx.is_unknown(F.col("_id"))), F.lit(False)).alias("unknown"),
-        F.coalesce(F.bool_or(F.col("_id") == F.col("entity_id")), F.lit(False)).alias("same"),
+    false = alone(predictions, labels).groupBy(*keys, "text", "entity_id").agg(
+        F.count("other").alias("n"),
+        F.coalesce(F.bool_or(tx.is_unknown(F.col("other.entity_id"))), F.lit(False)).alias("unknown"),
+        F.coalesce(F.bool_or(F.col("other.entity_id") == F.col("entity_id")), F.lit(False)).alias("same"),
     )
     kinds = F.array_compact(F.array(F.when(lower & (F.col("n") == 0), "lowercased").when(~lower & F.col("unknown"), "groundtruth_unknown").otherwise("other"), F.when(F.col("same"), "wrong_span")))
     return missed.unionByName(false.select(*keys, F.lit("ner_fp").alias("side"), F.explode(kinds).alias("category")))
 
 
+def recognition_totals(labels: DataFrame, predictions: DataFrame, words: DataFrame) -> DataFrame:
+    """side, category, total: what the kinds of recognition_errors are counted against. words (text): those of the evaluated texts."""
+    lower = tx.is_all_lower(F.col("text"))
+
+    def table(rows: DataFrame, side: str, **kinds: Column) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(k).alias("category"), F.count_if(c).alias("total")) for k, c in kinds.items()])
+        return rows.agg(cells.alias("x")).select(F.lit(side).alias("side"), F.explode("x").alias("x")).select("side", "x.*")
+
+    every, blank = F.lit(True), F.contains("text", F.lit(" "))
+    out = table(labels, "ner_fn", all=every, lowercased=lower, partially_included=blank, partial_overlap=~lower, other=~lower)
+    out = out.unionByName(table(labels, "ner_fp", groundtruth_unknown=~lower & tx.is_unknown(F.col("entity_id"))))
+    return out.unionByName(table(words, "ner_fp", all=every, lowercased=lower, other=~lower)).unionByName(table(predictions, "ner_fp", wrong_span=every))
+
+
 def disambiguation_errors(pairs: DataFrame) -> DataFrame:
     """category, errors, total over recognised mentions.
 

@@ -16,14 +16,30 @@ def not_overlapping(spans: DataFrame, covered: DataFrame, key: str = "article_id
     return spans.join(c, (F.col(key) == F.col("_k")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
 
 
-def contained(tokens: DataFrame, mentions: DataFrame, key: str = "article_id", width: int = 64) -> DataFrame:
+def _buckets(start: Column, end: Column, width: int) -> Column:
+    return F.sequence(F.floor(start / width), F.floor((F.greatest(end, start + 1) - 1) / width))
+
+
+def contained(tokens: DataFrame, mentions: DataFrame, key: str = "article_id", width: int = 64, how: str = "inner") -> DataFrame:
     """Tokens with the mention that holds them whole (columns of the mention as struct ``mention``).
 
     A range join by buckets of ``width`` characters: a mention is repeated for the buckets it touches.
     """
-    m = mentions.select(F.col(key).alias("_k"), F.struct("*").alias("mention"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.greatest(F.col("end"), F.col("start") + 1) - 1) / width))).alias("_b"))
+    m = mentions.select(F.col(key).alias("_k"), F.struct("*").alias("mention"), F.explode(_buckets(F.col("start"), F.col("end"), width)).alias("_b"))
     inside = (F.col("start") >= F.col("mention.start")) & (F.col("end") <= F.col("mention.end"))
-    return tokens.join(m, (F.col(key) == F.col("_k")) & (F.floor(F.col("start") / width) == F.col("_b")) & inside).drop("_k", "_b")
+    return tokens.join(m, (F.col(key) == F.col("_k")) & (F.floor(F.col("start") / width) == F.col("_b")) & inside, how).drop("_k", "_b")
+
+
+def touching(left: DataFrame, right: DataFrame, key: str = "article_id", width: int = 64) -> DataFrame:
+    """Each pair of overlapping spans of one article, once: the left columns, and the right row as struct ``other``.
+
+    A range join by buckets of ``width`` characters; a pair meets in the bucket of its later start.
+    """
+    ours = left.withColumn("_b", F.explode(_buckets(F.col("start"), F.col("end"), width)))
+    theirs = right.select(F.col(key).alias("_k"), F.struct("*").alias("other"), F.explode(_buckets(F.col("start"), F.col("end"), width)).alias("_c"))
+    meet = F.floor(F.greatest(F.col("start"), F.col("other.start")) / width) == F.col("_b")
+    over = (F.col("start") < F.col("other.end")) & (F.col("other.start") < F.col("end"))
+    return ours.join(theirs, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_c")) & meet & over).drop("_b", "_k", "_c")
 
 
 def greedy(spans: Column) -> Column:
@@ -59,8 +75,7 @@ def segments(outer: DataFrame, inner: DataFrame, key: str = "article_id") -> Dat
     piece = bounds.withColumn("end", F.lead("start").over(Window.partitionBy(key).orderBy("start"))).where("end is not null")
 
     def holder(rows: DataFrame, spans: DataFrame, name: str, how: str) -> DataFrame:
-        s = spans.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("id").alias(name))
-        return rows.join(s, (F.col(key) == F.col("_k")) & (F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e")), how).drop("_k", "_s", "_e")
+        return contained(rows, spans, key, how=how).withColumn(name, F.col("mention.id")).drop("mention")
 
     return holder(holder(piece, outer, "outer", "inner"), inner, "inner", "left")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ from ..sources import readers
 from . import registry
 
 
+# Types of places, and types whose members a demonym names besides (peoples, languages).
+PLACE, DEMONYM_TYPES = "Q27096213", ("Q27096213", "Q41710", "Q17376908")
+
+
 def knowledge(spark: SparkSession, folder: str) -> dict:
     """Resources of the linkers from a folder of parquet tables; absent ones are empty."""
     kinds = {
@@ -20,6 +26,7 @@ def knowledge(spark: SparkSession, folder: str) -> dict:
         "types": "entity_id string, types array<string>",
         "aliases": "entity_id string, aliases array<string>",
         "candidates": "surface string, entity_id string, score long, source_rank int",
+        "demonyms": "demonym string",
         "priors": "alias string, entity_id string, count long, prior double",
     }
     jvm = spark._jvm
@@ -54,8 +61,11 @@ def mentions_of(articles: DataFrame) -> DataFrame:
     return rows.select("article_id", *[F.col(f"m.{c}").alias(c) for c in keep], tx.snippet(F.col("text"), F.col("m.start"), F.col("m.end")).alias("text"))
 
 
-def evaluate(articles: DataFrame, types: DataFrame | None = None, whitelist: DataFrame | None = None, predictions: DataFrame | None = None, coreference: bool = True, unknowns: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(typed cases, long metrics: mode, base, category, metric, value) of linked articles with labels."""
+def evaluate(articles: DataFrame, types: DataFrame | None = None, whitelist: DataFrame | None = None, predictions: DataFrame | None = None, coreference: bool = True, unknowns: bool = True, known: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(typed cases, long metrics: mode, base, category, metric, value) of linked articles with labels.
+
+    known: tables as knowledge() gives them; with them the kinds of wrong disambiguations are told apart.
+    """
     gold, found = labels_of(articles), predictions if predictions is not None else mentions_of(articles)
     if whitelist is not None:
         gold = evaluation.filter_labels(gold, whitelist)
@@ -84,15 +94,58 @@ def evaluate(articles: DataFrame, types: DataFrame | None = None, whitelist: Dat
     out = out.unionByName(long(evaluation.ner_metrics(typed), "error_categories", F.lit("ner")))
     kinds = whitelist if whitelist is not None else articles.sparkSession.createDataFrame([], "type_id string")
     out = out.unionByName(long(evaluation.entity_type_metrics(typed, kinds), "entity_types", F.col("type_id")))
-    # coreference is left out of the recognition errors: gold coreferences, and pronouns found
-    named = found.where(~F.lower("text").isin(*evaluation.PRONOUNS))
-    own = gold.where(~F.coalesce("coref", F.lit(False)) & ~F.lower("text").isin(*evaluation.PRONOUNS))
-    errors = evaluation.recognition_errors(own, named)
-    errors = errors.select("side", F.explode(F.when(F.col("category") == "wrong_span", F.array("category")).otherwise(F.array("category", F.lit("all")))).alias("metric"))
-    errors = errors.groupBy("side", "metric").agg(F.count("*").cast("double").alias("value"))
+    errors = error_counts(articles, gold, found, typed, known)
+    cells = F.array(*[F.struct(F.concat("category", F.lit(f".{c}")).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("errors", "total")])
     modes = F.explode(F.array(*map(F.lit, evaluation.MODES))).alias("mode")
-    out = out.unionByName(errors.select(modes, F.lit("error_categories").alias("base"), F.col("side").alias("category"), "metric", "value"))
-    return typed, out
+    errors = errors.select("base", "category", F.explode(F.filter(cells, lambda x: x["value"].isNotNull())).alias("c")).select(modes, F.lit("error_categories").alias("b"), "base", "c.*")
+    return typed, out.union(errors)
+
+
+def error_counts(articles: DataFrame, gold: DataFrame, found: DataFrame, typed: DataFrame, known: dict | None = None) -> DataFrame:
+    """base, category, errors, total (null where a kind has none) of every kind of error.
+
+    Coreference is left out of the recognition errors: gold coreferences, and pronouns found. Antecedents are not
+    in the articles, so of the coreference kinds only those without them are counted.
+    """
+    pronoun = F.lower("text").isin(*evaluation.PRONOUNS)
+    coref = F.coalesce("coref", F.lit(False))
+    named, own = found.where(~pronoun), gold.where(~coref & ~pronoun)
+    kinds = evaluation.recognition_errors(own, named)
+    both = F.explode(F.when(F.col("category") == "wrong_span", F.array("category")).otherwise(F.array("category", F.lit("all")))).alias("category")
+    counts = kinds.select("side", both).groupBy("side", "category").agg(F.count("*").alias("errors"))
+    span = F.col("evaluation_span")
+    words = articles.select(F.explode(tx.word_tokens(F.when(span.isNull(), F.col("text")).otherwise(tx.snippet(F.col("text"), span["start"], span["end"])))).alias("text"))
+    totals = evaluation.recognition_totals(own, named, words)
+    out = [totals.join(counts, ["side", "category"], "left").select("side", "category", F.coalesce("errors", F.lit(0)).alias("errors"), "total")]
+
+    keys = ["article_id", "start", "end"]
+    missed = own.join(named.select(*keys), keys, "left_anti")
+    links = articles.select(F.col("id").alias("article_id"), F.explode("hyperlinks").alias("h")).select("article_id", "h.start", "h.end")
+    count = lambda rows, side, category, error, total: rows.agg(F.lit(side), F.lit(category), error, total)
+    linked = evaluation.undetected_hyperlinks(own, links).join(missed.select(*keys, F.lit(1).alias("_lost")).distinct(), keys, "left")
+    out.append(count(linked, "other_errors", "hyperlink", F.count("_lost"), F.count("*")))
+    referring = gold.where(coref | pronoun).join(found.select(*keys, F.lit(1).alias("_seen")).distinct(), keys, "left")
+    out.append(count(referring, "wrong_coreference", "undetected", F.count_if(F.col("_seen").isNull()), F.count("*")))
+    false = evaluation.false_coreference_detections(found.join(gold.select(*keys), keys, "left_anti"))
+    out.append(count(false, "wrong_coreference", "false_detection", F.count("*"), F.lit(None).cast("long")))
+    if known is not None:
+        out.append(evaluation.disambiguation_errors(_pairs(typed, known)).select(F.lit("wrong_disambiguation"), "category", "errors", "total"))
+    return reduce(DataFrame.union, out).toDF("base", "category", "errors", "total")
+
+
+def _pairs(typed: DataFrame, known: dict) -> DataFrame:
+    """Recognised mentions with what tells the kinds of wrong disambiguations apart."""
+    rows = typed.where(F.col("gold").isNotNull() & F.col("predicted").isNotNull() & F.startswith("mention_type", F.lit("ENTITY")))
+    rows = rows.select("text", F.col("gold.entity_id").alias("gold"), F.col("predicted.entity_id").alias("predicted"), F.col("predicted.candidates").alias("candidates"))
+    best = mappings.popular_entity(known["candidates"]).select(F.col("surface").alias("_s"), F.col("entity_id").alias("popular"))
+    rows = rows.join(best, F.col("text") == F.col("_s"), "left").drop("_s")
+    rows = rows.join(known["names"].groupBy(F.col("entity_id").alias("_n")).agg(F.min("name").alias("gold_name")), F.col("gold") == F.col("_n"), "left").drop("_n")
+    kinds = known["types"].groupBy("entity_id").agg(F.flatten(F.collect_list("types")).alias("types"))
+    for side in ("gold", "predicted", "popular"):
+        t = kinds.select(F.col("entity_id").alias("_t"), F.array_contains("types", PLACE).alias(f"{side}_is_place"), F.arrays_overlap("types", F.array(*map(F.lit, DEMONYM_TYPES))).alias(f"{side}_is_demonym_type"))
+        rows = rows.join(t, F.col(side) == F.col("_t"), "left").drop("_t")
+    names = known["demonyms"].select(F.col("demonym").alias("_d")).distinct()
+    return rows.join(names, F.col("text") == F.col("_d"), "left").withColumn("is_demonym", F.col("_d").isNotNull()).drop("_d")
 
 
 def benchmark_from_annotations(spark: SparkSession, path: str, skip: list[int] | None = None, coreference: bool = True) -> DataFrame:

@@ -27,10 +27,14 @@ def eval_cases(cases: DataFrame, path: str) -> None:
 
 
 def nested_results(metrics: DataFrame) -> str:
-    """Long metrics (mode, base, category, metric, value) -> nested JSON. A bounded set of categories."""
+    """Long metrics (mode, base, category, metric, value) -> nested JSON; a metric a.b is b of a. A bounded set of categories."""
     out: dict = {}
     for r in metrics.collect():
-        out.setdefault(r["mode"], {}).setdefault(r["base"], {}).setdefault(r["category"], {})[r["metric"]] = r["value"]
+        at = out.setdefault(r["mode"], {}).setdefault(r["base"], {}).setdefault(r["category"], {})
+        *above, leaf = r["metric"].split(".")
+        for name in above:
+            at = at.setdefault(name, {})
+        at[leaf] = r["value"]
     return json.dumps(out, sort_keys=True)
 
 

@@ -34,6 +34,11 @@ def test_link_and_evaluate(corpus, capsys):
     cli.main(["evaluate", f"{c}/linked", f"{c}/eval", "--knowledge", f"{c}/k", "--whitelist", f"{c}/w"])
     result = json.loads(lines(corpus / "eval" / "results")[0])
     assert result["REQUIRED"]["mention_types"]["all"]["recall"] == 1 and result["IGNORED"]["entity_types"]["Q5"]["true_positives"] == 1
+    errors = result["REQUIRED"]["error_categories"]
+    assert errors["ner_fn"]["all"] == {"errors": 0, "total": result["REQUIRED"]["error_categories"]["ner"]["ground_truth"]}
+    assert errors["ner_fp"]["all"]["total"] == errors["ner_fp"]["lowercased"]["total"] + errors["ner_fp"]["other"]["total"] > 0
+    assert errors["wrong_disambiguation"]["all"] == {"errors": 0, "total": errors["ner"]["true_positives"]}
+    assert set(errors["wrong_coreference"]) == {"undetected", "false_detection"} and set(errors["other_errors"]) == {"hyperlink"}
     assert len(json.loads(lines(corpus / "eval" / "cases")[0])) >= 2
     cli.main(["export", f"{c}/linked", f"{c}/words", f"{c}/docs"])
     assert "1\tAnn liked Paris." in [x.replace("\t ", "\t") for x in lines(corpus / "docs")] and len(lines(corpus / "words")) > 8

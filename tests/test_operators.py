@@ -108,6 +108,17 @@ def test_segments(spark):
     assert got == [(0, 3, "a", None), (3, 5, "a", "x"), (5, 8, "a", None), (8, 10, "a", "y"), (12, 14, "b", "y"), (14, 20, "b", None)]
 
 
+def test_touching_meets_each_overlapping_pair_once(spark):
+    import random
+
+    rnd = random.Random(3)
+    some = lambda n: [(rnd.randrange(2), k, a, a + rnd.choice((0, 1, 5, 90, 300))) for k in range(n) for a in [rnd.randrange(400)]]
+    left, right = some(60), [*some(60), (None, 60, 1, 5), (1, 61, None, 5)]
+    frame = lambda rows: spark.createDataFrame(rows, "article_id long, id int, start int, end int")
+    got = sorted((r.id, r.other.id) for r in spans.touching(frame(left), frame(right)).collect())
+    assert got == sorted((a[1], b[1]) for a in left for b in right if a[0] == b[0] and b[2] is not None and a[2] < b[3] and b[2] < a[3])
+
+
 def test_splice_round_trip(spark):
     df = spark.createDataFrame([("a😀b Paris and Rome", [(4, 9, "Q90", "Paris"), (14, 18, "Q220", "Roma")])], "t string, s array<struct<start:int,end:int,entity_id:string,name:string>>")
     out = df.select(spans.splice(F.col("t"), F.col("s"), spans.gold_annotation).alias("x"), spans.entity_list(F.col("s")).alias("l")).first()
