@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schema
 from .functions import text as tx
-from .operators import evaluation, exports, graph, linking, mappings, ml, resolve, spans, splits
+from .operators import annotated, evaluation, exports, graph, linking, mappings, ml, resolve, spans, splits
 from .plans import report
 from .sources import readers, writers
 from .storage import shared_root
@@ -153,6 +154,24 @@ def words_file(spark, sf_dir):
     return exports.words_file(exports.sentences(_article_rows(spark, sf_dir), "article"), _first_mentions(spark, sf_dir))
 
 
+# Sentences: behind . ! or ? before a blank, or behind a line break before something else.
+_SENTENCES = """SELECT doc_id, generate_subscripts(p, 1) - 1 AS number, unnest(p) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])([ \\t])', '\\1' || chr(1) || '\\2', 'g'),
+  '(\\n+)([^\\n])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM documents)"""
+
+
+@query(f"""SELECT doc_id AS record, replace(regexp_replace(sentence, '^\\n+|\\n+$', '', 'g'), chr(10), ' ') AS sentence FROM ({_SENTENCES}) WHERE trim(sentence) <> ''""")
+def docs_file(spark, sf_dir):
+    return exports.docs_file(exports.sentences(_article_rows(spark, sf_dir), "article"))
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY doc_id, number) - 1 AS record, CAST(ends <= 200 AS INT) AS is_abstract, 'T' || doc_id AS title, source AS url FROM
+  (SELECT doc_id, number, sentence, sum(length(sentence)) OVER (PARTITION BY doc_id ORDER BY number) AS ends FROM ({_SENTENCES})) JOIN documents USING (doc_id) WHERE trim(sentence) <> ''""")
+def articles_file(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    abstracts = docs.select(F.col("doc_id").alias("id"), F.lit(200).alias("abstract_end"))
+    return exports.articles_file(exports.sentences(_article_rows(spark, sf_dir)), abstracts, docs.select(F.col("doc_id").alias("id"), F.col("source").alias("url")))
+
+
 # --- links and mappings --------------------------------------------------------------------------
 
 
@@ -423,6 +442,15 @@ def error_categories(spark, sf_dir):
     return evaluation.recognition_errors(_gold(spark, sf_dir), _predicted(spark, sf_dir)).groupBy("side", "category").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH g AS ({_GOLD}), p AS ({_PRED}), w AS (SELECT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS text FROM documents) SELECT unnest(side) AS side, unnest(category) AS category, unnest(total)::BIGINT AS total FROM
+  (SELECT ['ner_fn', 'ner_fn', 'ner_fn', 'ner_fn', 'ner_fn', 'ner_fp'] AS side, ['all', 'lowercased', 'partially_included', 'partial_overlap', 'other', 'groundtruth_unknown'] AS category,
+    [count(*), count_if({_LOWER}), count_if(contains(text, ' ')), count_if(NOT {_LOWER}), count_if(NOT {_LOWER}), count_if(NOT {_LOWER} AND entity_id = '<NIL>')] AS total FROM g
+  UNION ALL SELECT ['ner_fp', 'ner_fp', 'ner_fp'], ['all', 'lowercased', 'other'], [count(*), count_if({_LOWER}), count_if(NOT {_LOWER})] FROM w UNION ALL SELECT ['ner_fp'], ['wrong_span'], [count(*)] FROM p)""")
+def error_totals(spark, sf_dir):
+    words = read(spark, sf_dir, "documents").select(F.explode(tx.word_tokens(F.col("text"))).alias("text"))
+    return evaluation.recognition_totals(_gold(spark, sf_dir), _predicted(spark, sf_dir), words)
+
+
 _PAIRS = """SELECT l_returnflag AS gold, CASE WHEN l_discount > 0.05 THEN 'A' ELSE l_returnflag END AS predicted, CASE WHEN l_quantity > 25 THEN 'A' ELSE 'N' END AS popular, l_linestatus AS text,
   l_returnflag || l_linestatus AS gold_name, l_returnflag = 'A' AS gold_is_place, l_discount > 0.02 AS predicted_is_place, l_tax > 0.03 AS popular_is_place, l_tax > 0.05 AS gold_is_demonym_type, l_suppkey % 5 = 0 AS is_demonym,
   CASE WHEN l_partkey % 2 = 0 THEN ['A', 'N'] ELSE ['R'] END AS candidates FROM lineitem"""
@@ -783,11 +811,10 @@ def _folder(spark) -> str:
     return f"{shared_root(spark)}/loomspan-files-{uuid.uuid4().hex}"
 
 
-@query("SELECT replace(replace(replace(text, chr(10), ' '), chr(9), ' '), chr(13), ' ') AS text FROM documents WHERE NOT regexp_matches(text, '[\\x0b\\x0c]')")
+@query("SELECT replace(replace(replace(text, chr(10), ' '), chr(9), ' '), chr(13), ' ') AS text FROM documents")
 def raw_text_lines(spark, sf_dir):
     path = _folder(spark)
-    docs = read(spark, sf_dir, "documents").where(~F.rlike("text", F.lit(r"[\x0b\x0c]")))
-    writers.separated(docs.select(F.translate("text", "\n\t\r", "   ").alias("text")), path)
+    writers.separated(read(spark, sf_dir, "documents").select(F.translate("text", "\n\t\r", "   ").alias("text")), path)
     return readers.raw_texts(spark, path).select("text")
 
 
@@ -861,3 +888,56 @@ def page_paths(spark, sf_dir):
 @query("SELECT 'Q' || p_partkey AS entity_id, split_part(p_name, ' ', 1) AS given FROM part WHERE p_name LIKE '% %' AND length(split_part(p_name, ' ', 1)) > 1")
 def given_names(spark, sf_dir):
     return linking.given_names(read(spark, sf_dir, "part").select(F.concat(F.lit("Q"), "p_partkey").alias("entity_id"), F.col("p_name").alias("name")))
+
+
+@query("""SELECT doc_id, length(source) AS stop, 'Q' || length(lang) AS entity_id, source || ' ' || text AS text, lang AS title FROM documents""")
+def article_lines(spark, sf_dir):
+    """Articles with a mention each, as JSON lines."""
+    path = _folder(spark)
+    mention = F.struct(
+        F.lit(0).alias("start"), F.length("source").alias("end"), F.concat(F.lit("Q"), F.length("lang")).alias("entity_id"),
+        F.lit("R").alias("recognized_by"), F.lit("L").alias("linked_by"), F.array(F.lit("Q1")).alias("candidates"),
+    )
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.concat_ws(" ", "source", "text").alias("text"), F.array(mention).alias("entity_mentions"))
+    empty = schema.normalised(spark.createDataFrame([], schema.RAW_ARTICLE))
+    writers.linked_articles(empty.drop("ordinal").unionByName(docs, allowMissingColumns=True), path)
+    rows = readers.articles(spark, path).select(F.col("id").alias("doc_id"), "title", "text", F.explode("entity_mentions").alias("m"))
+    return rows.select("doc_id", F.col("m.end").alias("stop"), "m.entity_id", "text", "title")
+
+
+@query("""SELECT article_id, id, start, stop, entity_id, parent FROM (SELECT l_orderkey * 10 + l_linenumber AS article_id, CAST(strlen(l_returnflag || l_partkey) AS INT) AS m, CAST(strlen(CAST(l_suppkey AS VARCHAR)) AS INT) AS n, l_discount > 0.05 AS alt FROM lineitem),
+  LATERAL (SELECT unnest(CASE WHEN alt THEN [1, 2] ELSE [0, 1, 2] END) AS id), LATERAL (SELECT CASE id WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE m + 1 END::INT AS start, CASE id WHEN 1 THEN m ELSE m + 1 + n END::INT AS stop,
+  ['Q1', '<NIL>', 'DATETIME'][id + 1] AS entity_id, CASE WHEN id > 0 AND NOT alt THEN 0 END AS parent)""")
+def bracket_annotations(spark, sf_dir):
+    """Each line item is an article of two labels in a third, which some benchmarks take out."""
+    tag = F.when(F.col("l_discount") > 0.05, "NO_COREF_ALT:").otherwise("")
+    body = F.concat(F.lit("["), tag, F.lit("Q1:a|[Unknown1:b|"), "l_returnflag", "l_partkey", F.lit("] [DATETIME|"), "l_suppkey", F.lit("]]"))
+    found = annotated.labels(read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("article_id"), body.alias("body")))
+    return found.select("article_id", "id", "start", F.col("end").alias("stop"), "entity_id", "parent")
+
+
+@query("""SELECT article_id, text FROM (SELECT doc_id AS article_id, unnest(regexp_extract_all(text, '\\p{Lu}[\\p{L}\\p{N}''-]*(?: \\p{Lu}[\\p{L}\\p{N}''-]*)*')) AS text FROM documents)""")
+def capitalised_names(spark, sf_dir):
+    """Spans of the rule-based recogniser, read back from the texts by their offsets."""
+    docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    found = linking.capitalised_spans(docs).drop("text").join(docs.select("id", "text"), F.col("article_id") == F.col("id"))
+    return found.select("article_id", tx.snippet(F.col("text"), F.col("start"), F.col("end")).alias("text"))
+
+
+@query(f"WITH s AS ({_SPANS}) SELECT article_id, id FROM s a WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.id % 2 = 1 AND a.article_id = b.article_id AND a.start < b.stop AND b.start < a.stop)")
+def bold_titles_without_links(spark, sf_dir):
+    side = lambda parity: F.collect_list(F.when(F.col("id") % 2 == parity, F.struct("start", "end", "id")))
+    arts = _spans(spark, sf_dir).groupBy("article_id").agg(side(0).alias("title_synonyms"), side(1).alias("hyperlinks"))
+    return linking.bold_without_links(arts).select("article_id", F.explode("title_synonyms").alias("b")).select("article_id", "b.id")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size > 10 OR p_size % 2 = 0")
+def not_only_other(spark, sf_dir):
+    types = F.when(F.col("p_size") <= 10, F.when(F.col("p_size") % 2 == 0, F.array(F.lit("OTHER"), F.lit("Q5"))).otherwise(F.array(F.lit("OTHER")))).otherwise(F.array("p_type"))
+    return read(spark, sf_dir, "part").where(resolve.not_other(types)).select("p_partkey")
+
+
+@query("SELECT n_name AS category, n_regionkey AS value FROM nation WHERE n_name NOT IN ('NATION_3', 'NATION_20')")
+def hidden_categories(spark, sf_dir):
+    return report.hidden(read(spark, sf_dir, "nation").select(F.col("n_name").alias("category"), F.col("n_regionkey").alias("value")), ["NATION_3", "NATION_20"])
+
