@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 import time
 from datetime import datetime
@@ -39,7 +40,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--name", default="experiment")
     p.add_argument("--description", default="")
 
-    p = command("evaluate", "Evaluate linked articles against their labels.", "input", "output")
+    p = command("evaluate", "Evaluate linked articles against their labels.")
+    p.add_argument("input", nargs="+", help="of several inputs, each has a folder of its name in the output")
+    p.add_argument("output")
+    p.add_argument("--benchmark", help="articles whose labels, titles and texts take the place of the input's")
+    p.add_argument("--write-back", action="store_true", help="write the articles with the benchmark's labels beside the results")
+    p.add_argument("--prediction-whitelist", help="file of type ids of the predictions that count")
     p.add_argument("--knowledge", help="folder of resource tables")
     p.add_argument("--whitelist", help="file of type ids")
     p.add_argument("--no-coreference", action="store_true")
@@ -60,9 +66,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-n", type=int, default=-1)
 
     p = command("keyvalue", "Build a key-value table from separated lines.", "input", "output")
-    p.add_argument("--method", choices=["single", "multi", "names"], default="single")
+    p.add_argument("--method", choices=["single", "multi", "names", "popular"], default="single")
+    p.add_argument("--names", action="store_true", help="page addresses become page names")
     p.add_argument("--inverse", action="store_true")
-    p.add_argument("--separator")
+    p.add_argument("--separator", help="between the parts of a value, or the word tab")
 
     p = command("unigrams", "Count the words of articles.", "input", "output")
     p.add_argument("--raw", action="store_true")
@@ -71,6 +78,10 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.command == "evaluate" and len({os.path.basename(x.rstrip("/")) for x in a.input}) < len(a.input):
+        sys.exit("inputs need different names")
+    if a.command == "evaluate" and a.write_back and not a.benchmark:
+        sys.exit("give the benchmark whose labels are written back")
     if a.command == "link" and bool(a.linker) == bool(a.predictions) and not a.hyperlink_linker:
         sys.exit("give a linker or predictions (or a hyperlink linker alone)")
     from pyspark.sql import functions as F
@@ -96,11 +107,19 @@ def main(argv: list[str] | None = None) -> int:
         known = pipelines.knowledge(spark, a.knowledge) if a.knowledge else None
         types = known["types"] if known else None
         allowed = readers.whitelist(spark, a.whitelist) if a.whitelist else None
-        cases, metrics = pipelines.evaluate(readers.articles(spark, a.input), types, allowed, coreference=not a.no_coreference, unknowns=not a.no_unknowns, known=known)
-        writers.eval_cases(cases, f"{a.output}/cases")
-        result = writers.nested_results(metrics)
-        spark.createDataFrame([(result,)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.output}/results")
-        print(json.dumps(json.loads(result)["IGNORED"]["mention_types"].get("all", {})))
+        wanted = readers.whitelist(spark, a.prediction_whitelist) if a.prediction_whitelist else None
+        for path in a.input:
+            target = a.output if len(a.input) == 1 else f"{a.output}/{os.path.basename(path.rstrip('/'))}"
+            arts = readers.articles(spark, path)
+            if a.benchmark:
+                arts = pipelines.relabelled(arts, readers.articles(spark, a.benchmark))
+                if a.write_back:
+                    writers.linked_articles(arts, f"{target}/articles")
+            cases, metrics = pipelines.evaluate(arts, types, allowed, coreference=not a.no_coreference, unknowns=not a.no_unknowns, known=known, wanted=wanted)
+            writers.eval_cases(cases, f"{target}/cases")
+            result = writers.nested_results(metrics)
+            spark.createDataFrame([(result,)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/results")
+            print(json.dumps(json.loads(result)["IGNORED"]["mention_types"].get("all", {})))
     elif a.command == "benchmark":
         out = pipelines.benchmark_from_annotations(spark, a.input, [int(x) for x in a.skip.split()], not a.no_coref_labels)
         out.orderBy("ordinal").write.mode("overwrite").json(a.output)
@@ -114,7 +133,7 @@ def main(argv: list[str] | None = None) -> int:
         writers.separated(exports.words_file(sents, pipelines.mentions_of(arts)), a.words)
         writers.separated(exports.docs_file(sents), a.docs, order=["record"])
     elif a.command == "keyvalue":
-        writers.key_value_table(pipelines.key_value_table(spark, a.input, a.method, a.inverse, a.separator), a.output)
+        writers.key_value_table(pipelines.key_value_table(spark, a.input, a.method, a.inverse, "\t" if a.separator == "tab" else a.separator, a.names), a.output)
     elif a.command == "unigrams":
         arts = readers.raw_texts(spark, a.input) if a.raw else readers.articles(spark, a.input)
         writers.unigrams(mappings.unigram_counts(arts), a.output)

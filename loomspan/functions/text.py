@@ -54,7 +54,10 @@ def name_from_url(url: Column, prefix: str = URL_PREFIX) -> Column:
 
 def quote_title(title: Column) -> Column:
     """Page path of a title: spaces as underscores, the rest percent-encoded except slashes."""
-    return F.replace(F.url_encode(F.replace(title, F.lit(" "), F.lit("_"))), F.lit("%2F"), F.lit("/"))
+    out = F.url_encode(F.replace(title, F.lit(" "), F.lit("_")))
+    for code, char in (("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
 
 
 def file_name(title: Column) -> Column:

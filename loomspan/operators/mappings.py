@@ -77,6 +77,12 @@ def multi_value(rows: DataFrame, separator: str = ",") -> DataFrame:
     return rows.groupBy("key").agg(F.array_join(F.transform(listed, lambda x: x["value"]), separator).alias("value"))
 
 
+def with_parts(rows: DataFrame, separator: str, change) -> DataFrame:
+    """Values that hold several: each part changed, then joined by the same separator."""
+    parts = F.split("value", F.lit("\\Q" + separator + "\\E"))
+    return rows.withColumn("value", F.array_join(F.transform(parts, lambda x: change(x)), separator))
+
+
 def inverted(rows: DataFrame, separator: str | None = None) -> DataFrame:
     """Swap key and value; values that hold several are split first."""
     if separator:

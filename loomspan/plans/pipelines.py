@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import annotated, evaluation, mappings, spans
+from ..operators import annotated, evaluation, mappings, resolve, spans
 from ..sources import readers
 from . import registry
 
@@ -61,16 +61,18 @@ def mentions_of(articles: DataFrame) -> DataFrame:
     return rows.select("article_id", *[F.col(f"m.{c}").alias(c) for c in keep], tx.snippet(F.col("text"), F.col("m.start"), F.col("m.end")).alias("text"))
 
 
-def evaluate(articles: DataFrame, types: DataFrame | None = None, whitelist: DataFrame | None = None, predictions: DataFrame | None = None, coreference: bool = True, unknowns: bool = True, known: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def evaluate(articles: DataFrame, types: DataFrame | None = None, whitelist: DataFrame | None = None, predictions: DataFrame | None = None, coreference: bool = True, unknowns: bool = True, known: dict | None = None, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(typed cases, long metrics: mode, base, category, metric, value) of linked articles with labels.
 
     known: tables as knowledge() gives them; with them the kinds of wrong disambiguations are told apart.
+    wanted: the types of predictions that count, if they are not those of whitelist.
     """
     gold, found = labels_of(articles), predictions if predictions is not None else mentions_of(articles)
     if whitelist is not None:
         gold = evaluation.filter_labels(gold, whitelist)
-        if types is not None:
-            found = evaluation.filter_predictions(found, types, whitelist)
+    wanted = whitelist if wanted is None else wanted
+    if wanted is not None and types is not None:
+        found = evaluation.filter_predictions(found, types, wanted)
     if not coreference:
         gold = gold.where(~F.col("coref"))
     if not unknowns:
@@ -181,11 +183,28 @@ def rendered(articles: DataFrame, mode: str = "labels", ascii_only: bool = False
     return articles.select("ordinal", "title", text.alias("text"))
 
 
-def key_value_table(spark: SparkSession, path: str, method: str = "single", inverse: bool = False, separator: str | None = None) -> DataFrame:
-    """key, value: ``single`` (last wins), ``multi`` (comma-joined), ``names`` (page names of addresses)."""
+def key_value_table(spark: SparkSession, path: str, method: str = "single", inverse: bool = False, separator: str | None = None, names: bool = False) -> DataFrame:
+    """key, value: ``single`` (last wins), ``multi`` (comma-joined), ``names`` (page names of addresses, last wins),
+    ``popular`` (the entities used most often for each text of a pickled table of counts).
+
+    separator: values hold several parts; with ``inverse`` each becomes a key. names: addresses become page names.
+    """
+    if method == "popular":
+        return mappings.most_popular_candidates(readers.pickled_counts(spark, path)).toDF("key", "value")
     rows = readers.key_values(spark, path)
-    if method == "names":
-        rows = mappings.names_by_url(rows)
     if inverse:
         rows = mappings.inverted(rows, separator)
+    if names or method == "names":
+        if inverse:
+            rows = rows.withColumn("key", tx.name_from_url(F.col("key")))
+        else:
+            rows = mappings.with_parts(rows, separator, tx.name_from_url) if separator else mappings.names_by_url(rows)
     return mappings.multi_value(rows) if method == "multi" else mappings.last_wins(rows, "key", "value")
+
+
+def relabelled(articles: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Articles with labels, title and text of the benchmark's article in the same place."""
+    keep = ("labels", "title", "text")
+    place = lambda rows: readers.with_ordinal(rows.withColumnRenamed("ordinal", "_o"), "ordinal", "_o").drop("_o")
+    rows = resolve.align(place(articles), place(benchmark).select("ordinal", *keep))
+    return rows.withColumns({c: F.col(f"other.{c}") for c in keep}).drop("other")

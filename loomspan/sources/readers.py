@@ -62,6 +62,14 @@ def pickled_mapping(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(str(k), many(v)) for k, v in data.items()], "key string, values array<string>")
 
 
+def pickled_counts(spark: SparkSession, path: str) -> DataFrame:
+    """link_text, entity_id, n, first (place in the dict) of a pickled dict of counts by entity. One file, read where the driver runs."""
+    with open(path, "rb") as f:
+        data = _Plain(f).load()
+    rows = [(str(k), str(e), int(n), i) for k, counts in data.items() for i, (e, n) in enumerate(counts.items())]
+    return spark.createDataFrame(rows, "link_text string, entity_id string, n long, first long")
+
+
 def triples(spark: SparkSession, path: str) -> DataFrame:
     """s, p, o of N-Triples lines (Turtle with one full statement a line)."""
     term = r"(<[^>]*>|_:\S+|[A-Za-z][\w-]*:\S*)"

@@ -87,9 +87,18 @@ def spanned_header(groups: list[tuple[str, int]]) -> str:
     return "\t".join("\t".join([name, *[""] * (n - 1)]) for name, n in groups)
 
 
-def nif_annotations(mentions: DataFrame, base: Column, example: str = "http://example.org/unknown") -> DataFrame:
-    """context, start, end, entity_uri in span order; unknown entities get a fixed address."""
-    uri = F.when(tx.is_unknown(F.col("entity_id")) | F.col("entity_id").isNull(), F.lit(example)).otherwise(F.concat(F.lit("http://www.wikidata.org/entity/"), "entity_id"))
+def nif_annotations(mentions: DataFrame, base: Column, example: str = "http://example.org/unknown", titles: DataFrame | None = None) -> DataFrame:
+    """context, start, end, entity_uri in span order; unknown entities get a fixed address.
+
+    With titles (title, entity_id) the address is that of the entity's page, the fixed one where it has none.
+    """
+    if titles is not None:
+        pages = titles.groupBy(F.col("entity_id").alias("_e")).agg(F.min("title").alias("_title"))
+        mentions = mentions.join(pages, F.col("entity_id") == F.col("_e"), "left")
+        known = F.concat(F.lit("https://en.wikipedia.org/wiki/"), tx.quote_title(F.col("_title")))
+    else:
+        known = F.concat(F.lit("http://www.wikidata.org/entity/"), "entity_id")
+    uri = F.when(tx.is_unknown(F.col("entity_id")), F.lit(example)).otherwise(F.coalesce(known, F.lit(example)))
     return mentions.select(base.alias("context"), "start", "end", uri.alias("entity_uri")).orderBy("context", "start")
 
 

@@ -1,6 +1,7 @@
 """The command line from end to end on a small corpus."""
 
 import json
+import pickle
 
 import pytest
 
@@ -52,12 +53,29 @@ def test_oracle_linker_is_perfect(corpus):
     cli.main(["evaluate", f"{c}/gold", f"{c}/eval"])
     result = json.loads(lines(corpus / "eval" / "results")[0])
     assert all(m["f1"] == 1 for mode in result.values() for m in mode["mention_types"].values())
+    other = json.loads((corpus / "a.jsonl").read_text())
+    other["labels"] = other["labels"][:1]
+    (corpus / "b.jsonl").write_text(json.dumps(other) + "\n")
+    cli.main(["evaluate", f"{c}/gold", f"{c}/a.jsonl", f"{c}/both", "--benchmark", f"{c}/b.jsonl", "--write-back"])
+    one, none = (json.loads(lines(corpus / "both" / name / "results")[0])["REQUIRED"]["mention_types"]["all"] for name in ("gold", "a.jsonl"))
+    assert (one["true_positives"], one["false_positives"], none["recall"], none["ground_truth"]) == (1, 1, 0, 1)
+    assert len(json.loads(lines(corpus / "both" / "gold" / "articles")[0])["labels"]) == 1
+    with pytest.raises(SystemExit):
+        cli.main(["evaluate", f"{c}/gold", f"{c}/x/gold", f"{c}/both"])
 
 
-def test_other_commands(corpus):
+def test_other_commands(corpus, spark):
     c = str(corpus)
     (corpus / "kv").write_text("a\tx;y\nb\ty\n")
     cli.main(["keyvalue", f"{c}/kv", f"{c}/kvout", "--method", "multi", "--inverse", "--separator", ";"])
+    kept = lambda: {r.key: r.value for r in spark.read.parquet(f"{c}/kvout").collect()}
+    assert kept() == {"x": "a", "y": "a,b"}
+    (corpus / "urls").write_text("a\thttps://en.wikipedia.org/wiki/A_b\thttps://en.wikipedia.org/wiki/C\n")
+    cli.main(["keyvalue", f"{c}/urls", f"{c}/kvout", "--separator", "tab", "--names"])
+    assert kept() == {"a": "A b\tC"}
+    (corpus / "counts").write_bytes(pickle.dumps({"t": {"Q1": 1, "Q3": 2, "Q2": 2}, "none": {}}))
+    cli.main(["keyvalue", f"{c}/counts", f"{c}/kvout", "--method", "popular"])
+    assert kept() == {"t": "Q3,Q2"}
     (corpus / "raw").write_text("one two\ntwo\n")
     cli.main(["unigrams", f"{c}/raw", f"{c}/uni", "--raw"])
     assert lines(corpus / "uni") == ["one 1", "two 2"]

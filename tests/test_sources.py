@@ -141,3 +141,10 @@ def test_predictions_of_services(spark, tmp_path):
     (tmp_path / "w").mkdir()
     (tmp_path / "w" / "3.json").write_text(json.dumps({"annotations": [{"wikiDataItemId": "Q1", "support": [{"chFrom": 0, "chTo": 4}]}, {"wikiDataItemId": "Q2", "support": [{"chFrom": 0, "chTo": 4}, {"chFrom": 6, "chTo": 8}]}, {"support": [{"chFrom": 1, "chTo": 2}]}]}))
     assert sorted(tuple(r) for r in readers.predictions_wikifier(spark, str(tmp_path / "w")).collect()) == [(3, 0, 5, "Q1"), (3, 6, 9, "Q2")]
+
+
+def test_page_addresses(spark):
+    m = spark.createDataFrame([("Q1", 0, 2), ("Q9", 3, 4), ("<NIL>", 5, 6), (None, 7, 8)], "entity_id string, start int, end int")
+    titles = spark.createDataFrame([("A/b ~*é", "Q1")], "title string, entity_id string")
+    got = [r.entity_uri for r in writers.nif_annotations(m, F.lit("c"), titles=titles).collect()]
+    assert got == ["https://en.wikipedia.org/wiki/A/b_~%2A%C3%A9", *["http://example.org/unknown"] * 3]
