@@ -907,13 +907,13 @@ def article_lines(spark, sf_dir):
 
 @query("""SELECT article_id, id, start, stop, entity_id, parent FROM (SELECT l_orderkey * 10 + l_linenumber AS article_id, CAST(strlen(l_returnflag || l_partkey) AS INT) AS m, CAST(strlen(CAST(l_suppkey AS VARCHAR)) AS INT) AS n, l_discount > 0.05 AS alt FROM lineitem),
   LATERAL (SELECT unnest(CASE WHEN alt THEN [1, 2] ELSE [0, 1, 2] END) AS id), LATERAL (SELECT CASE id WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE m + 1 END::INT AS start, CASE id WHEN 1 THEN m ELSE m + 1 + n END::INT AS stop,
-  ['Q1', '<NIL>', 'DATETIME'][id + 1] AS entity_id, CASE WHEN id > 0 AND NOT alt THEN 0 END AS parent)""")
+  ['Q1', '<NIL>', 'DATETIME'][id + 1] AS entity_id, CASE WHEN id > 0 AND NOT alt THEN 0 ELSE -1 END AS parent)""")
 def bracket_annotations(spark, sf_dir):
     """Each line item is an article of two labels in a third, which some benchmarks take out."""
     tag = F.when(F.col("l_discount") > 0.05, "NO_COREF_ALT:").otherwise("")
     body = F.concat(F.lit("["), tag, F.lit("Q1:a|[Unknown1:b|"), "l_returnflag", "l_partkey", F.lit("] [DATETIME|"), "l_suppkey", F.lit("]]"))
     found = annotated.labels(read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("article_id"), body.alias("body")))
-    return found.select("article_id", "id", "start", F.col("end").alias("stop"), "entity_id", "parent")
+    return found.select("article_id", "id", "start", F.col("end").alias("stop"), "entity_id", F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
 @query("""SELECT article_id, text FROM (SELECT doc_id AS article_id, unnest(regexp_extract_all(text, '\\p{Lu}[\\p{L}\\p{N}''-]*(?: \\p{Lu}[\\p{L}\\p{N}''-]*)*')) AS text FROM documents)""")
