@@ -30,6 +30,11 @@ def link_frequencies(linked: DataFrame) -> DataFrame:
     return counts.select("link_text", "entity_id", F.when(F.col("entity_id").isNull(), 0).otherwise(F.col("n")).cast("long").alias("n"), "first")
 
 
+def resolved_frequencies(linked: DataFrame) -> DataFrame:
+    """The rows of ``link_frequencies`` with n > 0: all links of a text need not meet in one task for them."""
+    return linked.where("entity_id is not null").groupBy("link_text", "entity_id").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))
+
+
 def most_popular_candidates(frequencies: DataFrame) -> DataFrame:
     """link_text, entities: all entities tied at the highest count, first seen first, comma-joined."""
     top = F.rank().over(Window.partitionBy("link_text").orderBy(F.desc("n")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..storage import cut
 
 
 def link_to_id(rows: DataFrame, title: str, titles: DataFrame, redirects: DataFrame) -> DataFrame:
@@ -55,6 +56,17 @@ def candidates(mentions: DataFrame, priors: DataFrame) -> DataFrame:
     return mentions.join(priors.withColumnRenamed("alias", "_a"), F.col("text") == F.col("_a")).drop("_a")
 
 
+def candidate_totals(mentions: DataFrame, priors: DataFrame) -> DataFrame:
+    """article_id, n_candidates, best: rows that ``candidates`` has for an article, and the highest count among them.
+
+    The candidates of an alias are added up once, before they meet its mentions: mentions times candidates are never rows. The sums
+    are cut, so that their size is known: few are broadcast, and of many a frequent text can be dealt over tasks.
+    """
+    whole = cut(priors.groupBy(F.col("alias").alias("_a")).agg(F.count("*").alias("_n"), F.max("count").alias("_best")), "totals")
+    met = mentions.join(whole, F.col("text") == F.col("_a"))
+    return met.groupBy("article_id").agg(F.sum("_n").alias("n_candidates"), F.max("_best").alias("best"))
+
+
 def not_other(types: Column) -> Column:
     """Whether types are anything but exactly [OTHER]."""
     return types != F.array(F.lit("OTHER"))

@@ -328,6 +328,17 @@ def test_mappings(spark):
     assert {x.key: x.value for x in mappings.multi_value(inv).collect()} == {"a": "k", "b": "k,l"}
 
 
+def test_candidate_totals_add_up_candidates(spark):
+    linked = spark.createDataFrame([("a", "Q1", 0), ("a", "Q2", 1), ("a", "Q2", 2), ("a", None, 3), ("b", None, 4), ("c", "Q1", 5), (None, "Q3", 6)], "link_text string, entity_id string, ordinal int")
+    f = mappings.resolved_frequencies(linked)
+    assert sorted(map(str, f.collect())) == sorted(map(str, mappings.link_frequencies(linked).where("n > 0").collect()))
+    mentions = spark.createDataFrame([(1, "a"), (1, "a"), (1, "c"), (2, "b"), (3, None), (4, "c"), (None, "a")], "article_id long, text string")
+    got = resolve.candidate_totals(mentions, mappings.priors(f))
+    want = resolve.candidates(mentions, mappings.priors(f)).groupBy("article_id").agg(F.count("*").alias("n_candidates"), F.max("count").alias("best"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {x.article_id: (x.n_candidates, x.best) for x in got.collect()} == {1: (5, 2), 4: (1, 1), None: (2, 2)}
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("{hint} rest", "sys.v1.bench", "É!", "x y/z")], "d string, e string, m string, t string")
     row = df.select(tx.strip_description(F.col("d")), tx.experiment_name(F.col("e")), tx.benchmark_name(F.col("e")), tx.first_letter_is_upper(F.col("m")), tx.ascii_mask(F.col("m")), tx.quote_title(F.col("t")), tx.percent(F.lit(0.12345)), tx.is_all_lower(F.lit("123"))).first()
