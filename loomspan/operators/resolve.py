@@ -60,7 +60,8 @@ def candidate_totals(mentions: DataFrame, priors: DataFrame) -> DataFrame:
     """article_id, n_candidates, best: rows that ``candidates`` has for an article, and the highest count among them.
 
     The candidates of an alias are added up once, before they meet its mentions: mentions times candidates are never rows. The sums
-    are cut, so that their size is known: few are broadcast, and of many a frequent text can be dealt over tasks.
+    are cut, so that their size is known: few are broadcast; beside many, adaptive execution deals a frequent text over tasks, from the
+    session's threshold for skewed joins on.
     """
     whole = cut(priors.groupBy(F.col("alias").alias("_a")).agg(F.count("*").alias("_n"), F.max("count").alias("_best")), "totals")
     met = mentions.join(whole, F.col("text") == F.col("_a"))
